@@ -24,7 +24,7 @@ from .common import bucket_bits, hash_bucket
 ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def _ranked(rows: DataFrame, within: list[str], bucket: str, order: list[str], to: str, counted: str | None = None) -> DataFrame:
+def ranked(rows: DataFrame, within: list[str], bucket: str, order: list[str], to: str, counted: str | None = None) -> DataFrame:
     """Rank from 0 within `within`, ordered by `bucket` and then `order`; `counted` names the number of rows there."""
     counts = rows.groupBy(*within, bucket).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*within).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -60,11 +60,11 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 17, source: str = "
     rows = rows.withColumn("_hash", F.xxhash64(F.lit(seed), "_stratum", "_id", "size", "text_crc32"))
     rows = rows.withColumn("_bucket", hash_bucket(F.col("_hash"), bits))
     ties = ["_hash", "_id", "size", "text_crc32"]
-    rows = _ranked(rows, ["_stratum"], "_bucket", ties, "_rank", "_of").drop("_bucket")
+    rows = ranked(rows, ["_stratum"], "_bucket", ties, "_rank", "_of").drop("_bucket")
     phase = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_stratum"), 11) / F.lit(float(1 << 53))
     rows = rows.withColumn("_fraction", (F.col("_rank") + phase) / F.col("_of"))
     rows = rows.withColumn("_bucket", F.floor(F.col("_fraction") * (1 << bits))).withColumn("_all", F.lit(0))
-    rows = _ranked(rows, ["_all"], "_bucket", ["_fraction", "_stratum", *ties], "_place")
+    rows = ranked(rows, ["_all"], "_bucket", ["_fraction", "_stratum", *ties], "_place")
     rows = rows.withColumn("shard", F.expr(f"CAST((_place * {shards}) DIV {max(total, 1)} AS INT)"))
     first = F.expr(f"(CAST(shard AS BIGINT) * {total} + {shards - 1}) DIV {shards}")
     return rows.select("_row.*", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_place") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
