@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import op8_byte_bpe
 from .neardup import op5_minhash_near_dedup
 from .packing import op4_best_fit_packing
 from .quality import OP3_SQL, op3_quality_rules
 from .secrets import op6_secret_scans
 from .sharding import op2_sharding
+from .token_counts import op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
@@ -18,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_secret_scans": op6_secret_scans,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL}
