@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op8_byte_bpe
+from .licenses import op9_license_scans
 from .neardup import op5_minhash_near_dedup
 from .packing import op4_best_fit_packing
 from .quality import OP3_SQL, op3_quality_rules
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_secret_scans": op6_secret_scans,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_license_scans": op9_license_scans,
     "op10_token_counts": op10_token_counts,
 }
 
