@@ -14,6 +14,7 @@ from .quality import OP3_SQL, op3_quality_rules
 from .secrets import op6_secret_scans
 from .sharding import op2_sharding
 from .token_counts import op10_token_counts
+from .warc import OP7_SQL, op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
@@ -21,9 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_secret_scans": op6_secret_scans,
+    "op7_warc": op7_warc,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_license_scans": op9_license_scans,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_warc": OP7_SQL}
