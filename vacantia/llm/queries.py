@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op8_byte_bpe
+from .hnsw import op1_hnsw
 from .licenses import op9_license_scans
 from .neardup import op5_minhash_near_dedup
 from .packing import op4_best_fit_packing
@@ -17,6 +18,7 @@ from .token_counts import op10_token_counts
 from .warc import OP7_SQL, op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hnsw": op1_hnsw,
     "op2_sharding": op2_sharding,
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
