@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 RANK_SHIFT = 3
 #: Distinct pre-tokens that a worker keeps.
-MEMO = 1_000_000
+MEMO = 300_000
 
 
 def zipf_scores(path: str) -> dict[str, int]:
