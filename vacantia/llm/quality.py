@@ -138,7 +138,11 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: list[str
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that all rules keep, with their own columns."""
-    return apply_rules(docs, keep=docs.columns).where("kept").select(*docs.columns)
+    own = [f"_own_{i}" for i in range(len(docs.columns))]
+    rows = apply_rules(docs.toDF(*own), keep=own, text=own[docs.columns.index("text")])
+    # The counts are worth having, and the filter isn't pushed below them, where it would compute every metric anew.
+    counted = rows.observe("quality_rules", F.count(F.lit(1)).alias("n_read"), F.count_if("kept").alias("n_kept"))
+    return counted.where("kept").select(*(F.col(o).alias(c) for o, c in zip(own, docs.columns, strict=True)))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
