@@ -43,7 +43,7 @@ SKETCH = 1024
 NO_ID = -(1 << 63)
 #: Hashes computed at once.
 CELLS = 1 << 18
-MEMO = 200_000
+MEMO = 100_000
 
 _rng = np.random.default_rng(20240229)
 _ODD = (_rng.integers(0, 1 << 63, SIGNATURE + SKETCH, np.uint64) << np.uint64(1)) | np.uint64(1)
