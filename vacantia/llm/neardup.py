@@ -34,12 +34,12 @@ from .components import components
 TREES = 16
 DEPTH = 16
 LEAST_DEPTH = 3
-NEIGHBOURS = 8
+NEIGHBOURS = 3
 SIGNATURE = 96
 FAR_OFF = 4.5
-#: For dense regions: how far rows may stand apart, and how many minima of 8 bits tell them from each other.
+#: For dense regions: how far rows may stand apart, and how many minima of one bit tell them from each other.
 WIDE = 256
-SKETCH = 1024
+SKETCH = 4096
 NO_ID = -(1 << 63)
 #: Hashes computed at once.
 CELLS = 1 << 18
@@ -101,8 +101,8 @@ def signature(held: np.ndarray) -> bytes:
 
 
 def sketch(held: np.ndarray) -> bytes:
-    """SKETCH further minima, 8 bits each."""
-    return minima(held, SIGNATURE, SKETCH).astype(np.uint8).tobytes()
+    """SKETCH further minima, one bit each."""
+    return np.packbits(minima(held, SIGNATURE, SKETCH).astype(np.uint8) & 1).tobytes()
 
 
 def _signed(words: int):
@@ -122,7 +122,7 @@ def _signed(words: int):
 def _meet(width: int, sketched: float | None = None):
     """Rows in sorted order: pairs of rows at most `width` apart, and the rows at either end, which meet other partitions' rows.
 
-    With `sketched`, only pairs of different roots whose sketches agree in that many places at least.
+    With `sketched`, only pairs of different roots whose sketches agree in that many bits at least.
     """
     columns = ["tree", "key", "node", *(["root", "sketch"] if sketched is not None else [])]
 
@@ -138,7 +138,7 @@ def _meet(width: int, sketched: float | None = None):
             rows = batch if rows is None else pd.concat([rows, batch], ignore_index=True)
             trees, nodes = rows["tree"].to_numpy(), rows["node"].to_numpy(object)
             keys = np.frombuffer(b"".join(rows["key"]), ">u2").reshape(-1, DEPTH).astype(np.uint16)
-            held = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1) if sketched is not None else None
+            held = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1) if sketched is not None else None
             roots = rows["root"].to_numpy(object) if sketched is not None else None
             for j in range(1, width + 1):
                 right = np.arange(max(j, had), len(rows))
@@ -146,7 +146,7 @@ def _meet(width: int, sketched: float | None = None):
                 right = right[near]
                 if sketched is not None and len(right):
                     right = right[roots[right] != roots[right - j]]
-                    right = right[(held[right] == held[right - j]).sum(axis=1) >= sketched] if len(right) else right
+                    right = right[SKETCH - np.bitwise_count(held[right] ^ held[right - j]).sum(axis=1, dtype=np.int64) >= sketched]
                 if not len(right):
                     if not near.any():
                         break  # rows further off share no more
@@ -171,7 +171,7 @@ def orders(classes: DataFrame, starts: list[int], width: int, sketched: float |
     order = F.explode(F.array(*[F.struct(F.lit(s).alias("tree"), F.substring(F.concat("sign", "sign"), 2 * s + 1, 2 * DEPTH).alias("key")) for s in starts]))
     own = ["node", *(["root", "sketch"] if sketched is not None else [])]
     rows = classes.select(*own, order.alias("o")).select("o.tree", "o.key", *own)
-    met = checkpointed(rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node").mapInPandas(_meet(width, sketched), schema))
+    met = stored(rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node").mapInPandas(_meet(width, sketched), schema))
     # The two ends of each partition: a small table that grows with the number of partitions only.
     ends = met.where("a IS NULL").drop("a", "b", "step").coalesce(1).sortWithinPartitions("tree", "key", "node").mapInPandas(_meet(width, sketched), schema)
     return met.where("a IS NOT NULL").union(ends.where("a IS NOT NULL")).select("a", "b", "step")
@@ -232,12 +232,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return rows.mapInPandas(_confirm(words, percent), "a binary, b binary")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are not yet in one component."""
+def _apart(pairs: DataFrame, roots: DataFrame, full: DataFrame) -> DataFrame:
+    """The pairs whose ends are not yet in one component, and whether both ends, or one, are among `full`."""
+    known = roots.join(full.withColumn("full", F.lit(True)), "node", "full")
     rows = pairs
     for end in ("a", "b"):
-        rows = rows.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    return rows.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
+        rows = rows.join(known.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"), F.col("full").alias(f"full_{end}")), end, "left")
+    is_full = [F.coalesce(f"full_{end}", F.lit(False)) for end in ("a", "b")]
+    rows = rows.withColumn("root_a", F.coalesce("root_a", "a")).withColumn("root_b", F.coalesce("root_b", "b"))
+    return rows.where("root_a != root_b").select(*pairs.columns, "root_a", "root_b", (is_full[0] & is_full[1]).alias("both_full"), (is_full[0] | is_full[1]).alias("one_full"))
 
 
 def _identity(docs: DataFrame, text: str) -> list[Column]:
@@ -267,18 +270,21 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "tex
     best = ends.groupBy("a").agg(F.max(F.struct("alike", "b")).alias("o"))
     best = checkpointed(best.select(F.least("a", "o.b").alias("a"), F.greatest("a", "o.b").alias("b")).distinct())
     roots = components(confirmed(best, texts, words, percent))
-    rest = checkpointed(_apart(likely.select("a", "b").join(best, ["a", "b"], "left_anti"), roots))
-    roots = joined(roots, confirmed(rest, texts, words, percent))
 
-    # Classes whose window was full, and that are likely near some class of another component.
+    # Dense are the components of which some class is likely near one of another, where one of the two had a full window.
+    # Pairs with two full windows wait for the further orders; the others are confirmed at once.
     full = met.where(F.col("step") == NEIGHBOURS).select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    open_ = _apart(rest, roots).select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    dense = checkpointed(classes.join(open_, "node", "left_semi").join(full, "node", "left_semi").select("node", "sign"))
+    apart = checkpointed(_apart(likely.select("a", "b").join(best, ["a", "b"], "left_anti"), roots, full))
+    open_ = apart.where("one_full").select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct()
+    dense = classes.select("node", "sign").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    dense = checkpointed(dense.join(open_, "root", "left_semi").select("node", "sign"))
+    roots = joined(roots, confirmed(apart.where("NOT both_full"), texts, words, percent))
     if dense.take(1):
         dense = dense.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(texts, "node")
         dense = dense.mapInPandas(_sketched(words), "node binary, sign binary, root binary, sketch binary")
-        more = orders(dense, [t * part + part // 2 for t in range(TREES)], WIDE, _bar(SKETCH, percent, 1 / 256)).select("a", "b").distinct()
-        roots = joined(roots, confirmed(more.join(rest, ["a", "b"], "left_anti"), texts, words, percent))
+        starts = [k * part // 2 for k in range(2 * TREES) if k % 2 == 0 or k % 4 == 1]
+        more = orders(dense, starts, WIDE, _bar(SKETCH, percent, 0.5)).select("a", "b").distinct()
+        roots = joined(roots, confirmed(more.join(best, ["a", "b"], "left_anti"), texts, words, percent))
 
     member = signed.select("_id", "_hash", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct((F.col("_id") == NO_ID).alias("last"), "_id", "_hash")
