@@ -8,9 +8,11 @@
    at which classes meet grows with the density of their region.
 4. Candidate pairs are merged over the orders, and those whose set sizes or whole signatures rule the wanted similarity
    out (by FAR_OFF standard deviations) leave.
-5. The rest are confirmed on full sets made from the texts: first each class with its most similar partner; then, of the
-   remaining pairs, those whose classes are still in different components. Links inside a component change nothing.
-6. Regions too dense for the window are taken up again in further orders, until those bring no new link.
+5. The rest are confirmed on full sets made from the texts: first, in a few rounds, each class with its most similar
+   partner of another component; then all pairs whose classes are still in different ones. Links inside a component
+   change nothing.
+6. Components in regions too dense for the window are sorted again in further orders, with windows of WIDE rows, in which
+   sketches of SKETCH bits tell which pairs may still be links between components; those are confirmed as well.
 
 Defined cases: a text without words, or null, has an empty set and no link; fewer words than a shingle has make one
 shingle; equal rows are members of one class; a null doc_id is a row of its own, and a component's id is its least
@@ -37,6 +39,8 @@ LEAST_DEPTH = 3
 NEIGHBOURS = 3
 SIGNATURE = 96
 FAR_OFF = 4.5
+#: Before all remaining pairs are confirmed, so often each class tries its most similar partner of another component.
+ROUNDS = 3
 #: For dense regions: how far rows may stand apart, and how many minima of one bit tell them from each other.
 WIDE = 256
 SKETCH = 4096
@@ -232,6 +236,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return rows.mapInPandas(_confirm(words, percent), "a binary, b binary")
 
 
+def _closest(pairs: DataFrame) -> DataFrame:
+    """Each class's pair with the most alike of its partners."""
+    ends = pairs.select("a", "b", "alike").union(pairs.select("b", "a", "alike").toDF("a", "b", "alike"))
+    best = ends.groupBy("a").agg(F.max(F.struct("alike", "b")).alias("o"))
+    return best.select(F.least("a", "o.b").alias("a"), F.greatest("a", "o.b").alias("b")).distinct()
+
+
 def _apart(pairs: DataFrame, roots: DataFrame, full: DataFrame) -> DataFrame:
     """The pairs whose ends are not yet in one component, and whether both ends, or one, are among `full`."""
     known = roots.join(full.withColumn("full", F.lit(True)), "node", "full")
@@ -266,16 +277,18 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "tex
     # One text for each class: rows that repeat an id and a text are alike.
     texts = stored(rows.join(reps, ["_id", "_hash"]).select("node", F.col("_text").alias("text")).dropDuplicates(["node"]))
 
-    ends = likely.union(likely.select("b", "a", "alike").toDF("a", "b", "alike"))
-    best = ends.groupBy("a").agg(F.max(F.struct("alike", "b")).alias("o"))
-    best = checkpointed(best.select(F.least("a", "o.b").alias("a"), F.greatest("a", "o.b").alias("b")).distinct())
-    roots = components(confirmed(best, texts, words, percent))
-
     # Dense are the components of which some class is likely near one of another, where one of the two had a full window.
     # Pairs with two full windows wait for the further orders; the others are confirmed at once.
-    full = met.where(F.col("step") == NEIGHBOURS).select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    apart = checkpointed(_apart(likely.select("a", "b").join(best, ["a", "b"], "left_anti"), roots, full))
-    open_ = apart.where("one_full").select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct()
+    full = checkpointed(met.where(F.col("step") == NEIGHBOURS).select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    roots = texts.select("node", F.col("node").alias("root"))
+    apart = likely
+    for _ in range(ROUNDS):
+        picked = checkpointed(_closest(apart))
+        roots = joined(roots, confirmed(picked, texts, words, percent))
+        untried = apart.select("a", "b", "alike").join(picked, ["a", "b"], "left_anti")
+        apart = checkpointed(_apart(untried, roots, full))
+    # A class whose tried pairs all failed may have others that its window did not show.
+    open_ = _apart(likely.select("a", "b"), roots, full).where("one_full").select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct()
     dense = classes.select("node", "sign").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     dense = checkpointed(dense.join(open_, "root", "left_semi").select("node", "sign"))
     roots = joined(roots, confirmed(apart.where("NOT both_full"), texts, words, percent))
@@ -284,7 +297,7 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "tex
         dense = dense.mapInPandas(_sketched(words), "node binary, sign binary, root binary, sketch binary")
         starts = [k * part // 2 for k in range(2 * TREES) if k % 2 == 0 or k % 4 == 1]
         more = orders(dense, starts, WIDE, _bar(SKETCH, percent, 0.5)).select("a", "b").distinct()
-        roots = joined(roots, confirmed(more.join(best, ["a", "b"], "left_anti"), texts, words, percent))
+        roots = joined(roots, confirmed(more, texts, words, percent))
 
     member = signed.select("_id", "_hash", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct((F.col("_id") == NO_ID).alias("last"), "_id", "_hash")
