@@ -1,14 +1,387 @@
-"""The registered queries of this package, with the SQL that gives the same rows."""
+"""The registered queries of this package, with the SQL that gives the same rows.
+
+Arrays are shown sorted and joined by commas, times as ISO strings.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vacantia.functions import places, titles
+from vacantia.functions.text import sql_has, without_tags
+from vacantia.operators import audits, ingest, search
+from vacantia.operators.tables import stored
+from vacantia.plans.synthetic import POSTINGS_SQL, postings
+from vacantia.sources import boards, links
+from vacantia.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable:
+    """Register a query under its function's name."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def shown(c: str | Column) -> Column:
+    return F.array_join(F.array_sort(F.coalesce(F.col(c) if isinstance(c, str) else c, F.array().cast("array<string>"))), ",")
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classified postings, stored as ingest leaves them: searches and audits read the relation."""
+    return stored(ingest.classified(postings(spark, sf_dir), places.gazetteer(spark)))
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """A column _as_of: the newest posting's time, so that results don't hang on the clock."""
+    return rows.crossJoin(F.broadcast(rows.agg(F.max("posted_at").alias("_as_of"))))
+
+
+_ROLE, _LEVELS = titles.sql_role_of("title"), titles.sql_seniorities_of("title")
+_ISO = "strftime(posted_at, '%Y-%m-%dT%H:%M:%S.%gZ')"
+# Plain: postings with what their title says, without the location work.
+_TITLED = f"(SELECT *, nullif({_ROLE}, 'other') AS role, {_LEVELS} AS seniorities FROM {POSTINGS_SQL})"
+
+
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.col("title")
+    return postings(spark, sf_dir).withColumn("role", F.nullif(titles.role_of(title), F.lit("other"))).withColumn("seniorities", titles.seniorities_of(title))
+
+
+@query(f"SELECT id, title, role FROM {_TITLED}")
+def role_from_title(spark, sf_dir):
+    return titled(spark, sf_dir).select("id", "title", "role")
+
+
+@query(f"SELECT coalesce(role, '(null)') AS role, count(*) AS n FROM {_TITLED} GROUP BY 1")
+def role_distribution(spark, sf_dir):
+    return audits.role_counts(titled(spark, sf_dir))
+
+
+@query(f"SELECT id, array_to_string(list_sort(string_split(seniorities, ',')), ',') AS seniorities FROM {_TITLED}")
+def seniority_from_title(spark, sf_dir):
+    return titled(spark, sf_dir).select("id", shown("seniorities").alias("seniorities"))
+
+
+def _sql_stack(role: str) -> str:
+    every = titles.sql_stack_lists("lower(coalesce(title, ''))")
+    of = lambda group: "[" + ", ".join(f"'{s}'" for s in group) + "]"
+    cases = " ".join(f"WHEN {role} = '{r}' THEN list_intersect({every}, {of(g)})" for r, g in titles.ROLE_STACKS.items())
+    stackless = ", ".join(f"'{r}'" for r in titles.STACKLESS_ROLES)
+    return f"CASE WHEN {role} IN ({stackless}) THEN [] {cases} ELSE {every} END"
+
+
+@query(f"SELECT id, array_to_string(list_sort({_sql_stack('role')}), ',') AS stack FROM {_TITLED}")
+def stack_from_text(spark, sf_dir):
+    return titled(spark, sf_dir).select("id", shown(titles.stack_of(F.col("title"), F.col("role"))).alias("stack"))
+
+
+@query(f"SELECT id FROM {_TITLED} WHERE list_has_any({_sql_stack('role')}, ['python', 'react'])")
+def stack_overlap_filter(spark, sf_dir):
+    stack = titles.stack_of(F.col("title"), F.col("role"))
+    return titled(spark, sf_dir).where(F.arrays_overlap(stack, F.array(F.lit("python"), F.lit("react")))).select("id")
+
+
+def _sql_role_matches(role: str) -> str:
+    keywords = " OR ".join(titles.sql_title_keyword("title", k) for k in titles.ROLE_KEYWORDS[role])
+    return f"(role = '{role}' OR (role IS NULL AND ({keywords})))"
+
+
+@query(f"SELECT id, title, {_ISO} AS posted_at, epoch_ms((SELECT max(posted_at) FROM {POSTINGS_SQL})) - epoch_ms(posted_at) <= 86400000 AS is_new FROM {_TITLED} WHERE {_sql_role_matches('backend')} ORDER BY posted_at DESC, id LIMIT 50")
+def feed_role_page(spark, sf_dir):
+    """A page is a limit by its nature."""
+    rows = latest(titled(spark, sf_dir)).where(search.role_matches("backend")).orderBy(F.desc("posted_at"), "id").limit(50)
+    new = F.unix_millis("_as_of") - F.unix_millis("posted_at") <= search.DAY_MS
+    return rows.select("id", "title", ingest.iso_millis(F.col("posted_at")).alias("posted_at"), new.alias("is_new"))
+
+
+@query(f"SELECT CAST(1 AS INTEGER) AS page, CAST(50 AS INTEGER) AS page_size, count(*) AS total, CAST(greatest(1, ceil(count(*) / 50)) AS BIGINT) AS total_pages FROM {POSTINGS_SQL}")
+def feed_total_pages(spark, sf_dir):
+    return search.totals(postings(spark, sf_dir), search.Request())
+
+
+@query(f"SELECT id, {' OR '.join(titles.sql_title_keyword('title', k) for k in titles.ROLE_KEYWORDS['ai'])} AS hit FROM {POSTINGS_SQL}")
+def title_keyword_match(spark, sf_dir):
+    hit = F.lit(False)
+    for k in titles.ROLE_KEYWORDS["ai"]:
+        hit = hit | titles.title_keyword(F.col("title"), k)
+    return postings(spark, sf_dir).select("id", hit.alias("hit"))
+
+
+@query(f"SELECT id, {titles.sql_without_location('title', 'location_raw')} AS title FROM {POSTINGS_SQL}")
+def title_location_strip(spark, sf_dir):
+    return postings(spark, sf_dir).select("id", titles.without_location(F.col("title"), F.col("location_raw")).alias("title"))
+
+
+@query(f"SELECT id, {places.sql_formatted('location_raw')} AS location FROM {POSTINGS_SQL}")
+def raw_location_format(spark, sf_dir):
+    return postings(spark, sf_dir).select("id", places.formatted(F.col("location_raw")).alias("location"))
+
+
+@query(f"SELECT id, array_to_string({places.sql_segments('location_raw')}, '#') AS segments FROM {POSTINGS_SQL}")
+def location_segments(spark, sf_dir):
+    return postings(spark, sf_dir).select("id", F.array_join(places.segments(F.col("location_raw")), "#").alias("segments"))
+
+
+@query(places.sql_facets(POSTINGS_SQL))
+def location_facets(spark, sf_dir):
+    found = places.facets(postings(spark, sf_dir), places.gazetteer(spark))
+    return found.select("location_raw", shown("tokens").alias("tokens"), shown("countries").alias("countries"), shown("regions").alias("regions"))
+
+
+@query(f"SELECT id, {places.sql_country_hint('location_raw')} AS hint FROM {POSTINGS_SQL} WHERE location_raw IS NOT NULL")
+def country_hint_canonical(spark, sf_dir):
+    return postings(spark, sf_dir).where("location_raw IS NOT NULL").select("id", places.country_hint(F.col("location_raw")).alias("hint"))
+
+
+@query(f"SELECT id, {sql_has('title', places._tied(places.REMOTE_REGIONS))} OR {sql_has('location_raw', places._tied(places.REMOTE_REGIONS))} AS tied FROM {POSTINGS_SQL}")
+def geo_scoped_remote(spark, sf_dir):
+    tied = places.tied_to_region(F.col("title")) | places.tied_to_region(F.col("location_raw"))
+    return postings(spark, sf_dir).select("id", tied.alias("tied"))
+
+
+@query(
+    """SELECT id, CASE WHEN contains(raw, '|') AND len(bars) > 0 THEN bars[1] WHEN provider = 'ashby' AND len(commas) > len(geo) THEN CASE WHEN len(geo) > 0 THEN geo[1] || ', Remote' ELSE 'Remote' END
+       WHEN provider = 'ashby' AND len(commas) > 0 THEN commas[1] ELSE title END AS first_place,
+       array_to_string(CASE WHEN contains(raw, '|') AND len(bars) > 0 THEN bars[2:] WHEN provider = 'ashby' AND len(commas) > len(geo) THEN list_filter(geo, lambda x: x <> geo[1])
+       WHEN provider = 'ashby' AND len(commas) > 0 THEN commas[2:] ELSE [] END, '#') AS other_places
+     FROM (SELECT *, list_filter(commas, lambda x: lower(x) <> 'remote') AS geo FROM (
+       SELECT *, trim(coalesce(location_raw, '')) AS raw, list_filter(list_transform(string_split(trim(coalesce(location_raw, '')), '|'), lambda x: trim(x)), lambda x: x <> '') AS bars,
+              list_filter(list_transform(string_split(trim(coalesce(location_raw, '')), ','), lambda x: trim(x)), lambda x: x <> '') AS commas FROM """
+    + POSTINGS_SQL
+    + "))"
+)
+def display_location_parts(spark, sf_dir):
+    parts = places.display_parts(F.col("location_raw"), F.col("title"), F.col("provider"))
+    return postings(spark, sf_dir).select("id", parts["primary"].alias("first_place"), F.array_join(parts["others"], "#").alias("other_places"))
+
+
+_HASH = f"sha256(concat_ws('|', provider, external_id, lower(title), lower(company), lower(coalesce(location_raw, '')), url, {_ISO}))"
+_HASHED = f"(SELECT *, {_HASH} AS hash FROM {POSTINGS_SQL})"
+
+
+def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings(spark, sf_dir).withColumn("hash", ingest.content_hash("location_raw"))
+
+
+@query(f"SELECT id, hash FROM {_HASHED}")
+def posting_id_hash(spark, sf_dir):
+    return hashed(spark, sf_dir).select("id", "hash")
+
+
+@query(f"SELECT id FROM {_HASHED} WHERE CAST(external_id AS BIGINT) % 3 <> 0")
+def ingest_new_only(spark, sf_dir):
+    rows = hashed(spark, sf_dir)
+    return ingest.new_only(rows.unionByName(rows.where("external_id % 5 = 0")), rows.where("external_id % 3 = 0")).select("id")
+
+
+@query(f"SELECT id FROM {POSTINGS_SQL} WHERE NOT (provider = 'lever' AND CAST(external_id AS BIGINT) % 2 = 1 AND CAST(external_id AS BIGINT) % 7 = 0)")
+def reconcile_snapshot(spark, sf_dir):
+    rows = postings(spark, sf_dir)
+    scope = rows.where("provider = 'lever'")
+    return ingest.reconciled(rows, scope, scope.where("NOT (external_id % 2 = 1 AND external_id % 7 = 0)")).select("id")
+
+
+@query(f"SELECT id FROM {POSTINGS_SQL} WHERE provider <> 'ashby'")
+def reconcile_empty_snapshot(spark, sf_dir):
+    rows = postings(spark, sf_dir)
+    return ingest.reconciled(rows, rows.where("provider = 'ashby'"), rows.limit(0)).select("id")
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source catalog made of suppliers."""
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        F.element_at(F.array(*map(F.lit, boards.EXTRACTORS)), (F.col("s_suppkey") % 4 + 1).cast("int")).alias("provider"), F.col("s_suppkey").cast("string").alias("external_id"), F.col("s_name").alias("name"),
+        (F.col("s_acctbal") > 0).alias("is_active"), F.lit("success").alias("sync_status"),
+    )
+
+
+_SOURCES = """(SELECT ['ashby', 'greenhouse', 'workable', 'lever'][s_suppkey % 4 + 1] AS provider, CAST(s_suppkey AS VARCHAR) AS external_id, s_name AS name,
+  s_acctbal > 0 AS is_active, 'success' AS sync_status FROM supplier)"""
+
+
+@query(f"SELECT provider, external_id, (row_number() OVER (PARTITION BY provider ORDER BY name, external_id) - 1) * 400 AS delay_ms FROM {_SOURCES} WHERE is_active")
+def poll_stagger(spark, sf_dir):
+    return ingest.staggered(sources(spark, sf_dir)).select("provider", "external_id", "delay_ms")
+
+
+@query(f"SELECT provider, external_id, name FROM {_SOURCES} WHERE is_active AND (lower(name) = '7' OR lower(external_id) = '7') LIMIT 1")
+def source_lookup(spark, sf_dir):
+    return ingest.source_lookup(sources(spark, sf_dir), " 7 ").select("provider", "external_id", "name")
+
+
+@query(f"SELECT provider, external_id, CASE WHEN CAST(external_id AS BIGINT) % 3 = 0 THEN name || ' new' ELSE name END AS name, CASE WHEN CAST(external_id AS BIGINT) % 3 = 0 THEN true ELSE is_active END AS is_active, CASE WHEN CAST(external_id AS BIGINT) % 3 = 0 THEN 'idle' ELSE sync_status END AS sync_status FROM {_SOURCES}")
+def catalog_upsert(spark, sf_dir):
+    stored = sources(spark, sf_dir)
+    old = stored.where("external_id % 3 = 0").withColumn("seq", F.lit(1))
+    new = old.withColumn("name", F.concat("name", F.lit(" new"))).withColumn("seq", F.lit(2))
+    return ingest.upserted(stored, old.unionByName(new), ["provider", "external_id"], {"is_active": F.lit(True), "sync_status": F.lit("idle")}, "seq")
+
+
+@query(f"SELECT trim(coalesce(location_raw, '')) AS place, count(*) AS n FROM {POSTINGS_SQL} GROUP BY 1 ORDER BY n DESC, place LIMIT 40")
+def audit_top_raw(spark, sf_dir):
+    """A top-k report."""
+    return audits.top_places(postings(spark, sf_dir).withColumn("location", F.lit(None).cast("string")))
+
+
+@query(f"""SELECT count(*) AS scanned, count(*) FILTER (role IS NULL) AS no_role, count(*) FILTER (seniorities = '') AS no_seniority, count(*) FILTER (len(stack) = 0) AS no_stack
+  FROM (SELECT *, {_sql_stack('role')} AS stack FROM {_TITLED})""")
+def audit_conditional_counts(spark, sf_dir):
+    rows = titled(spark, sf_dir).withColumn("stack", titles.stack_of(F.col("title"), F.col("role")))
+    return audits.conditional_counts(rows).select("scanned", "no_role", "no_seniority", "no_stack")
+
+
+_SOFT = sql_has("lower(title)", titles.SOFTWARE)
+
+
+@query(f"SELECT provider, company, bool_or({_SOFT}) AS has_intent, count(DISTINCT CASE WHEN {_SOFT} THEN title END) AS n_titles FROM {POSTINGS_SQL} GROUP BY 1, 2")
+def swe_intent_by_source(spark, sf_dir):
+    return audits.intent_by_source(postings(spark, sf_dir))
+
+
+@query()
+def feed_preset_filtered(spark, sf_dir):
+    """A whole request over classified postings, location filter included; held against a plain model in the tests."""
+    rows = latest(jobs(spark, sf_dir))
+    request = search.Request.of(role="backend", stack=["python", "java"], seniority="senior", location=["Germany", "fully-remote"], limit=200)
+    page = search.feed(rows, request, F.col("_as_of"))
+    return page.withColumn("location_secondary", shown("location_secondary")).withColumn("stack", shown("stack")).withColumn("seniorities", shown("seniorities"))
+
+
+@query()
+def preview_ranked_by_country(spark, sf_dir):
+    rows = latest(jobs(spark, sf_dir))
+    return search.preview(rows, "DE", F.col("_as_of")).withColumn("location_secondary", shown("location_secondary"))
+
+
+@query(f"SELECT count(*) AS total FROM {POSTINGS_SQL}")
+def preview_total(spark, sf_dir):
+    return postings(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"))
+
+
+@query()
+def fully_remote(spark, sf_dir):
+    return jobs(spark, sf_dir).where(search.fully_remote()).select("id", "location", "location_raw")
+
+
+@query()
+def facet_hint_merge(spark, sf_dir):
+    rows = postings(spark, sf_dir).withColumn("location_hints", F.when(F.col("external_id") % 2 == 0, F.array(F.lit("US | EU"), F.lit("emea"))))
+    return ingest.classified(rows, places.gazetteer(spark)).select("id", shown("location_tokens").alias("tokens"), shown("location_countries").alias("countries"), shown("location_regions").alias("regions"))
+
+
+@query()
+def classified_postings(spark, sf_dir):
+    """Everything that ingest derives."""
+    arrays = ("location_tokens", "location_countries", "location_regions", "stack", "seniorities")
+    return jobs(spark, sf_dir).withColumns({c: shown(c) for c in arrays})
+
+
+@query()
+def audit_empty_geo(spark, sf_dir):
+    return audits.empty_geography(jobs(spark, sf_dir)).select("id", "location_raw")
+
+
+@query()
+def audit_mismatch_categories(spark, sf_dir):
+    """Stored facets of every fifth posting are disturbed first."""
+    odd = F.col("external_id") % 5 == 0
+    rows = jobs(spark, sf_dir).withColumn("location_tokens", F.when(odd, F.array(F.lit("x"))).otherwise(F.col("location_tokens")))
+    return audits.category_counts(audits.mismatches(rows, places.gazetteer(spark)))
+
+
+_HREFS = r"""(SELECT page_id, generate_subscripts(h, 1) AS position, regexp_replace(trim(unnest(h)), ',+$', '') AS href
+  FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1) AS h FROM pages))"""
+
+
+@query(f"SELECT page_id, CAST(position AS BIGINT) AS position, href FROM {_HREFS}")
+def page_links(spark, sf_dir):
+    return links.links(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query(f"SELECT page_id, CAST(min(position) AS BIGINT) AS position, href FROM {_HREFS} GROUP BY page_id, href")
+def page_first_links(spark, sf_dir):
+    return links.first_links(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "position", "href")
+
+
+@query("SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1")
+def page_link_hosts(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").groupBy(links.host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
+def html_strip(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", without_tags(F.col("html")).alias("text"))
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rows.withColumn("at_ms", F.unix_millis(F.col("ts").cast("timestamp")))
+
+
+@query(
+    "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) RANGE BETWEEN 3599999 PRECEDING AND CURRENT ROW) AS n_recent FROM events WHERE event_type = 'error'"
+)
+def timeout_window_count(spark, sf_dir):
+    return state.recent_counts(events(spark, sf_dir).where("event_type = 'error'"), "user_id", "at_ms", 3_600_000).select("event_id", "n_recent")
+
+
+@query()
+def breaker_opens(spark, sf_dir):
+    machine = state.Breaker(window=6 * 3_600_000, threshold=3, cooldown=12 * 3_600_000)
+    return state.folded(events(spark, sf_dir).where("event_type = 'error'"), machine, "user_id", "at_ms", "event_id").where("opens")
+
+
+@query()
+def limiter_decisions(spark, sf_dir):
+    machine = state.Limiter(limit=5, ttl=6 * 3_600_000, block=3_600_000)
+    return state.folded(events(spark, sf_dir), machine, "user_id", "at_ms", "event_id")
+
+
+def landed(spark: SparkSession, sf_dir: str, provider: str) -> DataFrame:
+    """Payloads of one board, a response for each company, made of the synthetic postings."""
+    rows = postings(spark, sf_dir).where(F.col("provider") == provider)
+    ms = F.unix_millis("posted_at")
+    at = ingest.iso_millis(F.col("posted_at"))
+    shape = {
+        "ashby": F.struct(F.col("external_id").alias("id"), "title", F.col("location_raw").alias("location"), F.col("is_flagged_remote").alias("isRemote"), at.alias("publishedAt"), F.col("url").alias("jobUrl")),
+        "greenhouse": F.struct(F.col("external_id").cast("long").alias("id"), "title", F.struct(F.col("location_raw").alias("name")).alias("location"), at.alias("updated_at"), F.col("url").alias("absolute_url")),
+        "workable": F.struct(F.col("external_id").alias("id"), "title", F.struct(F.col("location_raw").alias("location_str"), F.col("is_flagged_remote").alias("telecommuting")).alias("location"), at.alias("created_at"), "url"),
+        "lever": F.struct(F.col("external_id").alias("id"), F.col("title").alias("text"), F.struct(F.col("location_raw").alias("location")).alias("categories"), F.when(F.col("is_flagged_remote"), "remote").alias("workplaceType"), ms.alias("createdAt"), F.col("url").alias("hostedUrl")),
+    }[provider]
+    grouped = rows.groupBy("company").agg(F.collect_list(shape).alias("jobs"))
+    whole = F.to_json(F.struct("jobs")) if provider in boards.WRAPPED else F.to_json("jobs")
+    return grouped.select(F.col("company").alias("slug"), "company", whole.alias("payload"))
+
+
+def _extracted(provider: str) -> None:
+    flagged = {"greenhouse": "(contains(lower(coalesce(location_raw, '')), 'remote') OR contains(lower(coalesce(location_raw, '')), 'anywhere'))"}.get(provider, "is_flagged_remote")
+    sql = f"""SELECT external_id, trim(title) AS title, company, coalesce(nullif(trim(coalesce(location_raw, '')), ''), 'Unknown') AS location_raw, {_ISO} AS posted_at, {flagged} AS is_flagged_remote, url
+      FROM {POSTINGS_SQL} WHERE provider = '{provider}' AND {"trim(title)" if provider == "lever" else "title"} <> ''"""
+
+    def run(spark, sf_dir):
+        rows = boards.extract(landed(spark, sf_dir, provider), provider, F.lit("2000-01-01").cast("timestamp"))
+        return rows.select("external_id", "title", "company", "location_raw", ingest.iso_millis(F.col("posted_at")).alias("posted_at"), "is_flagged_remote", "url")
+
+    run.__name__ = f"extract_{provider}"
+    query(sql)(run)
+
+
+for _provider in boards.EXTRACTORS:
+    _extracted(_provider)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """Postings in, a filtered and ordered feed page out."""
+    return feed_preset_filtered(spark, sf_dir)
