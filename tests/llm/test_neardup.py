@@ -98,6 +98,7 @@ def test_components_of_random_graphs(spark):
         if a is not None and a != b:
             x, y = sorted((find(a), find(b)))
             root[y] = x
-    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
-    same(got, [(i, find(i)) for i in list(root)])
+    for limit in (0, 10**6):  # by stars, and by one task
+        got = components.components(spark.createDataFrame(edges, "a long, b long"), local_edges=limit).collect()
+        same(got, [(i, find(i)) for i in list(root)])
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
