@@ -12,7 +12,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import any_of, has, literal, quoted, replaced, trimmed
+from .text import EDGE, any_of, has, literal, quoted, replaced, trimmed
 
 # Names of regions as written, and as stored.
 REGIONS: dict[str, str] = {
@@ -111,8 +111,7 @@ def without_company(raw: Column, company: Column) -> Column:
     """A location without the employer's name; `Unknown` where there is nothing else."""
     place, name = F.trim(raw), F.trim(F.coalesce(company, F.lit("")))
     escaped = F.regexp_replace(F.regexp_replace(name, r"([.^$*+?{}\[\]\\|()])", r"\\$1"), r"\s+", r"\\s+")
-    edge = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
-    cut = F.regexp_replace(place, F.concat(F.lit("(?i)" + edge[0]), escaped, F.lit(edge[1])), F.lit(" "))
+    cut = F.regexp_replace(place, F.concat(F.lit("(?i)" + EDGE), escaped, F.lit(EDGE)), F.lit(" "))
     cut = F.regexp_replace(F.regexp_replace(cut, r"\s{2,}", " "), r"^[\s,;/|–-]+|[\s,;/|–-]+$", "")
     short = (~name.contains(" ")) & (F.char_length(name) < 3)
     return F.when((place == "") | (name == "") | short & (F.lower(place) != F.lower(name)), place).when(F.lower(place) == F.lower(name), "Unknown").when(cut == "", place).otherwise(_no_empty_parens(cut))
