@@ -43,15 +43,17 @@ FAR_OFF = 4.5
 ROUNDS = 3
 #: For dense regions: how far rows may stand apart, and how many minima of one bit tell them from each other.
 WIDE = 256
-SKETCH = 4096
+SKETCH = 8192
 NO_ID = -(1 << 63)
 #: Hashes computed at once.
 CELLS = 1 << 18
 MEMO = 100_000
 
 _rng = np.random.default_rng(20240229)
-_ODD = (_rng.integers(0, 1 << 63, SIGNATURE + SKETCH, np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, SIGNATURE + SKETCH, np.uint64)
+_ODD = (_rng.integers(0, 1 << 63, SIGNATURE, np.uint64) << np.uint64(1)) | np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, SIGNATURE, np.uint64)
+_ODD_32 = (_rng.integers(0, 1 << 31, SKETCH, np.uint32) << np.uint32(1)) | np.uint32(1)
+_ADD_32 = _rng.integers(0, 1 << 32, SKETCH, np.uint32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,25 +90,24 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-def minima(held: np.ndarray, at: int, n: int) -> np.ndarray:
-    """n minima of a set, by the hash functions from `at` on, mixed anew."""
-    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    odd, add = _ODD[at : at + n, None], _ADD[at : at + n, None]
-    step = max(1, CELLS // n)
-    for k in range(0, len(held), step):
-        part = held[k : k + step]
-        np.minimum(least, (odd * (part ^ (part >> np.uint64(31)))[None, :] + add).min(axis=1), out=least)
-    return (least * _MIX) >> np.uint64(40)
-
-
 def signature(held: np.ndarray) -> bytes:
-    """SIGNATURE minima of a set, 16 bits each, big-endian so that bytes sort as numbers do."""
-    return minima(held, 0, SIGNATURE).astype(">u2").tobytes()
+    """SIGNATURE minima of a set, mixed to 16 bits each, big-endian so that bytes sort as numbers do."""
+    least = np.full(SIGNATURE, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(held), CELLS // SIGNATURE):
+        part = held[k : k + CELLS // SIGNATURE]
+        np.minimum(least, (_ODD[:, None] * (part ^ (part >> np.uint64(31)))[None, :] + _ADD[:, None]).min(axis=1), out=least)
+    return ((least * _MIX) >> np.uint64(40)).astype(">u2").tobytes()
 
 
 def sketch(held: np.ndarray) -> bytes:
-    """SKETCH further minima, one bit each."""
-    return np.packbits(minima(held, SIGNATURE, SKETCH).astype(np.uint8) & 1).tobytes()
+    """SKETCH further minima of 32 bits, of which each gives one bit."""
+    short = (held >> np.uint64(32)).astype(np.uint32)
+    least = np.full(SKETCH, np.iinfo(np.uint32).max, np.uint32)
+    for k in range(0, len(short), CELLS // SKETCH):
+        part = short[k : k + CELLS // SKETCH]
+        np.minimum(least, (_ODD_32[:, None] * part[None, :] + _ADD_32[:, None]).min(axis=1), out=least)
+    least = (least ^ (least >> np.uint32(15))) * np.uint32(0x9E3779B1)
+    return np.packbits((least >> np.uint32(20)).astype(np.uint8) & 1).tobytes()
 
 
 def _signed(words: int):
@@ -295,8 +296,8 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "tex
     if dense.take(1):
         dense = dense.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(texts, "node")
         dense = dense.mapInPandas(_sketched(words), "node binary, sign binary, root binary, sketch binary")
-        starts = [k * part // 2 for k in range(2 * TREES) if k % 2 == 0 or k % 4 == 1]
-        more = orders(dense, starts, WIDE, _bar(SKETCH, percent, 0.5)).select("a", "b").distinct()
+        # The same orders with wider windows: every pair that was put off is met again.
+        more = orders(dense, [t * part for t in range(TREES)], WIDE, _bar(SKETCH, percent, 0.5)).select("a", "b").distinct()
         roots = joined(roots, confirmed(more, texts, words, percent))
 
     member = signed.select("_id", "_hash", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
