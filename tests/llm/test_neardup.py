@@ -61,6 +61,21 @@ def test_chains_copies_and_dense_groups(spark):
     check(spark, texts, words=5)
 
 
+def crowd(strangers, partners, rng, pool=300, held=170, changed=18):
+    """Texts of `held` words of one pool, each word in its own place, and partners of some that exchange a few."""
+    sets = [set(rng.sample(range(pool), held)) for _ in range(strangers)]
+    for k in range(partners):
+        others = sorted(set(range(pool)) - sets[k])
+        sets.append(sets[k] - set(rng.sample(sorted(sets[k]), changed)) | set(rng.sample(others, changed)))
+    return [(i, " ".join(f"w{x}" for x in sorted(t))) for i, t in enumerate(sets)]
+
+
+def test_windows_full_of_strangers(spark, monkeypatch):
+    # Strangers are 0.4 alike, so that signatures rule them out; some partners stand further off than a window, here the narrowest.
+    monkeypatch.setattr(neardup, "NEIGHBOURS", 1)
+    check(spark, crowd(900, 300, random.Random(11)), words=1)
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark)
     got = neardup.near_duplicates(docs).collect()

@@ -11,8 +11,9 @@
 5. The rest are confirmed on full sets made from the texts: first, in a few rounds, each class with its most similar
    partner of another component; then all pairs whose classes are still in different ones. Links inside a component
    change nothing.
-6. Components in regions too dense for the window are sorted again in further orders, with windows of WIDE rows, in which
-   sketches of SKETCH bits tell which pairs may still be links between components; those are confirmed as well.
+6. Classes whose windows were full may have partners that no window showed. All classes of one prefix with full windows
+   meet in blocks; those that may be similar to one of another component are sorted again, with windows of WIDE rows, in
+   which sketches of SKETCH bits tell which pairs may still be links between components; those are confirmed as well.
 
 Defined cases: a text without words, or null, has an empty set and no link; fewer words than a shingle has make one
 shingle; equal rows are members of one class; a null doc_id is a row of its own, and a component's id is its least
@@ -44,6 +45,8 @@ ROUNDS = 3
 #: For dense regions: how far rows may stand apart, and how many minima of one bit tell them from each other.
 WIDE = 256
 SKETCH = 8192
+#: All pairs of so many rows of one prefix are met by one task.
+BLOCK = 1024
 NO_ID = -(1 << 63)
 #: Hashes computed at once.
 CELLS = 1 << 18
@@ -158,7 +161,7 @@ def _meet(width: int, sketched: float | None = None):
                     continue
                 x, y = nodes[right], nodes[right - j]
                 less = np.array([u < v for u, v in zip(x, y, strict=True)], bool)
-                yield pd.DataFrame({"a": np.where(less, x, y), "b": np.where(less, y, x), "step": np.int32(j), **dict.fromkeys(columns)})
+                yield pd.DataFrame({"a": np.where(less, x, y), "b": np.where(less, y, x), "step": np.int32(j), **dict.fromkeys(columns), "tree": trees[right]})
             rows = rows[-width:].reset_index(drop=True)
         if rows is not None:
             ends = pd.concat([*first, rows]).drop_duplicates(["tree", "node"])
@@ -171,7 +174,7 @@ MEET = "a binary, b binary, step int, tree int, key binary, node binary"
 
 
 def orders(classes: DataFrame, starts: list[int], width: int, sketched: float | None = None) -> DataFrame:
-    """(a, b, step): near rows of the orders that begin at these places of the signature."""
+    """(a, b, step, tree): near rows of the orders that begin at these places of the signature."""
     schema = MEET + (", root binary, sketch binary" if sketched is not None else "")
     order = F.explode(F.array(*[F.struct(F.lit(s).alias("tree"), F.substring(F.concat("sign", "sign"), 2 * s + 1, 2 * DEPTH).alias("key")) for s in starts]))
     own = ["node", *(["root", "sketch"] if sketched is not None else [])]
@@ -179,7 +182,7 @@ def orders(classes: DataFrame, starts: list[int], width: int, sketched: float |
     met = stored(rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node").mapInPandas(_meet(width, sketched), schema))
     # The two ends of each partition: a small table that grows with the number of partitions only.
     ends = met.where("a IS NULL").drop("a", "b", "step").coalesce(1).sortWithinPartitions("tree", "key", "node").mapInPandas(_meet(width, sketched), schema)
-    return met.where("a IS NOT NULL").union(ends.where("a IS NOT NULL")).select("a", "b", "step")
+    return met.where("a IS NOT NULL").union(ends.where("a IS NOT NULL")).select("a", "b", "step", "tree")
 
 
 def _bar(places: int, percent: int, chance: float = 0.0) -> float:
@@ -203,6 +206,88 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return rows.where(F.col("alike") >= _bar(SIGNATURE, percent))
 
 
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted rows, a frame for each (tree, prefix, lo, hi)."""
+    rows = None
+    for batch in batches:
+        rows = batch if rows is None or not len(rows) else pd.concat([rows, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        keys = [rows[c].to_numpy() for c in ("tree", "prefix", "lo", "hi")]
+        new = np.zeros(len(rows) - 1, bool)
+        for k in keys:
+            new |= k[1:] != k[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            yield rows[x:y]
+        rows = rows[cuts[-1] :].reset_index(drop=True)
+    if rows is not None and len(rows):
+        yield rows
+
+
+def _pairs(group: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of a block, or of two, that have different roots and may be similar enough by sizes and signatures."""
+    n, own, root = group["n"].to_numpy(), group["own"].to_numpy(), pd.factorize(group["root"])[0]
+    signs = np.frombuffer(b"".join(group["sign"]), np.uint16).reshape(-1, SIGNATURE)
+    lo, hi = group["lo"].iat[0], group["hi"].iat[0]
+    left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+    at = max(1, CELLS // max(1, len(right)))
+    across = np.ascontiguousarray(signs[right].T)
+    for k in range(0, len(left), at):
+        x = left[k : k + at]
+        good = (root[x][:, None] != root[right]) & (100 * np.minimum(n[x][:, None], n[right]) >= percent * np.maximum(n[x][:, None], n[right]))
+        if lo == hi:
+            good &= x[:, None] < right
+        if good.any():
+            alike = np.zeros(good.shape, np.uint8)
+            for i in range(SIGNATURE):
+                alike += signs[x, i][:, None] == across[i]
+            u, v = np.nonzero(good & (alike >= _bar(SIGNATURE, percent)))
+            if len(u):
+                yield x[u], right[v]
+
+
+def _crowded(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches):
+            hit = np.zeros(len(group), bool)
+            for x, y in _pairs(group, percent):
+                hit[x] = hit[y] = True
+            if hit.any():
+                yield pd.DataFrame({"node": group["node"].to_numpy(object)[hit]})
+
+    return run
+
+
+def in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Rows (tree, prefix, node, root and others) dealt so that all pairs of a (tree, prefix) with more than one root meet.
+
+    A group of many rows is cut into blocks of about `block`, of which any two meet in a task: no group is too large, and
+    no pair is left out.
+    """
+    sizes = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    sizes = sizes.where("r0 != r1").select("tree", "prefix", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, ["tree", "prefix"]).withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) AS int)"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "blocks")
+    keys = ["tree", "prefix", "lo", "hi"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def _prefix(tree: Column) -> Column:
+    return F.substring(F.col("sign"), 2 * tree + 1, F.lit(2 * LEAST_DEPTH))
+
+
+def crowded(full: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Classes that may be similar enough to one of another component beside which they stand in an order, at whatever distance.
+
+    A pair of one prefix that no window showed has more than NEIGHBOURS rows between its ends, so both are `full` there.
+    """
+    rows = full.join(classes.select("node", "n", "sign"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rows.withColumn("prefix", _prefix(F.col("tree")))
+    return in_blocks(rows, BLOCK).mapInPandas(_crowded(percent), "node binary").distinct()
+
+
 def _sketched(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -245,14 +330,14 @@ def _closest(pairs: DataFrame) -> DataFrame:
 
 
 def _apart(pairs: DataFrame, roots: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs whose ends are not yet in one component, and whether both ends, or one, are among `full`."""
+    """The pairs whose ends are not yet in one component, and whether both ends are among `full`."""
     known = roots.join(full.withColumn("full", F.lit(True)), "node", "full")
     rows = pairs
     for end in ("a", "b"):
         rows = rows.join(known.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"), F.col("full").alias(f"full_{end}")), end, "left")
     is_full = [F.coalesce(f"full_{end}", F.lit(False)) for end in ("a", "b")]
     rows = rows.withColumn("root_a", F.coalesce("root_a", "a")).withColumn("root_b", F.coalesce("root_b", "b"))
-    return rows.where("root_a != root_b").select(*pairs.columns, "root_a", "root_b", (is_full[0] & is_full[1]).alias("both_full"), (is_full[0] | is_full[1]).alias("one_full"))
+    return rows.where("root_a != root_b").select(*pairs.columns, "root_a", "root_b", (is_full[0] & is_full[1]).alias("both_full"))
 
 
 def _identity(docs: DataFrame, text: str) -> list[Column]:
@@ -278,23 +363,24 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "tex
     # One text for each class: rows that repeat an id and a text are alike.
     texts = stored(rows.join(reps, ["_id", "_hash"]).select("node", F.col("_text").alias("text")).dropDuplicates(["node"]))
 
-    # Dense are the components of which some class is likely near one of another, where one of the two had a full window.
-    # Pairs with two full windows wait for the further orders; the others are confirmed at once.
-    full = checkpointed(met.where(F.col("step") == NEIGHBOURS).select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    # Pairs of which both ends had a full window somewhere wait for the second search; the others are confirmed at once.
+    full = checkpointed(met.where(F.col("step") == NEIGHBOURS).select(F.explode(F.array("a", "b")).alias("node"), "tree").distinct())
+    full_nodes = full.select("node").distinct()
     roots = texts.select("node", F.col("node").alias("root"))
     apart = likely
     for _ in range(ROUNDS):
         picked = checkpointed(_closest(apart))
         roots = joined(roots, confirmed(picked, texts, words, percent))
         untried = apart.select("a", "b", "alike").join(picked, ["a", "b"], "left_anti")
-        apart = checkpointed(_apart(untried, roots, full))
-    # A class whose tried pairs all failed may have others that its window did not show.
-    open_ = _apart(likely.select("a", "b"), roots, full).where("one_full").select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct()
-    dense = classes.select("node", "sign").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    dense = checkpointed(dense.join(open_, "root", "left_semi").select("node", "sign"))
+        apart = checkpointed(_apart(untried, roots, full_nodes))
     roots = joined(roots, confirmed(apart.where("NOT both_full"), texts, words, percent))
+    # Searched again is what had full windows, whether they showed a likely partner or not.
+    waiting = apart.where("both_full").select(F.explode(F.array("a", "b")).alias("node"))
+    dense = checkpointed(crowded(full, classes, roots, percent).union(waiting).distinct())
     if dense.take(1):
-        dense = dense.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(texts, "node")
+        late = classes.join(dense, "node", "left_semi").join(wanted, "node", "left_anti").select("node", "_id", "_hash")
+        texts = texts.union(stored(rows.join(late, ["_id", "_hash"]).select("node", F.col("_text").alias("text")).dropDuplicates(["node"])))
+        dense = classes.select("node", "sign").join(dense, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(texts, "node")
         dense = dense.mapInPandas(_sketched(words), "node binary, sign binary, root binary, sketch binary")
         # The same orders with wider windows: every pair that was put off is met again.
         more = orders(dense, [t * part for t in range(TREES)], WIDE, _bar(SKETCH, percent, 0.5)).select("a", "b").distinct()
