@@ -76,6 +76,13 @@ def test_windows_full_of_strangers(spark, monkeypatch):
     check(spark, crowd(900, 300, random.Random(11)), words=1)
 
 
+def test_dense_regions_have_no_window(spark, monkeypatch):
+    # Strangers are 0.7 alike, which signatures do not rule out; no setting of a window decides which partners are met.
+    for name, rows in (("NEIGHBOURS", 1), ("WIDE", 2), ("BLOCK", 40)):
+        monkeypatch.setattr(neardup, name, rows, raising=False)
+    check(spark, crowd(500, 200, random.Random(12), 300, 247, 26), words=1)
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark)
     got = neardup.near_duplicates(docs).collect()

@@ -12,8 +12,10 @@
    partner of another component; then all pairs whose classes are still in different ones. Links inside a component
    change nothing.
 6. Classes whose windows were full may have partners that no window showed. All classes of one prefix with full windows
-   meet in blocks; those that may be similar to one of another component are sorted again, with windows of WIDE rows, in
-   which sketches of SKETCH bits tell which pairs may still be links between components; those are confirmed as well.
+   meet in blocks, however many there are; those that may be similar to one of another component meet once more in all
+   orders, where sketches of SKETCH bits tell which pairs may still be links between components; those are confirmed too.
+   So a link is missed by chance of hashing only (no common prefix in any order, or FAR_OFF deviations), not by density.
+   Work in a region is quadratic in its classes of one prefix; rows are not.
 
 Defined cases: a text without words, or null, has an empty set and no link; fewer words than a shingle has make one
 shingle; equal rows are members of one class; a null doc_id is a row of its own, and a component's id is its least
@@ -42,8 +44,7 @@ SIGNATURE = 96
 FAR_OFF = 4.5
 #: Before all remaining pairs are confirmed, so often each class tries its most similar partner of another component.
 ROUNDS = 3
-#: For dense regions: how far rows may stand apart, and how many minima of one bit tell them from each other.
-WIDE = 256
+#: For dense regions: how many minima of one bit tell rows from each other.
 SKETCH = 8192
 #: All pairs of so many rows of one prefix are met by one task.
 BLOCK = 1024
@@ -127,12 +128,9 @@ def _signed(words: int):
     return run
 
 
-def _meet(width: int, sketched: float | None = None):
-    """Rows in sorted order: pairs of rows at most `width` apart, and the rows at either end, which meet other partitions' rows.
-
-    With `sketched`, only pairs of different roots whose sketches agree in that many bits at least.
-    """
-    columns = ["tree", "key", "node", *(["root", "sketch"] if sketched is not None else [])]
+def _meet(width: int):
+    """Rows in sorted order: pairs of rows at most `width` apart, and the rows at either end, which meet other partitions' rows."""
+    columns = ["tree", "key", "node"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, first, left = None, [], width
@@ -146,19 +144,12 @@ def _meet(width: int, sketched: float | None = None):
             rows = batch if rows is None else pd.concat([rows, batch], ignore_index=True)
             trees, nodes = rows["tree"].to_numpy(), rows["node"].to_numpy(object)
             keys = np.frombuffer(b"".join(rows["key"]), ">u2").reshape(-1, DEPTH).astype(np.uint16)
-            held = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1) if sketched is not None else None
-            roots = rows["root"].to_numpy(object) if sketched is not None else None
             for j in range(1, width + 1):
                 right = np.arange(max(j, had), len(rows))
                 near = (keys[right, :LEAST_DEPTH] == keys[right - j, :LEAST_DEPTH]).all(axis=1) & (trees[right] == trees[right - j])
                 right = right[near]
-                if sketched is not None and len(right):
-                    right = right[roots[right] != roots[right - j]]
-                    right = right[SKETCH - np.bitwise_count(held[right] ^ held[right - j]).sum(axis=1, dtype=np.int64) >= sketched]
                 if not len(right):
-                    if not near.any():
-                        break  # rows further off share no more
-                    continue
+                    break  # rows further off share no more
                 x, y = nodes[right], nodes[right - j]
                 less = np.array([u < v for u, v in zip(x, y, strict=True)], bool)
                 yield pd.DataFrame({"a": np.where(less, x, y), "b": np.where(less, y, x), "step": np.int32(j), **dict.fromkeys(columns), "tree": trees[right]})
@@ -173,15 +164,13 @@ def _meet(width: int, sketched: float | None = None):
 MEET = "a binary, b binary, step int, tree int, key binary, node binary"
 
 
-def orders(classes: DataFrame, starts: list[int], width: int, sketched: float | None = None) -> DataFrame:
+def orders(classes: DataFrame, starts: list[int], width: int) -> DataFrame:
     """(a, b, step, tree): near rows of the orders that begin at these places of the signature."""
-    schema = MEET + (", root binary, sketch binary" if sketched is not None else "")
     order = F.explode(F.array(*[F.struct(F.lit(s).alias("tree"), F.substring(F.concat("sign", "sign"), 2 * s + 1, 2 * DEPTH).alias("key")) for s in starts]))
-    own = ["node", *(["root", "sketch"] if sketched is not None else [])]
-    rows = classes.select(*own, order.alias("o")).select("o.tree", "o.key", *own)
-    met = stored(rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node").mapInPandas(_meet(width, sketched), schema))
+    rows = classes.select("node", order.alias("o")).select("o.tree", "o.key", "node")
+    met = stored(rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node").mapInPandas(_meet(width), MEET))
     # The two ends of each partition: a small table that grows with the number of partitions only.
-    ends = met.where("a IS NULL").drop("a", "b", "step").coalesce(1).sortWithinPartitions("tree", "key", "node").mapInPandas(_meet(width, sketched), schema)
+    ends = met.where("a IS NULL").drop("a", "b", "step").coalesce(1).sortWithinPartitions("tree", "key", "node").mapInPandas(_meet(width), MEET)
     return met.where("a IS NOT NULL").union(ends.where("a IS NOT NULL")).select("a", "b", "step", "tree")
 
 
@@ -259,33 +248,63 @@ def _crowded(percent: int):
     return run
 
 
-def in_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Rows (tree, prefix, node, root and others) dealt so that all pairs of a (tree, prefix) with more than one root meet.
+def _linked(percent: int):
+    """Pairs whose sketches agree too, each in the first order where its rows have one prefix."""
+    part, bar = SIGNATURE // TREES, _bar(SKETCH, percent, 0.5)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches):
+            signs = np.frombuffer(b"".join(group["sign"]), np.uint16).reshape(-1, SIGNATURE)
+            held = np.frombuffer(b"".join(group["sketch"]), np.uint64).reshape(len(group), -1)
+            nodes, tree = group["node"].to_numpy(object), group["tree"].iat[0] // part
+            for left, right in _pairs(group, percent):
+                for k in range(0, len(left), 4096):
+                    x, y = left[k : k + 4096], right[k : k + 4096]
+                    first = (signs[x] == signs[y]).reshape(-1, TREES, part)[:, :, :LEAST_DEPTH].all(axis=2).argmax(axis=1) == tree
+                    x, y = x[first], y[first]
+                    good = SKETCH - np.bitwise_count(held[x] ^ held[y]).sum(axis=1, dtype=np.int64) >= bar
+                    if good.any():
+                        x, y = nodes[x[good]], nodes[y[good]]
+                        less = np.array([u < v for u, v in zip(x, y, strict=True)], bool)
+                        yield pd.DataFrame({"a": np.where(less, x, y), "b": np.where(less, y, x)})
+
+    return run
+
+
+def in_blocks(keyed: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+    """Rows of `classes` (node and others) dealt so that all pairs of a (tree, prefix) of `keyed` with more than one root meet.
 
     A group of many rows is cut into blocks of about `block`, of which any two meet in a task: no group is too large, and
-    no pair is left out.
+    no pair is left out. `keyed` has tree, prefix, node and root.
     """
-    sizes = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    sizes = keyed.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"))
     sizes = sizes.where("r0 != r1").select("tree", "prefix", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, ["tree", "prefix"]).withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) AS int)"))
+    dealt = keyed.join(sizes, ["tree", "prefix"]).withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) AS int)"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "blocks")
     keys = ["tree", "prefix", "lo", "hi"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys)
+    dealt = dealt.select("tree", "prefix", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "root")
+    return dealt.join(classes, "node").repartition(*keys).sortWithinPartitions(*keys)
 
 
 def _prefix(tree: Column) -> Column:
     return F.substring(F.col("sign"), 2 * tree + 1, F.lit(2 * LEAST_DEPTH))
 
 
-def crowded(full: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def crowded(full: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, block: int) -> DataFrame:
     """Classes that may be similar enough to one of another component beside which they stand in an order, at whatever distance.
 
     A pair of one prefix that no window showed has more than NEIGHBOURS rows between its ends, so both are `full` there.
     """
-    rows = full.join(classes.select("node", "n", "sign"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = rows.withColumn("prefix", _prefix(F.col("tree")))
-    return in_blocks(rows, BLOCK).mapInPandas(_crowded(percent), "node binary").distinct()
+    keyed = full.join(classes.select("node", "sign"), "node").join(roots, "node", "left")
+    keyed = keyed.select("tree", _prefix(F.col("tree")).alias("prefix"), "node", F.coalesce("root", "node").alias("root"))
+    return in_blocks(keyed, classes.select("node", "n", "sign"), block).mapInPandas(_crowded(percent), "node binary").distinct()
+
+
+def linked(dense: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b): all pairs of different roots that have one prefix in some order and may be similar enough by sizes, signatures and sketches."""
+    starts = F.explode(F.array(*[F.lit(t * (SIGNATURE // TREES)) for t in range(TREES)])).alias("tree")
+    keyed = dense.select("node", "root", "sign", starts).select("tree", _prefix(F.col("tree")).alias("prefix"), "node", "root")
+    return in_blocks(keyed, dense.drop("root"), block).mapInPandas(_linked(percent), "a binary, b binary")
 
 
 def _sketched(words: int):
@@ -376,14 +395,14 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "tex
     roots = joined(roots, confirmed(apart.where("NOT both_full"), texts, words, percent))
     # Searched again is what had full windows, whether they showed a likely partner or not.
     waiting = apart.where("both_full").select(F.explode(F.array("a", "b")).alias("node"))
-    dense = checkpointed(crowded(full, classes, roots, percent).union(waiting).distinct())
+    dense = checkpointed(crowded(full, classes, roots, percent, BLOCK).union(waiting).distinct())
     if dense.take(1):
         late = classes.join(dense, "node", "left_semi").join(wanted, "node", "left_anti").select("node", "_id", "_hash")
         texts = texts.union(stored(rows.join(late, ["_id", "_hash"]).select("node", F.col("_text").alias("text")).dropDuplicates(["node"])))
-        dense = classes.select("node", "sign").join(dense, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(texts, "node")
-        dense = dense.mapInPandas(_sketched(words), "node binary, sign binary, root binary, sketch binary")
-        # The same orders with wider windows: every pair that was put off is met again.
-        more = orders(dense, [t * part for t in range(TREES)], WIDE, _bar(SKETCH, percent, 0.5)).select("a", "b").distinct()
+        dense = classes.select("node", "n", "sign").join(dense, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(texts, "node")
+        dense = stored(dense.mapInPandas(_sketched(words), "node binary, n long, sign binary, root binary, sketch binary"))
+        # Every pair of one prefix meets, and so does every pair that was put off.
+        more = linked(dense, percent, BLOCK)
         roots = joined(roots, confirmed(more, texts, words, percent))
 
     member = signed.select("_id", "_hash", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
