@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from vacantia.functions import places
+from vacantia.operators.search import preview_country
 
 FACETS = {
     "Berlin, DE": ({"germany"}, set()), "Wilmington, DE": ({"united states"}, set()), "Amsterdam, NL": ({"netherlands"}, set()), "St. John's, NL": ({"canada"}, set()),
@@ -64,3 +65,17 @@ def test_titles_and_remote(spark):
     want = {"Engineer Germany": ["germany"], "Indiana": [], "Sales (UK)": ["united kingdom"], "trust us": [], "Zürich (CH)": ["switzerland"], None: []}
     assert ran(spark, want, places.country_mentions(F.col("raw"))) == want
     assert ran(spark, ["EMEA Remote", "remote: dach", "emea"], places.tied_to_region(F.col("raw"))) == {"EMEA Remote": True, "remote: dach": True, "emea": False}
+
+
+def test_all_known_countries(spark):
+    assert len(places.COUNTRIES) == len(set(places.COUNTRIES)) and set(places.ISO2.values()) <= set(places.COUNTRIES)
+    # Hong Kong is shown as `Hong Kong SAR China`, which the reference does not know.
+    assert set(places.COUNTRIES) - set(places.ISO2.values()) == {"hong kong"}
+    want = {"KE": "kenya", "cn": "china", "BY": "belarus", "Ecuador": "ecuador", "CI": "côte d’ivoire", "bosnia": "bosnia & herzegovina", "lao pdr": "laos", "HK": "hk"}
+    assert ran(spark, want, places.country_hint(F.col("raw"))) == want
+    assert len(places.ISO2) + len(places.OTHER_ISO2) == 250 and not set(places.ISO2) & set(places.OTHER_ISO2)  # 249 and Kosovo's
+    assert [preview_country(c) for c in ("KE", "fj", "zz")] == ["kenya", "fiji", None]
+    none = F.array().cast("array<string>")
+    found = F.struct(none.alias("tokens"), none.alias("countries"), none.alias("regions"))
+    got = ran(spark, ["KE", "Ecuador"], places.merged_with_hints(found, F.array("raw")).getField("countries"))
+    assert got == {"KE": ["kenya"], "Ecuador": ["ecuador"]}

@@ -28,19 +28,57 @@ COUNTRY_NAMES: dict[str, str] = {
     "uk": "united kingdom", "england": "united kingdom", "scotland": "united kingdom", "great britain": "united kingdom", "uae": "united arab emirates",
     "czech republic": "czechia", "viet nam": "vietnam", "republic of korea": "south korea", "korea": "south korea", "russian federation": "russia",
     "türkiye": "turkey", "brasil": "brazil", "méxico": "mexico", "deutschland": "germany", "ch": "switzerland", "ind": "india", "irl": "ireland",
+    "u.s.a": "united states", "u.s": "united states", "cze": "czechia", "people's republic of china": "china", "people’s republic of china": "china", "syrian arab republic": "syria",
+    "bosnia": "bosnia & herzegovina", "bosnia and herzegovina": "bosnia & herzegovina", "macedonia": "north macedonia", "republic of north macedonia": "north macedonia",
+    "lao people's democratic republic": "laos", "lao people’s democratic republic": "laos", "lao pdr": "laos", "singapoor": "singapore", "philipines": "philippines",
+    "phillipines": "philippines", "ivory coast": "côte d’ivoire", "cote d'ivoire": "côte d’ivoire", "côte d'ivoire": "côte d’ivoire", "cayman": "cayman islands",
+    "congo brazzaville": "congo - brazzaville", "republic of the congo": "congo - brazzaville", "democratic republic of congo": "congo - kinshasa", "costa rice": "costa rica",
+    "united state": "united states", "unites states": "united states",
 }
 COUNTRIES = (
     "argentina armenia australia austria bangladesh belgium brazil bulgaria canada chile china colombia croatia cyprus czechia denmark egypt estonia "
     "finland france georgia germany ghana greece hungary iceland india indonesia ireland israel italy japan jordan kazakhstan kenya latvia lithuania "
     "luxembourg malaysia malta mexico moldova morocco netherlands nigeria norway pakistan panama peru philippines poland portugal qatar romania russia "
     "serbia singapore slovakia slovenia spain sweden switzerland taiwan thailand tunisia turkey ukraine uruguay vietnam"
-).split() + ["united states", "united kingdom", "united arab emirates", "south korea", "south africa", "new zealand", "saudi arabia", "costa rica", "sri lanka", "hong kong"]
+).split() + ["united states", "united kingdom", "united arab emirates", "south korea", "south africa", "new zealand", "saudi arabia", "costa rica", "sri lanka", "hong kong"] + (
+    "dominican republic,azerbaijan,nepal,ecuador,paraguay,el salvador,honduras,nicaragua,guatemala,bolivia,venezuela,jamaica,albania,andorra,libya,syria,rwanda,namibia,uganda,"
+    "belarus,cambodia,bosnia & herzegovina,bermuda,north macedonia,ethiopia,montenegro,papua new guinea,uzbekistan,kyrgyzstan,turkmenistan,lebanon,laos,puerto rico,gibraltar,"
+    "côte d’ivoire,senegal,cameroon,mali,benin,congo - brazzaville,congo - kinshasa,algeria,mauritius,brunei,oman,mongolia,madagascar,san marino,haiti,kuwait,kosovo,seychelles,"
+    "cayman islands"
+).split(",")
 ISO2: dict[str, str] = {
     "ae": "united arab emirates", "ar": "argentina", "at": "austria", "au": "australia", "be": "belgium", "br": "brazil", "ca": "canada", "ch": "switzerland", "cl": "chile",
     "co": "colombia", "cz": "czechia", "de": "germany", "dk": "denmark", "ee": "estonia", "es": "spain", "fi": "finland", "fr": "france", "gb": "united kingdom", "gr": "greece",
     "hu": "hungary", "ie": "ireland", "il": "israel", "in": "india", "it": "italy", "jp": "japan", "kr": "south korea", "lt": "lithuania", "mx": "mexico", "nl": "netherlands",
     "no": "norway", "nz": "new zealand", "ph": "philippines", "pl": "poland", "pt": "portugal", "ro": "romania", "rs": "serbia", "se": "sweden", "sg": "singapore", "tr": "turkey",
     "ua": "ukraine", "us": "united states", "vn": "vietnam", "za": "south africa",
+    "ad": "andorra", "al": "albania", "am": "armenia", "az": "azerbaijan", "ba": "bosnia & herzegovina", "bd": "bangladesh", "bg": "bulgaria", "bj": "benin", "bm": "bermuda",
+    "bn": "brunei", "bo": "bolivia", "by": "belarus", "cd": "congo - kinshasa", "cg": "congo - brazzaville", "ci": "côte d’ivoire", "cm": "cameroon", "cn": "china", "cr": "costa rica",
+    "cy": "cyprus", "do": "dominican republic", "dz": "algeria", "ec": "ecuador", "eg": "egypt", "et": "ethiopia", "ge": "georgia", "gh": "ghana", "gi": "gibraltar",
+    "gt": "guatemala", "hn": "honduras", "hr": "croatia", "ht": "haiti", "id": "indonesia", "is": "iceland", "jm": "jamaica", "jo": "jordan", "ke": "kenya",
+    "kg": "kyrgyzstan", "kh": "cambodia", "kw": "kuwait", "ky": "cayman islands", "kz": "kazakhstan", "la": "laos", "lb": "lebanon", "lk": "sri lanka", "lu": "luxembourg",
+    "lv": "latvia", "ly": "libya", "ma": "morocco", "md": "moldova", "me": "montenegro", "mg": "madagascar", "mk": "north macedonia", "ml": "mali", "mn": "mongolia",
+    "mt": "malta", "mu": "mauritius", "my": "malaysia", "na": "namibia", "ng": "nigeria", "ni": "nicaragua", "np": "nepal", "om": "oman", "pa": "panama",
+    "pe": "peru", "pg": "papua new guinea", "pk": "pakistan", "pr": "puerto rico", "py": "paraguay", "qa": "qatar", "ru": "russia", "rw": "rwanda", "sa": "saudi arabia",
+    "sc": "seychelles", "si": "slovenia", "sk": "slovakia", "sm": "san marino", "sn": "senegal", "sv": "el salvador", "sy": "syria", "th": "thailand", "tm": "turkmenistan",
+    "tn": "tunisia", "tw": "taiwan", "ug": "uganda", "uy": "uruguay", "uz": "uzbekistan", "ve": "venezuela", "xk": "kosovo",
+}
+# The rest of ISO 3166, as shown in English. They are no known countries, so hints keep these codes; previews ask for them.
+OTHER_ISO2: dict[str, str] = {
+    "af": "afghanistan", "ag": "antigua & barbuda", "ai": "anguilla", "ao": "angola", "aq": "antarctica", "as": "american samoa", "aw": "aruba", "ax": "åland islands", "bb": "barbados",
+    "bf": "burkina faso", "bh": "bahrain", "bi": "burundi", "bl": "st. barthélemy", "bq": "caribbean netherlands", "bs": "bahamas", "bt": "bhutan", "bv": "bouvet island", "bw": "botswana",
+    "bz": "belize", "cc": "cocos (keeling) islands", "cf": "central african republic", "ck": "cook islands", "cu": "cuba", "cv": "cape verde", "cw": "curaçao", "cx": "christmas island", "dj": "djibouti",
+    "dm": "dominica", "eh": "western sahara", "er": "eritrea", "fj": "fiji", "fk": "falkland islands", "fm": "micronesia", "fo": "faroe islands", "ga": "gabon", "gd": "grenada",
+    "gf": "french guiana", "gg": "guernsey", "gl": "greenland", "gm": "gambia", "gn": "guinea", "gp": "guadeloupe", "gq": "equatorial guinea", "gs": "south georgia & south sandwich islands", "gu": "guam",
+    "gw": "guinea-bissau", "gy": "guyana", "hk": "hong kong sar china", "hm": "heard & mcdonald islands", "im": "isle of man", "io": "british indian ocean territory", "iq": "iraq", "ir": "iran", "je": "jersey",
+    "ki": "kiribati", "km": "comoros", "kn": "st. kitts & nevis", "kp": "north korea", "lc": "st. lucia", "li": "liechtenstein", "lr": "liberia", "ls": "lesotho", "mc": "monaco",
+    "mf": "st. martin", "mh": "marshall islands", "mm": "myanmar (burma)", "mo": "macao sar china", "mp": "northern mariana islands", "mq": "martinique", "mr": "mauritania", "ms": "montserrat", "mv": "maldives",
+    "mw": "malawi", "mz": "mozambique", "nc": "new caledonia", "ne": "niger", "nf": "norfolk island", "nr": "nauru", "nu": "niue", "pf": "french polynesia", "pm": "st. pierre & miquelon",
+    "pn": "pitcairn islands", "ps": "palestinian territories", "pw": "palau", "re": "réunion", "sb": "solomon islands", "sd": "sudan", "sh": "st. helena", "sj": "svalbard & jan mayen", "sl": "sierra leone",
+    "so": "somalia", "sr": "suriname", "ss": "south sudan", "st": "são tomé & príncipe", "sx": "sint maarten", "sz": "eswatini", "tc": "turks & caicos islands", "td": "chad", "tf": "french southern territories",
+    "tg": "togo", "tj": "tajikistan", "tk": "tokelau", "tl": "timor-leste", "to": "tonga", "tt": "trinidad & tobago", "tv": "tuvalu", "tz": "tanzania", "um": "u.s. outlying islands",
+    "va": "vatican city", "vc": "st. vincent & grenadines", "vg": "british virgin islands", "vi": "u.s. virgin islands", "vu": "vanuatu", "wf": "wallis & futuna", "ws": "samoa", "ye": "yemen", "yt": "mayotte",
+    "zm": "zambia", "zw": "zimbabwe",
 }
 US_STATES: dict[str, str] = {
     "al": "alabama", "ak": "alaska", "az": "arizona", "ar": "arkansas", "ca": "california", "co": "colorado", "ct": "connecticut", "de": "delaware", "fl": "florida",

@@ -146,7 +146,7 @@ def preview_country(value: str | None) -> str | None:
     if not raw:
         return None
     if len(raw) == 2 and raw.isascii() and raw.isalpha():
-        return places.ISO2.get(raw.lower())
+        return places.ISO2.get(raw.lower()) or places.OTHER_ISO2.get(raw.lower())
     return places.country_token(raw)
 
 
