@@ -2,7 +2,8 @@
 
 Candidates are maximal runs of `[A-Za-z0-9+/_=-]`. Each is scored per character class (hex digits, letters and digits,
 base64) by the highest entropy of any window. A step of the window moves one character out and one in and changes
-sum(c * log2 c) by those two counts alone, so the whole text is never counted again. A run whose best window passes
+sum(c * log2 c) by those two counts alone, so the whole text is never counted again. Letters and digits between other
+characters are scored as runs of their own too, so that a key is found behind its prefix. A run whose best window passes
 its class's threshold becomes an `entropy` span, unless a pattern span holds it or the allow-list knows its form
 (UUIDs, paths, dotted or dashed words, plain words, runs of one character, example keys).
 
@@ -92,10 +93,9 @@ def window_entropy(run: Column, window: int = WINDOW) -> Column:
     return F.lit(math.log2(window)) - low / window
 
 
-def suspicious(run: Column) -> Column:
-    """Whether a candidate passes some class's threshold and the allow-list doesn't know it."""
+def _passes(run: Column, classes: tuple[tuple[str, str, str, float], ...]) -> Column:
     entropy = window_entropy(run)
-    bars = [F.when(run.rlike(made) & run.rlike(holds), F.lit(bar)) for _, made, holds, bar in CLASSES]
+    bars = [F.when(run.rlike(made) & run.rlike(holds), F.lit(bar)) for _, made, holds, bar in classes]
     plain = F.lit(False)
     for pattern in ALLOWED:
         plain = plain | run.rlike(pattern)
@@ -103,6 +103,12 @@ def suspicious(run: Column) -> Column:
     return F.coalesce(F.when(~plain & bar.isNotNull(), entropy >= bar), F.lit(False))
 
 
+def suspicious(run: Column) -> Column:
+    """Whether a candidate, or letters and digits in it, pass some class's threshold and the allow-list doesn't know them."""
+    parts = F.when(run.rlike(r"[^0-9A-Za-z]"), F.regexp_extract_all(run, F.lit(f"[0-9A-Za-z]{{{WINDOW},}}"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return _passes(run, CLASSES) | F.exists(parts, lambda p: _passes(p, tuple(c for c in CLASSES if c[0] != "base64")))
+
+
 def _scanned(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     """The kept columns as _in_0, _in_1 and so on, so that none can clash, beside _text, _base and _found."""
     body = F.coalesce(F.col("_text"), F.lit(""))
