@@ -1,5 +1,9 @@
+import math
+import random
 import re
+from collections import Counter
 
+import pytest
 from fixtures import driver_texts, no_docs, odd_docs, same
 
 from vacantia.llm import secrets
@@ -44,8 +48,88 @@ def test_lower_case_keys_behind_a_prefix(spark):
     assert got == {i: [(0, 3, len(t))] if t in keys else [] for i, t in enumerate(keys + plain)}
 
 
+def bits(window):
+    return -sum(c / 20 * math.log2(c / 20) for c in Counter(window).values())
+
+
+def scored(unit, base64=True):
+    """Whether some window passes, by plain counting."""
+    if re.fullmatch(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}|[-_=+/]*[A-Za-z]+(?:[-_/+][A-Za-z]+)*[-_=+/]*|[-_/+=0-9]+", unit):
+        return False
+    digits, bars = len(re.findall("[0-9]", unit)), []
+    if re.fullmatch("[0-9A-Fa-f]+", unit) and digits and re.search("[A-Fa-f]", unit):
+        bars.append(3.0)
+    if re.fullmatch("[0-9A-Za-z]+", unit) and digits >= 3:
+        bars.append(3.6)
+    if base64 and digits >= 2 and re.search("[A-Z]", unit) and re.search("[a-z]", unit):
+        bars.append(3.8)
+    return bool(bars) and max(bits(unit[i : i + 20]) for i in range(len(unit) - 19)) >= min(bars) - 1e-9
+
+
+def brute_found(text):
+    """All spans: candidates are what the base spans leave."""
+    text = text or ""
+    base, bare = brute(text), list(text)
+    for start, _, end in base:
+        bare[start:end] = " " * (end - start)
+    found = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", "".join(bare)):
+        example = lambda t: re.search("(?i)example|sample|dummy|placeholder|test_?key", t)
+        units = [m.group()] if not example(m.group()) else [p for p in m.group().split("/") if len(p) >= 20 and not example(p)]
+        parts = [p for u in units if re.search("[^0-9A-Za-z]", u) for p in re.findall("[0-9A-Za-z]{20,}", u)]
+        if any(map(scored, units)) or any(scored(p, False) for p in parts):
+            found.append((m.start(), 3, m.end()))
+    return sorted(base + found)
+
+
+def hidden(text, spans):
+    at, out = 0, []
+    for start, _, end in spans:
+        if start >= at:
+            out += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def generated(n):
+    rng = random.Random(5)
+    bits_ = ["token=", "api_key: '", "AKIA", "key-", "static/sample/", " ", "\n", ".", "é", "😀", "/", "="]
+    run = lambda: "".join(rng.choice(rng.choice(["0123456789abcdef", secrets.ALPHABET, "abc", "A0"])) for _ in range(rng.choice([3, 19, 20, 21, 40, 130, 400])))
+    return ["".join(rng.choice(bits_) + run() + rng.choice(bits_) for _ in range(rng.randint(1, 12))) for _ in range(n)]
+
+
+def test_all_spans_and_redaction_match_brute_force(spark):
+    texts = [*driver_texts(60), *((10_000 + i, t) for i, t in enumerate(KEYS + generated(80)))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = {i: brute_found(t) for i, t in texts}
+    assert sum(k == 3 for spans in want.values() for _, k, _ in spans) > 50
+    same([(r.doc_id, [tuple(s) for s in r.found]) for r in secrets.scan(df).collect()], list(want.items()))
+    same(secrets.redact(df).collect(), [(i, hidden(t, want[i])) for i, t in texts])
+
+
+@pytest.mark.parametrize("name", ["dashes", "base64", "keys", "assigned"])
+def test_long_runs_and_many_spans(spark, name):
+    rng = random.Random(3)
+    run = lambda n: "".join(rng.choices(secrets.ALPHABET, k=n))
+    text, spans = {
+        "dashes": lambda: ("ab-" * 300_000, 0),
+        "base64": lambda: (run(300_000), 1),
+        "keys": lambda: (" ".join("%032x" % rng.getrandbits(128) for _ in range(50_000)), 50_000),
+        "assigned": lambda: (" ".join(f"token=abc{i}" for i in range(100_000, 150_000)), 50_000),
+    }[name]()
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (row,) = secrets.scan(df).collect()
+    assert len(row.found) == spans and all(a.end <= b.start for a, b in zip(row.found, row.found[1:], strict=False))
+    (clean,) = secrets.redact(df).collect()
+    assert clean.text == hidden(text, [tuple(s) for s in row.found])
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([("secret=abcdef", 1)], "`a.text` string, `_in_0` int")
+    assert [tuple(r) for r in secrets.redact(df, "a.text").collect()] == [("[SECRET]", 1)]
+
+
 def test_window_entropy_is_incremental(spark):
-    from collections import Counter
     from math import log2
 
     from pyspark.sql import functions as F
