@@ -29,6 +29,13 @@ def test_driver_texts(spark):
     same(token_counts.token_counts(spark.createDataFrame(texts, "doc_id long, text string")).collect(), expected(texts))
 
 
+def test_given_scores(spark):
+    docs = spark.createDataFrame([(1, "abab ab x")], "doc_id long, text string")
+    scores = {"▁": -1, "a": -5, "b": -5, "ab": -3, "▁abab": -8, "▁ab": -4}
+    # ▁ab + ab (7) beats ▁abab (8); ▁ab (4) ties with ▁ + ab and has fewer tokens; x is one byte behind ▁.
+    assert [tuple(r) for r in token_counts.token_counts(docs, scores=scores).collect()] == [(1, 3, 2 + 1 + 2)]
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark)
     texts = [(i, r.text) for i, r in enumerate(docs.collect())]

@@ -4,7 +4,7 @@ A text is cut into pre-tokens by the vocabulary's pattern. Each distinct pre-tok
 length-bucketed padded matrices; its ids, and how they are written, are then looked up. Long texts are taken in parts of
 PART pre-tokens, so that memory doesn't follow their length.
 
-Defined cases: a null text counts as empty and has no ids; equal rows are encoded each; an empty table gives an empty
+Defined cases: a null text counts as empty and has no ids; a pre-token of any length is merged as a whole; equal rows are encoded each; an empty table gives an empty
 result; other columns are left out by `encoded` and `decoded`.
 """
 
@@ -92,15 +92,16 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 
 def default_ranks() -> str:
+    """The public ranks, where the worker that asks has them."""
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def encoded(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, text: str = "text") -> DataFrame:
     """doc_id and ids of each row."""
-    path, pattern = ranks or default_ranks(), pattern or public_tokenizers.PATTERN
+    pattern = pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by = encoder(path, pattern)
+        by = encoder(ranks or default_ranks(), pattern)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["_id"].astype("Int64"), "ids": by.encode(t or "" for t in batch["_text"])})
 
@@ -109,10 +110,10 @@ def encoded(docs: DataFrame, ranks: str | None = None, pattern: str | None = Non
 
 def decoded(rows: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id and the bytes that each row's ids stand for; null ids give null."""
-    path, pattern = ranks or default_ranks(), pattern or public_tokenizers.PATTERN
+    pattern = pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by = encoder(path, pattern)
+        by = encoder(ranks or default_ranks(), pattern)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["_id"].astype("Int64"), "bytes": [None if x is None else by.decode(x) for x in batch["ids"]]})
 
@@ -121,10 +122,10 @@ def decoded(rows: DataFrame, ranks: str | None = None, pattern: str | None = Non
 
 def digested(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, text: str = "text") -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the written ids and of the bytes they decode to: no ids leave the task."""
-    path, pattern = ranks or default_ranks(), pattern or public_tokenizers.PATTERN
+    pattern = pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by = encoder(path, pattern)
+        by = encoder(ranks or default_ranks(), pattern)
         for batch in batches:
             counts = np.zeros(len(batch), np.int64)
             hashes = [(hashlib.sha256(), hashlib.sha256()) for _ in range(len(batch))]

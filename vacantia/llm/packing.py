@@ -10,16 +10,20 @@
 5. Pieces are ranked within their length, in buckets, and look their place up in the plan, which is broadcast: a few
    thousand rows, bounded by MAX_PLAN, beyond which it is joined by a shuffle.
 
-Defined cases: a null text is empty and gives one piece with the closing id alone; repeated rows are packed each; an
-empty table gives an empty result; other columns are left out.
+Defined cases: a null text is empty and gives one piece with the closing id alone; the strings of the tokenizer's special
+tokens stand for these tokens, as its library has it by default; a very long text is tokenized in parts that end before
+a space, or as a whole where it has none; repeated rows are packed each; an empty table gives an empty result; other
+columns are left out.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,6 +37,7 @@ from .common import bucket_bits, checkpointed, hash_bucket
 from .merges import BytePairs, Memo
 from .sharding import ranked
 
+TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 CLOSING_ID = 0
 #: Lengths over capacity / SMALL_PART count as large.
@@ -51,14 +56,20 @@ CUTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-ö
 class WordTokenizer:
     """Ids of texts by a tokenizer whose pieces never cross white space: each distinct word is encoded once.
 
-    Words of Latin letters and ASCII signs go through `merges`; any other word through the tokenizers library.
+    Words of Latin letters and ASCII signs go through `merges`; any other word through the tokenizers library. A text is
+    cut at its special tokens first, and what stands between them is encoded by itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        if any(a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"] for a in added):
+            raise ValueError("special tokens that take in what stands around them can't be cut out of a text")
+        self.special = {a["content"]: np.array([a["id"]], np.uint32) for a in added}
+        self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.pairs = BytePairs.from_word_ends(path)
         self.cuts = Memo(lambda parts: self.pairs.encode([p.encode() for p in parts]))
         self.words = Memo(self._encode_words)
@@ -92,7 +103,16 @@ class WordTokenizer:
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def encode_bounded(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The same, with little at once: long texts are taken in parts that end before a space."""
+        """The same for texts with special tokens, and with little at once: long texts are taken in parts that end before a space."""
+        cuts = [self.at_special.split(t) for t in texts]
+        plain = self._encode_parts([x for parts in cuts for x in parts])
+        for text, parts in zip(texts, cuts, strict=True):
+            out = [next(plain)]
+            for special in self.at_special.findall(text) if len(parts) > 1 else ():
+                out += [self.special[special], next(plain)]
+            yield out[0] if len(out) == 1 else np.concatenate(out)
+
+    def _encode_parts(self, texts: list[str]) -> Iterator[np.ndarray]:
         held: list[str] = []
         size = 0
         for text in texts:
@@ -114,14 +134,23 @@ class WordTokenizer:
         yield from self.encode(pa.array(held, pa.large_string())) if held else ()
 
 
+@lru_cache(2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for all tasks of a worker."""
+    return WordTokenizer(path)
+
+
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """A row for each piece of each document: doc_id, piece, start, length, ids_crc32 and, if wanted, ids."""
+def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """A row for each piece of each document: doc_id, piece, start, length, ids_crc32 and, if wanted, ids.
+
+    `tokenizer` is a path that workers can read; none stands for the public tokenizer, found where the worker has it.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by = WordTokenizer(tokenizer)
+        by = word_tokenizer(tokenizer or public_tokenizers.path(TOKENIZER))
         closing = np.array([CLOSING_ID], np.uint32)
         for batch in batches:
             texts = [t or "" for t in batch["_text"]]
@@ -326,7 +355,7 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of `docs` with their places. Texts are tokenized once: the pieces are written, without text, and reread."""
-    return pack(checkpointed(pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity)), capacity)
+    return pack(checkpointed(pieces(docs, tokenizer, capacity)), capacity)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

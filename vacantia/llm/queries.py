@@ -13,7 +13,7 @@ from .neardup import op5_minhash_near_dedup
 from .packing import op4_best_fit_packing
 from .quality import OP3_SQL, op3_quality_rules
 from .secrets import OP6_SQL, op6_secret_scans
-from .sharding import op2_sharding
+from .sharding import OP2_SQL, op2_sharding
 from .token_counts import op10_token_counts
 from .warc import OP7_SQL, op7_warc
 
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op6_secret_scans": OP6_SQL, "op7_warc": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op3_quality_rules": OP3_SQL, "op6_secret_scans": OP6_SQL, "op7_warc": OP7_SQL}

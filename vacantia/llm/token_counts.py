@@ -5,17 +5,17 @@ trie in sorted order, so that each shares its longest common prefix with its pre
 any segmentation of its prefix and the number of tokens that one has; the value at a pre-token's last node is its count.
 Both follow from the nodes above: best(node) = max over pieces that end there of best(node - piece) + score(piece).
 
-The vocabulary's file lists pieces by rank, without probabilities, so a piece of rank r scores ln(1 / (r + RANK_SHIFT)):
-Zipf's law. Scores are whole numbers (millionths), so ties are exact; among equal scores fewer tokens win. A character
-that no piece covers costs its UTF-8 bytes, each scored below every piece.
+Scores are the vocabulary file's own, in millionths, so ties are exact; among equal scores fewer tokens win. (The public
+file is a BPE model: its scores are its pieces' ranks, negative. Other scores can be given.) A character that no piece
+covers costs its UTF-8 bytes, each BYTE_PENALTY below the worst piece.
 
-Defined cases: a null or blank text has no pre-tokens and count 0; equal rows are counted each; an empty table gives an
-empty result; other columns are left out.
+Defined cases: a null or blank text has no pre-tokens and count 0; the words of one text are held by a task, whatever its
+length, and a very long word costs its length times that of the longest piece; equal rows are counted each; an empty
+table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,18 +26,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "▁"
-RANK_SHIFT = 3
+VOCABULARY = "piece_bpe_32k.model"
+BYTE_PENALTY = 10_000_000
 #: Distinct pre-tokens that a worker keeps.
 MEMO = 300_000
 
 
-def zipf_scores(path: str) -> dict[str, int]:
-    """Score of each piece that has a rank, in millionths."""
+def model_scores(path: str) -> dict[str, int]:
+    """Score of each piece that is neither a control, a byte nor unused, in millionths."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    plain = [i for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))]
-    return {model.id_to_piece(i): round(-1e6 * math.log(r + RANK_SHIFT)) for r, i in enumerate(plain)}
+    plain = (i for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i)))
+    return {model.id_to_piece(i): round(1e6 * model.get_score(i)) for i in plain}
 
 
 class Counter:
@@ -46,7 +47,7 @@ class Counter:
     def __init__(self, scores: dict[str, int]):
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
-        self.byte_score = min(scores.values(), default=0) - 1_000_000
+        self.byte_score = min(scores.values(), default=0) - BYTE_PENALTY
         self.known: dict[str, int] = {}
 
     def count_sorted(self, tokens: list[str]) -> list[int]:
@@ -86,7 +87,7 @@ class Counter:
 @lru_cache(2)
 def counter(path: str) -> Counter:
     """One for all tasks of a worker."""
-    return Counter(zipf_scores(path))
+    return Counter(model_scores(path))
 
 
 def split_words(text: str | None) -> list[str]:
@@ -94,12 +95,15 @@ def split_words(text: str | None) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in (text or "").encode("utf-8", "surrogatepass").split()]
 
 
-def token_counts(docs: DataFrame, vocabulary: str | None = None, text: str = "text") -> DataFrame:
-    """doc_id, n_words (pre-tokens) and n_tokens of each row."""
-    path = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
+def token_counts(docs: DataFrame, vocabulary: str | None = None, text: str = "text", scores: dict[str, int] | None = None) -> DataFrame:
+    """doc_id, n_words (pre-tokens) and n_tokens of each row.
+
+    `vocabulary` is a path that workers can read; none stands for the public model, found where the worker has it.
+    `scores` (piece: millionths), if given, stand in its place.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by = counter(path)
+        by = Counter(scores) if scores is not None else counter(vocabulary or public_tokenizers.path(VOCABULARY))
         for batch in batches:
             # A few texts at once: words in memory don't follow the batch.
             n_words, n_tokens = [], []
