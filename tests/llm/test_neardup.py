@@ -104,6 +104,9 @@ def test_stage_keeps_one_of_each_group(spark):
     only_copies = spark.createDataFrame([(4, "a b c d e f g")] * 3 + [(None, "a b c d e f g")], "doc_id long, text string")
     assert [tuple(r) for r in neardup.neardup_stage(spark, only_copies, "").collect()] == [(4, "a b c d e f g")]
     assert neardup.neardup_stage(spark, no_docs(spark), "").count() == 0
+    # Texts without words are linked with nothing, whatever their ids: all rows stay.
+    blank = spark.createDataFrame([(None, None), (None, None), (None, ""), (3, ""), (3, ""), (3, " \n")], "doc_id long, text string")
+    same(neardup.neardup_stage(spark, blank, "").collect(), blank.collect())
 
 
 def test_components_of_random_graphs(spark):

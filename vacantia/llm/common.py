@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\f\r"
 
 
+#: A key with more than this part of all rows is hot.
+HOT_SHARE = 1000
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in spark.checkpoint.dir; make one only where it is unset (tests)."""
     context = spark.sparkContext
@@ -39,10 +43,10 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
         spark.conf.set(BATCH, before)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, batch: int = 2000) -> DataFrame:
     """Cut the lineage with reliable files, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession, batch):
         return df.checkpoint(eager=True)
 
 
@@ -71,6 +75,23 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, rows_of: str, total: int) -> DataFrame:
+    """`rows` with the columns of `table` (one row for each key; `rows_of` says how many of the `total` rows have it).
+
+    Keys that hold over a thousandth of all rows are fewer than a thousand, so they are broadcast; all others are joined
+    by a shuffle in which no key is hot. Null keys stay where they are, and find nothing, like keys that aren't there.
+    """
+    values = [c for c in table.columns if c not in (key, rows_of)]
+    hot = F.col(rows_of) * HOT_SHARE > total
+    often = table.where(hot).select(key, F.struct(*values).alias("_hit"))
+    near = rows.where(F.col(key).isNotNull()).join(F.broadcast(often), key, "left")
+    columns = [*rows.columns, *values]
+    found = near.where("_hit IS NOT NULL").select(*rows.columns, "_hit.*").select(*columns)
+    other = near.where("_hit IS NULL").drop("_hit").join(table.where(~hot).select(key, *values), key, "left").select(*columns)
+    nulls = rows.where(F.col(key).isNull()).select(*rows.columns, *(F.lit(None).cast(table.schema[v].dataType).alias(v) for v in values))
+    return found.union(other).union(nulls)
+
+
 def bucket_bits(rows: int) -> int:
     """Bits of a hash so that its buckets hold about as many rows as there are buckets: both grow as the square root."""
     return min(24, max(4, (max(rows, 1).bit_length() + 1) // 2))

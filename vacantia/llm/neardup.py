@@ -17,9 +17,12 @@
    So a link is missed by chance of hashing only (no common prefix in any order, or FAR_OFF deviations), not by density.
    Work in a region is quadratic in its classes of one prefix; rows are not.
 
+Components are named on classes; members then look their class up, which is broadcast where it is hot.
+
 Defined cases: a text without words, or null, has an empty set and no link; fewer words than a shingle has make one
-shingle; equal rows are members of one class; a null doc_id is a row of its own, and a component's id is its least
-doc_id that is not null; an empty table gives an empty result; other columns are not read.
+shingle; a very long text is held whole by a task, as its set of 8 bytes a shingle; equal rows are members of one class;
+a null doc_id is a row of its own, and a component's id is its least doc_id that is not null; an empty table gives an
+empty result; other columns are not read, and are kept by the stage. In the stage all texts without words stay.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stored
+from .common import checkpointed, looked_up, named, stored, words_of
 from .components import components
 
 TREES = 16
@@ -169,8 +172,8 @@ def orders(classes: DataFrame, starts: list[int], width: int) -> DataFrame:
     order = F.explode(F.array(*[F.struct(F.lit(s).alias("tree"), F.substring(F.concat("sign", "sign"), 2 * s + 1, 2 * DEPTH).alias("key")) for s in starts]))
     rows = classes.select("node", order.alias("o")).select("o.tree", "o.key", "node")
     met = stored(rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node").mapInPandas(_meet(width), MEET))
-    # The two ends of each partition: a small table that grows with the number of partitions only.
-    ends = met.where("a IS NULL").drop("a", "b", "step").coalesce(1).sortWithinPartitions("tree", "key", "node").mapInPandas(_meet(width), MEET)
+    # The two ends of each partition are filtered where they lie: a few rows for each partition go to one task.
+    ends = met.where("a IS NULL").drop("a", "b", "step").repartition(1).sortWithinPartitions("tree", "key", "node").mapInPandas(_meet(width), MEET)
     return met.where("a IS NOT NULL").union(ends.where("a IS NOT NULL")).select("a", "b", "step", "tree")
 
 
@@ -360,7 +363,7 @@ def _apart(pairs: DataFrame, roots: DataFrame, full: DataFrame) -> DataFrame:
 
 
 def _identity(docs: DataFrame, text: str) -> list[Column]:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_hash"), F.col(text).cast("string").alias("_text")]
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(named(text).cast("string")).alias("_hash"), named(text).cast("string").alias("_text")]
 
 
 def grouped(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
@@ -371,8 +374,10 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "tex
     """
     rows = docs.select(*_identity(docs, text))
     signed = checkpointed(rows.mapInPandas(_signed(words), "_id long, _hash long, n long, node binary, sign binary"))
-    least = F.min(F.struct("_id", "_hash", "n", "sign")).alias("_least")
-    classes = checkpointed(signed.where("node IS NOT NULL").groupBy("node").agg(least).select("node", "_least.*"))
+    # A row without an id stands for its class only where no other does.
+    least = F.min(F.struct((F.col("_id") == NO_ID).alias("last"), "_id", "_hash", "n", "sign")).alias("_least")
+    members = F.count(F.lit(1)).alias("members")
+    classes = checkpointed(signed.where("node IS NOT NULL").groupBy("node").agg(least, members).select("node", "members", "_least.*"))
 
     part = SIGNATURE // TREES
     met = orders(classes, [t * part for t in range(TREES)], NEIGHBOURS)
@@ -405,11 +410,13 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "tex
         more = linked(dense, percent, BLOCK)
         roots = joined(roots, confirmed(more, texts, words, percent))
 
-    member = signed.select("_id", "_hash", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    order = F.struct((F.col("_id") == NO_ID).alias("last"), "_id", "_hash")
-    named = member.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("least"))
-    out = member.join(named, "root", "left")
-    chosen = F.col("root").isNull() | ((F.col("least._id") == F.col("_id")) & (F.col("least._hash") == F.col("_hash")))
+    # Named on classes: each component's least row, then each class's.
+    rooted = classes.select("node", "members", F.struct("last", "_id", "_hash").alias("own")).join(roots, "node", "left")
+    rooted = checkpointed(rooted.select("node", "members", "own", F.coalesce("root", "node").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("classes"))
+    of_class = checkpointed(looked_up(rooted.select("node", "members", "root"), least, "root", "classes", rooted.count()).select("node", "members", "least"))
+    out = looked_up(signed.select("_id", "_hash", "n", "node"), of_class, "node", "members", signed.count())
+    chosen = F.col("least").isNull() | ((F.col("least._id") == F.col("_id")) & (F.col("least._hash") == F.col("_hash")))
     return out.select("_id", "_hash", "n", F.coalesce("least._id", "_id").alias("component"), chosen.alias("chosen"))
 
 
@@ -428,13 +435,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, with its own columns."""
-    kept = grouped(docs).where("chosen").select("_id", "_hash").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), *_identity(docs, "text")[:2]).join(kept, ["_id", "_hash"])
-    # The join has brought equal rows together; one of them stays.
-    first = rows.dropDuplicates(["_id", "_hash"])
-    return first.select("_row.*")
+    """Pipeline stage: one document of each group stays, with its own columns, and every one without words."""
+    kept = grouped(docs).where("chosen AND n > 0").select("_id", "_hash").distinct()
+    empty = F.size(words_of(named("text").cast("string"))) == 0
+    rows = docs.where(~empty).select(F.struct(*map(named, docs.columns)).alias("_row"), *_identity(docs, "text")[:2])
+    # Rows without an id may be many of one text: they are few already when they are joined.
+    rows = rows.where(F.col("_id") != NO_ID).union(rows.where(F.col("_id") == NO_ID).dropDuplicates(["_id", "_hash"]))
+    # The join brings equal rows together; one of them stays.
+    first = rows.join(kept, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"])
+    return first.select("_row.*").union(docs.where(empty))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2, percent=80)
+
+
+#: By all shingles that two distinct sets share; components by spreading least ids. For small tables.
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT rid, doc_id, CASE len(w) WHEN 0 THEN [] WHEN 1 THEN [w[1]]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS held FROM d),
+sets AS (SELECT held, len(held) AS n, min(doc_id) AS c FROM s WHERE len(held) > 0 GROUP BY held),
+x AS (SELECT c, n, unnest(held) AS shingle FROM sets),
+links AS (
+  SELECT a.c AS u, b.c AS v FROM x a JOIN x b ON a.shingle = b.shingle AND a.c < b.c AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+ends AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT c AS u, c AS root FROM sets UNION SELECT ends.v, reach.root FROM reach JOIN ends USING (u)),
+named AS (SELECT u, min(root) AS root FROM reach GROUP BY u)
+SELECT doc_id, CAST(len(s.held) AS BIGINT) AS n_shingles, coalesce(root, doc_id) AS component_id, doc_id = coalesce(root, doc_id) AS kept
+FROM s LEFT JOIN sets USING (held) LEFT JOIN named ON named.u = sets.c
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import op8_byte_bpe
 from .hnsw import op1_hnsw
 from .licenses import op9_license_scans
-from .neardup import op5_minhash_near_dedup
+from .neardup import OP5_SQL, op5_minhash_near_dedup
 from .packing import op4_best_fit_packing
 from .quality import OP3_SQL, op3_quality_rules
 from .secrets import OP6_SQL, op6_secret_scans
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op3_quality_rules": OP3_SQL, "op6_secret_scans": OP6_SQL, "op7_warc": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op3_quality_rules": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op6_secret_scans": OP6_SQL, "op7_warc": OP7_SQL}
