@@ -12,7 +12,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import EDGE, any_of, has, literal, quoted, replaced, trimmed
+from .text import EDGE, any_of, has, literal, quoted, replaced, trimmed, words_found
 
 # Names of regions as written, and as stored.
 REGIONS: dict[str, str] = {
@@ -339,10 +339,8 @@ def remote_countries(text: Column) -> Column:
 
 def country_mentions(text: Column) -> Column:
     """Countries named in a text, in full or by a safe short name, between characters that are no letters or digits."""
-    names = {**{k: v for k, v in COUNTRY_NAMES.items() if len(k) >= 4 or k in ("usa", "uae", "uk", "ch")}, **{c: c for c in COUNTRIES}}
-    low = F.lower(F.coalesce(text, F.lit("")))
-    tests = [F.when(low.rlike(rf"(^|[^\p{{L}}\p{{M}}\p{{N}}]){literal(n)}([^\p{{L}}\p{{M}}\p{{N}}]|$)"), F.lit(c)) for n, c in names.items()]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*tests))))
+    names = {c: (c,) for c in COUNTRIES} | {k: (v,) for k, v in COUNTRY_NAMES.items() if len(k) >= 4 or k in ("usa", "uae", "uk", "ch")}
+    return F.array_sort(F.array_distinct(words_found(F.lower(F.coalesce(text, F.lit(""))), names, r"\p{L}\p{M}\p{N}")))
 
 
 def without_remote(place: Column) -> Column:

@@ -58,6 +58,20 @@ def any_of(*words: str) -> str:
     return r"\b(?:" + "|".join(w.replace(" ", r"\s+") for w in words) + r")\b"
 
 
+def words_found(text: Column, words: dict[str, tuple[str, ...]], edge: str = "a-z0-9") -> Column:
+    """What the words in a text stand for, with repeats: one pass of one alternation, and a map from words to meanings.
+
+    A word counts where no character of the class `edge` stands beside it. The longest word at a place is taken, and it
+    stands for all that the words inside it stand for.
+    """
+    inside = lambda w, whole: re.search(rf"(?:^|[^a-z0-9]){literal(w)}(?:[^a-z0-9]|$)", whole)
+    meaning = {whole: sorted({m for w, held in words.items() if inside(w, whole) for m in held}) for whole in words}
+    longest_first = "|".join(literal(w) for w in sorted(words, key=lambda w: (-len(w), w)))
+    pattern = rf"(?<![{edge}])(?=({longest_first})(?![{edge}]))"
+    table = F.create_map(*[x for w, held in meaning.items() for x in (F.lit(w), F.array(*map(F.lit, held)))])
+    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda w: F.element_at(table, w)))
+
+
 def literal(text: str) -> str:
     """A pattern for exactly this text."""
     return re.sub(r"([.^$*+?{}\[\]\\|()])", r"\\\1", text)

@@ -9,10 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import any_of, has, literal, quoted, replaced, sql_has
+from .distinct import VALUE, by_value
+from .text import any_of, has, literal, quoted, replaced, sql_has, words_found
 
 # Technologies and the words that name them.
 STACKS: dict[str, tuple[str, ...]] = {
@@ -151,13 +152,6 @@ GO_ALONE = Rule("golang", (ALONE % "go",), (r"\bgo[-\s]to[-\s]market\b", r"\bgo\
 C_ALONE = Rule("c", (ALONE % "c",), (r"\bobjective[-\s]?c\b", r"\bc#", r"\bc\s*\+\+", any_of("cpp", "cplusplus")))
 
 
-def _stack_tests(title: Column, more: Column) -> dict[str, Column]:
-    tests = {s: has(title, _around(w)) | has(more, _around(w)) for s, w in STACKS.items()}
-    tests["golang"] = tests["golang"] | has(title, GO_WORDS) | has(more, GO_WORDS) | GO_ALONE.column(title)
-    tests["c"] = tests["c"] | C_ALONE.column(title)
-    return tests
-
-
 def _sql_stack_tests(title: str, more: str) -> dict[str, str]:
     tests = {s: f"({sql_has(title, _around(w))} OR {sql_has(more, _around(w))})" for s, w in STACKS.items()}
     tests["golang"] = f"({tests['golang']} OR {sql_has(title, GO_WORDS)} OR {sql_has(more, GO_WORDS)} OR {GO_ALONE.sql(title)})"
@@ -165,40 +159,78 @@ def _sql_stack_tests(title: str, more: str) -> dict[str, str]:
     return tests
 
 
+#: Each word with the technologies it names.
+STACK_WORDS: dict[str, tuple[str, ...]] = {w: tuple(s for s, held in STACKS.items() if w in held) for held in STACKS.values() for w in held}
+
+
+def _low(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def _in_table_order(names: Column) -> Column:
+    return F.array_intersect(F.array(*map(F.lit, STACKS)), names)
+
+
 def stacks_named(title: Column, description: Column | None = None) -> Column:
     """All technologies that a title, or its description, names: in the table's order, the title's first."""
-    low = F.lower(F.coalesce(title, F.lit("")))
-    low = F.regexp_replace(low, "<[^>]*>", " ")
-    none = F.lit("")
-    found = lambda t, m: F.array_compact(F.array(*[F.when(c, F.lit(s)) for s, c in _stack_tests(t, m).items()]))
-    own = found(low, none)
+
+    def named(low: Column, *alone: tuple[str, Column]) -> Column:
+        found = words_found(low, STACK_WORDS)
+        more = [("golang", has(low, GO_WORDS)), *alone]
+        return _in_table_order(F.concat(found, F.array_compact(F.array(*[F.when(test, F.lit(s)) for s, test in more]))))
+
+    low = F.regexp_replace(_low(title), "<[^>]*>", " ")
+    own = named(low, ("golang", GO_ALONE.column(low)), ("c", C_ALONE.column(low)))
     if description is None:
         return own
-    text = F.regexp_replace(F.lower(F.coalesce(description, F.lit(""))), "<[^>]*>", " ")
-    rest = {s: has(text, _around(w)) for s, w in STACKS.items()}
-    rest["golang"] = rest["golang"] | has(text, GO_WORDS)
-    return F.array_union(own, F.array_compact(F.array(*[F.when(c, F.lit(s)) for s, c in rest.items()])))
+    return F.array_union(own, named(F.regexp_replace(_low(description), "<[^>]*>", " ")))
 
 
-def stack_of(title: Column, role: Column, description: Column | None = None) -> Column:
-    """The technologies a posting shows, by its role (null or `other`: all)."""
-    named = stacks_named(title, description)
+def shown_for(named: Column, role: Column) -> Column:
+    """Of the technologies named, those that a posting of this role shows (null or `other`: all)."""
     kept = F.when(role.isin(*STACKLESS_ROLES), F.array().cast("array<string>"))
     for r, allowed in ROLE_STACKS.items():
         kept = kept.when(role == r, F.array_intersect(named, F.array(*map(F.lit, allowed))))
     return kept.otherwise(named)
 
 
-def role_of(title: Column) -> Column:
-    """The role a title names, or `other`."""
-    low = F.lower(F.coalesce(title, F.lit("")))
-    named = stacks_named(title)
-    of = lambda group: F.exists(named, lambda s: s.isin(*group))
+def stack_of(title: Column, role: Column, description: Column | None = None) -> Column:
+    """The technologies a posting shows, by its role."""
+    return shown_for(stacks_named(title, description), role)
+
+
+def role_of(title: Column, named: Column | None = None) -> Column:
+    """The role a title names, or `other`; `named`, if it is at hand, is what `stacks_named` gives."""
+    low = _low(title)
+    named = stacks_named(title) if named is None else named
+    of = lambda group: F.arrays_overlap(named, F.array(*map(F.lit, group)))
     by_stack = F.when(of(BACKEND) & of(FRONTEND), F.lit("fullstack")).when(of(BACKEND), F.lit("backend")).when(of(FRONTEND), F.lit("frontend")).when(of(MOBILE), F.lit("mobile")).otherwise(F.lit("engineer"))
     coder = has(low, any_of("developers?", "computer programmers?")) | (has(low, any_of("programmers?")) & (F.size(named) > 0))
     return first_of(ROLE_RULES, low, F.when(coder, by_stack).otherwise(F.lit("other")))
 
 
+def role_with_description(title: Column, role: Column, description: Column) -> Column:
+    """The title's role; full-stack if that is `other`, the title speaks of engineering, and the description of full-stack work."""
+    low = _low(title)
+    engineering = has(low, any_of("engineers?", "engineering"))
+    hr = ROLE_RULES[0].column(low)
+    return F.when((role == "other") & engineering & ~hr & has(_low(description), FULL_STACK), F.lit("fullstack")).otherwise(role)
+
+
+FULL_STACK = any_of(r"full[\s-]?stack")
+
+
+def read(rows: DataFrame, title: str = "title") -> DataFrame:
+    """`rows` with `role` (or `other`), `seniorities` and `technologies`: titles repeat, so each distinct one is read once."""
+
+    def made(values: DataFrame) -> DataFrame:
+        own = F.col(VALUE)
+        named = values.withColumn("technologies", stacks_named(own))
+        return named.select(VALUE, "technologies", role_of(own, F.col("technologies")).alias("role"), seniorities_of(own).alias("seniorities"))
+
+    return by_value(rows, title, made)
+
+
 def sql_stack_lists(title: str) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{s}' END" for s, t in _sql_stack_tests(title, "''").items()) + "], lambda x: x IS NOT NULL)"
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantia.functions import places, titles
+from vacantia.functions import places, scripts, titles
+from vacantia.functions.distinct import VALUE, by_value
 
 
 def iso_millis(at: Column) -> Column:
@@ -22,48 +23,70 @@ def content_hash(location: str = "location") -> Column:
     return F.sha2(F.concat_ws("|", text("provider"), text("external_id"), low("title"), low("company"), low(location), text("url"), F.coalesce(iso_millis(F.col("posted_at")), F.lit(""))), 256)
 
 
+def _no_strings() -> Column:
+    return F.array().cast("array<string>")
+
+
+def with_facets(rows: DataFrame, terms: DataFrame, raw: str, flagged: Column, hints: Column | None = None, tied_titles: bool = True) -> DataFrame:
+    """`rows` with `geo_raw` (the formatted location without the employer), `shown_location` and `facets`
+    (a struct of tokens, countries and regions).
+
+    Facets are made once for each distinct place and joined back. Where they have no country, those that the title
+    mentions stand in; with `tied_titles`, also those that it ties remote work to.
+    """
+    rows = rows.withColumn("geo_raw", places.without_company(places.formatted(F.col(raw)), F.col("company")))
+    rows = rows.withColumn("_place", F.when(F.lower("geo_raw") == "unknown", F.lit("")).otherwise(F.col("geo_raw")))
+    found = places.facets(rows, terms, "_place").withColumn("_own", F.struct("tokens", "countries", "regions")).select("_place", "_own")
+    rows = rows.join(found, "_place")
+    geography = (F.size("_own.countries") > 0) | (F.size("_own.regions") > 0)
+    rows = rows.withColumn("shown_location", places.resolved(F.col("geo_raw"), geography, flagged))
+    none = _no_strings()
+    remote = F.struct(F.array(F.lit("remote")).alias("tokens"), none.alias("countries"), none.alias("regions"))
+    facets = F.when(F.col("shown_location") == "Remote", remote).otherwise(F.col("_own"))
+    rows = rows.withColumn("_facets", facets if hints is None else places.merged_with_hints(facets, hints))
+
+    def mentioned(values: DataFrame) -> DataFrame:
+        said = places.country_mentions(F.col(VALUE))
+        return values.withColumn("_said", F.array_union(said, places.remote_countries(F.col(VALUE))) if tied_titles else said)
+
+    rows = by_value(rows, "title", mentioned)
+    use = (F.size("_facets.countries") == 0) & (F.size("_said") > 0)
+    own = F.col("_facets")
+    by_title = F.struct(F.array_union(own["tokens"], F.col("_said")).alias("tokens"), F.col("_said").alias("countries"), own["regions"].alias("regions"))
+    return rows.withColumn("facets", F.when(use, by_title).otherwise(own)).drop("_place", "_own", "_facets", "_said")
+
+
 def classified(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """Raw postings with display location, facets, role, stack, seniorities and hash.
 
     `rows` has the columns of a posting as a board gives it; `location_hints` (array of strings) and `description` are
-    optional. Postings without a date are dropped. Facets are made once for each distinct place and joined back.
+    optional. Postings without a date are dropped. Titles, too, are read once each.
     """
-    rows = rows.where(F.col("posted_at").isNotNull())
-    raw = places.formatted(F.col("location_raw"))
-    rows = rows.withColumn("location_raw", places.without_company(raw, F.col("company")))
-    rows = rows.withColumn("_place", F.when(F.lower("location_raw") == "unknown", F.lit("")).otherwise(F.col("location_raw")))
-    found = places.facets(rows, terms, "_place").withColumnsRenamed({"tokens": "_t", "countries": "_c", "regions": "_r"})
-    rows = rows.join(found, "_place")
-    geography = (F.size("_c") > 0) | (F.size("_r") > 0)
     flagged = F.coalesce(F.col("is_flagged_remote"), F.lit(False))
-    rows = rows.withColumn("location", places.resolved(F.col("location_raw"), geography, flagged))
-    none = F.array().cast("array<string>")
-    own = F.struct(F.col("_t").alias("tokens"), F.col("_c").alias("countries"), F.col("_r").alias("regions"))
-    remote = F.struct(F.array(F.lit("remote")).alias("tokens"), none.alias("countries"), none.alias("regions"))
-    facets = F.when(F.col("location") == "Remote", remote).otherwise(own)
-    if "location_hints" in rows.columns:
-        facets = places.merged_with_hints(facets, F.coalesce("location_hints", none))
-    rows = rows.withColumn("_f", facets)
-    named = F.array_union(places.country_mentions(F.col("title")), places.remote_countries(F.col("title")))
-    from_title = (F.size("_f.countries") == 0) & (F.size("_named") > 0)
-    rows = rows.withColumn("_named", named)
+    hints = F.coalesce("location_hints", _no_strings()) if "location_hints" in rows.columns else None
+    rows = with_facets(rows.where(F.col("posted_at").isNotNull()), terms, "location_raw", flagged, hints)
     rows = rows.withColumns(
         {
-            "location_tokens": F.when(from_title, F.array_union("_f.tokens", "_named")).otherwise(F.col("_f.tokens")),
-            "location_countries": F.when(from_title, F.col("_named")).otherwise(F.col("_f.countries")),
-            "location_regions": F.col("_f.regions"),
-            "is_remote": flagged | F.lower("location_raw").contains("remote"),
-            "title": titles.without_location(F.trim("title"), F.col("location")),
+            "location_raw": F.col("geo_raw"),
+            "location": F.col("shown_location"),
+            "location_tokens": F.col("facets.tokens"),
+            "location_countries": F.col("facets.countries"),
+            "location_regions": F.col("facets.regions"),
+            "is_remote": flagged | F.lower("geo_raw").contains("remote"),
+            "title": titles.without_location(F.trim("title"), F.col("shown_location")),
         }
     )
-    rows = rows.withColumn("role", titles.role_of(F.col("title")))
-    description = F.col("description") if "description" in rows.columns else None
-    rows = rows.withColumn("stack", titles.stack_of(F.col("title"), F.col("role"), description)).withColumn("role", F.nullif("role", F.lit("other")))
-    levels = titles.seniorities_of(F.col("title"))
+    rows = titles.read(rows)
+    named = F.col("technologies")
+    if "description" in rows.columns:
+        named = F.array_union(named, titles.stacks_named(F.lit(""), F.col("description")))
+        rows = rows.withColumn("role", titles.role_with_description(F.col("title"), F.col("role"), F.col("description")))
+    rows = rows.withColumn("stack", titles.shown_for(named, F.col("role"))).withColumn("role", F.nullif("role", F.lit("other")))
     if "experience" in rows.columns:
-        levels = F.when(F.size(levels) > 0, levels).otherwise(titles.experience_levels(F.col("experience")))
-    rows = rows.withColumn("seniorities", levels).withColumn("id", F.concat_ws(":", "provider", "external_id"))
-    dropped = ["_place", "_t", "_c", "_r", "_f", "_named", "description", "location_hints", "experience", "is_flagged_remote"]
+        levels = F.when(F.size("seniorities") > 0, F.col("seniorities")).otherwise(titles.experience_levels(F.col("experience")))
+        rows = rows.withColumn("seniorities", levels)
+    rows = rows.withColumn("id", F.concat_ws(":", "provider", "external_id"))
+    dropped = ["technologies", "geo_raw", "shown_location", "facets", "description", "location_hints", "experience", "is_flagged_remote"]
     return rows.withColumn("hash", content_hash()).drop(*dropped)
 
 
@@ -90,8 +113,12 @@ def reconciled(stored: DataFrame, scope: DataFrame, fetched: DataFrame) -> DataF
 
 
 def upserted(stored: DataFrame, incoming: DataFrame, keys: list[str], resets: dict[str, Column], order: str) -> DataFrame:
-    """Stored rows replaced by incoming ones with the same keys, the last by `order`; columns in `resets` are set anew."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+    """Stored rows replaced by incoming ones with the same keys, the last by `order`; columns in `resets` are set anew.
+
+    Incoming rows of equal order are told apart by all their columns, so that the result doesn't hang on chance.
+    """
+    ties = F.xxhash64(*[c for c in incoming.columns if c != order])
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order), ties))
     last = incoming.withColumn("_n", rank).where("_n = 1").drop("_n")
     last = last.withColumns(resets)
     untouched = stored.join(last.select(*keys), keys, "left_anti")
@@ -121,6 +148,90 @@ def staggered(sources: DataFrame, step_ms: int = 400) -> DataFrame:
     return sources.where("is_active").withColumn("delay_ms", ((place - 1) * step_ms).cast("long"))
 
 
+def source_by_id(sources: DataFrame, id: str, provider: str) -> DataFrame:
+    """The active source of this id and provider, if there is one."""
+    return sources.where((F.col("id") == id) & (F.col("provider") == provider) & F.col("is_active")).limit(1)
+
+
+#: Providers are polled in this order.
+PROVIDERS = ("ashby", "greenhouse", "workable", "lever")
+
+
+def poll_messages(sources: DataFrame, open_circuits: tuple[str, ...] = (), step_ms: int = 400) -> DataFrame:
+    """source_id, provider, provider_order and delay_ms of each fetch of a poll: active sources of providers whose circuit is closed."""
+    order = F.array_position(F.array(*map(F.lit, PROVIDERS)), F.col("provider"))
+    rows = sources.where(order > 0)
+    if open_circuits:
+        rows = rows.where(~F.col("provider").isin(*open_circuits))
+    return staggered(rows, step_ms).select(F.col("id").alias("source_id"), "provider", order.cast("int").alias("provider_order"), "delay_ms")
+
+
+def met_sources(messages: DataFrame, sources: DataFrame) -> DataFrame:
+    """Messages with their source's external_id and name; those whose source is gone, inactive or another provider's leave."""
+    known = sources.where("is_active").select(F.col("id").alias("source_id"), "provider", "external_id", "name")
+    return messages.join(known, ["source_id", "provider"])
+
+
+def removed_counts(stored: DataFrame, kept: DataFrame) -> DataFrame:
+    """How many postings each (provider, company) lost between two states of the relation; those that lost none aren't listed."""
+    count = lambda rows, name: rows.groupBy("provider", "company").agg(F.count(F.lit(1)).alias(name))
+    both = count(stored, "before").join(count(kept, "after"), ["provider", "company"], "left")
+    lost = both.select("provider", "company", (F.col("before") - F.coalesce("after", F.lit(0))).alias("removed"))
+    return lost.where("removed > 0")
+
+
+def synced(sources: DataFrame, outcomes: DataFrame, at: Column) -> DataFrame:
+    """Sources after a poll. `outcomes` has source_id and ok: success sets status and time, an error the status alone."""
+    by = outcomes.groupBy(F.col("source_id").alias("id")).agg(F.bool_and("ok").alias("_ok"))
+    rows = sources.join(by, "id", "left")
+    status = F.when(F.col("_ok"), "success").when(~F.col("_ok"), "error").otherwise(F.col("sync_status"))
+    last = F.when(F.col("_ok"), at).otherwise(F.col("last_synced_at"))
+    return rows.withColumns({"sync_status": status, "last_synced_at": last}).select(*sources.columns)
+
+
+def polled(jobs: DataFrame, sources: DataFrame, outcomes: DataFrame, fetched: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """Jobs and sources after one poll. `fetched` has the postings (all columns of `jobs`) of the sources that answered.
+
+    Each answer is a complete snapshot of its source: what is new comes in, what is missing goes. A source that failed
+    keeps its postings and is marked.
+    """
+    answered = outcomes.where("ok").join(sources.withColumnRenamed("id", "source_id"), "source_id").select("provider", F.col("name").alias("company"))
+    came = jobs.unionByName(new_only(fetched, jobs))
+    return reconciled(came, answered, fetched), synced(sources, outcomes, at)
+
+
+def recovered_hints() -> Column:
+    """Hints that stored facets keep of a board's own: countries, and tokens that are two letters."""
+    low = lambda c: F.transform(F.col(c), lambda x: F.lower(F.trim(x)))
+    return F.array_distinct(F.concat(F.filter(low("location_countries"), lambda x: x != ""), F.filter(low("location_tokens"), lambda x: x.rlike("^[a-z]{2}$"))))
+
+
+def facet_backfill(jobs: DataFrame, terms: DataFrame, provider: str = "lever") -> DataFrame:
+    """id and new_location_* of one board's postings whose facets, made anew with the hints they keep, differ whatever their order."""
+    rows = jobs.where(F.col("provider") == provider).withColumn("_raw", F.coalesce("location_raw", "location", F.lit(""))).withColumn("_hints", recovered_hints())
+    found = with_facets(rows, terms, "_raw", F.col("is_remote"), F.col("_hints"))
+    parts = ("tokens", "countries", "regions")
+    key = lambda c: F.array_sort(F.transform(c, F.lower))
+    differs = F.lit(False)
+    for k in parts:
+        differs = differs | (key(F.col(f"location_{k}")) != key(F.col(f"facets.{k}")))
+    return found.where(differs).select("id", *(F.col(f"facets.{k}").alias(f"new_location_{k}") for k in parts))
+
+
+def in_other_scripts(jobs: DataFrame) -> DataFrame:
+    """Postings whose location, raw or shown, has letters of a script that isn't Latin, or a back-tick."""
+    odd = lambda c: F.coalesce(scripts.other_script(F.col(c)) | F.col(c).contains("`"), F.lit(False))
+    return jobs.where(odd("location") | odd("location_raw"))
+
+
+def romanized_backfill(jobs: DataFrame) -> DataFrame:
+    """id and new_location, new_location_raw of postings whose location in Latin letters is another text."""
+    rows = in_other_scripts(jobs).select("id", "location", "location_raw")
+    for c in ("location", "location_raw"):
+        rows = by_value(rows, c, lambda values, c=c: scripts.romanized(values, VALUE, f"new_{c}"))
+    return rows.where(~F.col("location").eqNullSafe(F.col("new_location")) | ~F.col("location_raw").eqNullSafe(F.col("new_location_raw"))).select("id", "new_location", "new_location_raw")
+
+
 def source_lookup(sources: DataFrame, name: str) -> DataFrame:
     """The active source of that name or external id, white space and case aside; none for a blank name."""
     low = name.strip().lower()

@@ -15,7 +15,7 @@ from vacantia.functions.text import sql_has, without_tags
 from vacantia.operators import audits, ingest, search
 from vacantia.operators.tables import stored
 from vacantia.plans.synthetic import POSTINGS_SQL, postings
-from vacantia.sources import boards, links
+from vacantia.sources import boards, companies, links
 from vacantia.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,8 +55,7 @@ _TITLED = f"(SELECT *, nullif({_ROLE}, 'other') AS role, {_LEVELS} AS senioritie
 
 
 def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.col("title")
-    return postings(spark, sf_dir).withColumn("role", F.nullif(titles.role_of(title), F.lit("other"))).withColumn("seniorities", titles.seniorities_of(title))
+    return titles.read(postings(spark, sf_dir)).withColumn("role", F.nullif("role", F.lit("other")))
 
 
 @query(f"SELECT id, title, role FROM {_TITLED}")
@@ -84,12 +83,12 @@ def _sql_stack(role: str) -> str:
 
 @query(f"SELECT id, array_to_string(list_sort({_sql_stack('role')}), ',') AS stack FROM {_TITLED}")
 def stack_from_text(spark, sf_dir):
-    return titled(spark, sf_dir).select("id", shown(titles.stack_of(F.col("title"), F.col("role"))).alias("stack"))
+    return titled(spark, sf_dir).select("id", shown(titles.shown_for(F.col("technologies"), F.col("role"))).alias("stack"))
 
 
 @query(f"SELECT id FROM {_TITLED} WHERE list_has_any({_sql_stack('role')}, ['python', 'react'])")
 def stack_overlap_filter(spark, sf_dir):
-    stack = titles.stack_of(F.col("title"), F.col("role"))
+    stack = titles.shown_for(F.col("technologies"), F.col("role"))
     return titled(spark, sf_dir).where(F.arrays_overlap(stack, F.array(F.lit("python"), F.lit("react")))).select("id")
 
 
@@ -202,12 +201,12 @@ def reconcile_empty_snapshot(spark, sf_dir):
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source catalog made of suppliers."""
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
-        F.element_at(F.array(*map(F.lit, boards.EXTRACTORS)), (F.col("s_suppkey") % 4 + 1).cast("int")).alias("provider"), F.col("s_suppkey").cast("string").alias("external_id"), F.col("s_name").alias("name"),
+        F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.element_at(F.array(*map(F.lit, boards.EXTRACTORS)), (F.col("s_suppkey") % 4 + 1).cast("int")).alias("provider"), F.col("s_suppkey").cast("string").alias("external_id"), F.col("s_name").alias("name"),
         (F.col("s_acctbal") > 0).alias("is_active"), F.lit("success").alias("sync_status"),
     )
 
 
-_SOURCES = """(SELECT ['ashby', 'greenhouse', 'workable', 'lever'][s_suppkey % 4 + 1] AS provider, CAST(s_suppkey AS VARCHAR) AS external_id, s_name AS name,
+_SOURCES = """(SELECT 's' || s_suppkey AS id, ['ashby', 'greenhouse', 'workable', 'lever'][s_suppkey % 4 + 1] AS provider, CAST(s_suppkey AS VARCHAR) AS external_id, s_name AS name,
   s_acctbal > 0 AS is_active, 'success' AS sync_status FROM supplier)"""
 
 
@@ -223,7 +222,7 @@ def source_lookup(spark, sf_dir):
 
 @query(f"SELECT provider, external_id, CASE WHEN CAST(external_id AS BIGINT) % 3 = 0 THEN name || ' new' ELSE name END AS name, CASE WHEN CAST(external_id AS BIGINT) % 3 = 0 THEN true ELSE is_active END AS is_active, CASE WHEN CAST(external_id AS BIGINT) % 3 = 0 THEN 'idle' ELSE sync_status END AS sync_status FROM {_SOURCES}")
 def catalog_upsert(spark, sf_dir):
-    stored = sources(spark, sf_dir)
+    stored = sources(spark, sf_dir).drop("id")
     old = stored.where("external_id % 3 = 0").withColumn("seq", F.lit(1))
     new = old.withColumn("name", F.concat("name", F.lit(" new"))).withColumn("seq", F.lit(2))
     return ingest.upserted(stored, old.unionByName(new), ["provider", "external_id"], {"is_active": F.lit(True), "sync_status": F.lit("idle")}, "seq")
@@ -238,16 +237,19 @@ def audit_top_raw(spark, sf_dir):
 @query(f"""SELECT count(*) AS scanned, count(*) FILTER (role IS NULL) AS no_role, count(*) FILTER (seniorities = '') AS no_seniority, count(*) FILTER (len(stack) = 0) AS no_stack
   FROM (SELECT *, {_sql_stack('role')} AS stack FROM {_TITLED})""")
 def audit_conditional_counts(spark, sf_dir):
-    rows = titled(spark, sf_dir).withColumn("stack", titles.stack_of(F.col("title"), F.col("role")))
+    rows = titled(spark, sf_dir).withColumn("stack", titles.shown_for(F.col("technologies"), F.col("role")))
     return audits.conditional_counts(rows).select("scanned", "no_role", "no_seniority", "no_stack")
 
 
 _SOFT = sql_has("lower(title)", titles.SOFTWARE)
 
 
-@query(f"SELECT provider, company, bool_or({_SOFT}) AS has_intent, count(DISTINCT CASE WHEN {_SOFT} THEN title END) AS n_titles FROM {POSTINGS_SQL} GROUP BY 1, 2")
+@query(
+    f"""SELECT provider, company, coalesce(bool_or({_SOFT}), false) AS has_intent,
+      coalesce(array_to_string(list_sort(list(DISTINCT trim(title)) FILTER ({_SOFT})), '|'), '') AS titles, count(DISTINCT nullif(trim(title), '')) AS n_scanned FROM {POSTINGS_SQL} GROUP BY 1, 2"""
+)
 def swe_intent_by_source(spark, sf_dir):
-    return audits.intent_by_source(postings(spark, sf_dir))
+    return audits.intent_by_source(postings(spark, sf_dir)).withColumn("titles", F.array_join("titles", "|"))
 
 
 @query()
@@ -382,6 +384,306 @@ for _provider in boards.EXTRACTORS:
     _extracted(_provider)
 
 
+# Sources, polls and snapshots.
+
+
+@query(
+    f"""SELECT id AS source_id, provider, CASE provider WHEN 'ashby' THEN 1 WHEN 'greenhouse' THEN 2 WHEN 'workable' THEN 3 ELSE 4 END AS provider_order,
+      (row_number() OVER (PARTITION BY provider ORDER BY name, external_id) - 1) * 400 AS delay_ms FROM {_SOURCES} WHERE is_active AND provider <> 'workable'"""
+)
+def poll_messages(spark, sf_dir):
+    """A poll while Workable's circuit is open."""
+    return ingest.poll_messages(sources(spark, sf_dir), ("workable",))
+
+
+@query(f"SELECT id, provider, external_id, name FROM {_SOURCES} WHERE id = 's7' AND provider = 'lever' AND is_active")
+def source_by_id(spark, sf_dir):
+    return ingest.source_by_id(sources(spark, sf_dir), "s7", "lever").select("id", "provider", "external_id", "name")
+
+
+@query(f"SELECT id AS source_id, provider, external_id, name FROM {_SOURCES} WHERE is_active AND CAST(external_id AS BIGINT) % 3 <> 0")
+def messages_with_sources(spark, sf_dir):
+    """Every third message names a provider that isn't its source's."""
+    wrong = F.col("external_id") % 3 == 0
+    messages = sources(spark, sf_dir).select(F.col("id").alias("source_id"), F.when(wrong, "none").otherwise(F.col("provider")).alias("provider"))
+    return ingest.met_sources(messages, sources(spark, sf_dir)).select("source_id", "provider", "external_id", "name")
+
+
+def _outcomes(rows: DataFrame) -> DataFrame:
+    """Sources by number: multiples of 3 answer, others that leave 1 fail, the rest isn't polled."""
+    number = F.col("external_id").cast("long")
+    return rows.where(number % 3 < 2).select(F.col("id").alias("source_id"), (number % 3 == 0).alias("ok"))
+
+
+@query(
+    f"""SELECT id, CASE CAST(external_id AS BIGINT) % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'error' ELSE sync_status END AS sync_status,
+      CASE CAST(external_id AS BIGINT) % 3 WHEN 0 THEN '2024-02-01' ELSE '2024-01-01' END AS last_synced FROM {_SOURCES}"""
+)
+def source_sync_status(spark, sf_dir):
+    rows = sources(spark, sf_dir).withColumn("last_synced_at", F.lit("2024-01-01").cast("timestamp"))
+    after = ingest.synced(rows, _outcomes(rows), F.lit("2024-02-01").cast("timestamp"))
+    return after.select("id", "sync_status", F.date_format("last_synced_at", "yyyy-MM-dd").alias("last_synced"))
+
+
+def _poll(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored are postings that are no multiple of 4; companies that are multiples of 3 answer with what is no multiple of 5, others fail."""
+    rows = hashed(spark, sf_dir)
+    companies = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("n"), F.col("c_name").alias("name"))
+    known = companies.select("n", "name", F.explode(F.array(*map(F.lit, ingest.PROVIDERS))).alias("provider"))
+    known = known.select(F.concat_ws(":", "n", "provider").alias("id"), "provider", F.col("n").alias("external_id"), "name", F.lit(True).alias("is_active"), F.lit("idle").alias("sync_status"), F.lit(None).cast("timestamp").alias("last_synced_at"))
+    outcomes = known.select(F.col("id").alias("source_id"), (F.col("external_id") % 3 == 0).alias("ok"))
+    answering = known.where("external_id % 3 = 0").select("provider", F.col("name").alias("company"))
+    fetched = rows.where("external_id % 5 <> 0").join(answering, ["provider", "company"]).select(*rows.columns)
+    return ingest.polled(rows.where("external_id % 4 <> 0"), known, outcomes, fetched, F.lit("2024-02-01").cast("timestamp")) + (rows.where("external_id % 4 <> 0"),)
+
+
+@query(
+    f"""SELECT p.id FROM {POSTINGS_SQL} p JOIN customer c ON c.c_name = p.company
+      WHERE CASE WHEN c_custkey % 3 = 0 THEN CAST(external_id AS BIGINT) % 5 <> 0 ELSE CAST(external_id AS BIGINT) % 4 <> 0 END"""
+)
+def poll_with_snapshots(spark, sf_dir):
+    return _poll(spark, sf_dir)[0].select("id")
+
+
+@query(
+    f"""SELECT provider, company, count(*) AS removed FROM {POSTINGS_SQL} p JOIN customer c ON c.c_name = p.company
+      WHERE c_custkey % 3 = 0 AND CAST(external_id AS BIGINT) % 4 <> 0 AND CAST(external_id AS BIGINT) % 5 = 0 GROUP BY 1, 2"""
+)
+def poll_removed_counts(spark, sf_dir):
+    after, _, before = _poll(spark, sf_dir)
+    return ingest.removed_counts(before, before.join(after.select("id"), "id", "left_semi"))
+
+
+# Companies behind links.
+
+
+def company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each supplier that links to its board, in one of six ways."""
+    n = F.col("s_suppkey")
+    url = F.concat(F.element_at(F.array(F.lit("https://boards.greenhouse.io/Co"), F.lit("https://jobs.ashbyhq.com/Co%20"), F.lit("https://apply.workable.com/Co")), (n % 3 + 1).cast("int")), n.cast("string"), F.lit("/jobs,"))
+    name = F.col("s_name")
+    a = lambda attrs, inside: F.concat(F.lit("<a href='"), url, F.lit(f"' {attrs}>"), inside, F.lit("</a>"))
+    ways = [
+        a("", F.concat(F.lit("<img alt=' "), name, F.lit(" '>Apply"))),
+        F.concat(F.lit("<a href='"), url, F.lit("' aria-label=\""), name, F.lit("\">Jobs</a>")),
+        a("", F.concat(F.lit("<b>"), name, F.lit("</b>"))),
+        F.concat(F.lit("<ul><li><h3>"), name, F.lit("</h3> "), a("", F.lit("Apply now")), F.lit("</li></ul>")),
+        F.concat(F.lit("<div class='company-row'>"), name, F.lit(" "), a("title='here'", F.lit("View jobs")), F.lit("</div>")),
+        a("", F.lit("Careers")),
+    ]
+    html = F.concat(F.lit("<html><body><a href='#top'>Top</a>"), F.element_at(F.array(*ways), (n % 6 + 1).cast("int")), F.lit("<a href='https://example.org/'>Else</a></body></html>"))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("page_id"), html.alias("html"))
+
+
+@query(
+    """SELECT ['greenhouse', 'ashby', 'workable'][s_suppkey % 3 + 1] AS provider, ['co', 'co ', 'co'][s_suppkey % 3 + 1] || s_suppkey AS external_id,
+      CASE WHEN s_suppkey % 6 <> 5 THEN s_name END AS name FROM supplier"""
+)
+def page_companies(spark, sf_dir):
+    return companies.page_companies(company_pages(spark, sf_dir))
+
+
+@query("SELECT ['greenhouse', 'ashby', 'workable'][s_suppkey % 3 + 1] AS provider, count(*) AS n FROM supplier GROUP BY 1")
+def companies_by_provider(spark, sf_dir):
+    return companies.by_provider(companies.page_companies(company_pages(spark, sf_dir)))
+
+
+@query(
+    """SELECT s_suppkey AS n, CASE s_suppkey % 5 WHEN 0 THEN 'https://boards-api.greenhouse.io/v1/boards/' || slug || '/jobs?content=true'
+      WHEN 1 THEN 'https://api.ashbyhq.com/posting-api/job-board/' || slug WHEN 2 THEN 'https://www.workable.com/api/accounts/' || slug || '?details=true'
+      WHEN 3 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'https://api.eu.lever.co/v0/postings/' ELSE 'https://api.lever.co/v0/postings/' END || slug || '?mode=json&limit=1' END AS url
+      FROM (SELECT s_suppkey, 'a%20(%C3%A9)''%26' || s_suppkey AS slug FROM supplier)"""
+)
+def source_urls(spark, sf_dir):
+    n = F.col("s_suppkey")
+    provider = F.element_at(F.array(*map(F.lit, ("greenhouse", "ashby", "workable", "lever", "other"))), (n % 5 + 1).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return rows.select(n.alias("n"), companies.api_url(provider, F.concat(F.lit("a (é)'&"), n.cast("string")), F.when(n % 2 == 0, " EU ")).alias("url"))
+
+
+@query(
+    """SELECT provider, external_id, name, url, CASE WHEN n % 4 = 0 THEN 'invalid' WHEN n % 4 = 1 THEN 'ok' WHEN n % 4 = 2 THEN 'warn' ELSE 'error' END AS result FROM (
+      SELECT s_suppkey AS n, 'greenhouse' AS provider, CAST(s_suppkey AS VARCHAR) AS external_id, s_name AS name, 'https://boards-api.greenhouse.io/v1/boards/' || s_suppkey || '/jobs?content=true' AS url FROM supplier)"""
+)
+def probed_sources(spark, sf_dir):
+    rows = sources(spark, sf_dir).withColumn("provider", F.lit("greenhouse")).withColumn("api_region", F.lit(None).cast("string"))
+    status = F.element_at(F.array(F.lit(404), F.lit(204), F.lit(500), F.lit(None).cast("int")), (F.col("external_id") % 4 + 1).cast("int"))
+    return companies.probed(rows, rows.select("provider", "external_id", status.alias("status"), (F.col("external_id") % 8 == 3).alias("failed")))
+
+
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One payload for each even supplier, with titles at two depths; multiples of 10 are broken JSON."""
+    n = F.col("external_id").cast("long")
+    title = F.when(n % 4 == 0, "Senior Software Engineer").otherwise("Accountant")
+    good = F.to_json(F.struct(F.lit(" ").alias("company_name"), F.concat(F.lit("W "), F.col("name")).alias("name"), F.array(F.struct(title.alias("title"), F.struct(F.lit("SWE, Tools").alias("TITLE"), F.concat(F.lit(" G "), F.col("name")).alias("company_name")).alias("inner")), F.struct(F.lit(" SWE, Tools ").alias("title"), F.struct(F.lit("Cook").alias("TITLE"), F.lit("").alias("company_name")).alias("inner"))).alias("jobs")))
+    return sources(spark, sf_dir).where(n % 2 == 0).select("provider", "external_id", F.when(n % 10 == 0, "{broken").otherwise(good).alias("payload"))
+
+
+@query(
+    f"""SELECT provider, external_id, CASE provider WHEN 'greenhouse' THEN 'G ' || name WHEN 'workable' THEN 'W ' || name ELSE name END AS name,
+      CASE WHEN n % 4 = 0 THEN 'SWE, Tools|Senior Software Engineer' ELSE 'SWE, Tools' END AS titles, CAST(3 AS BIGINT) AS n_scanned
+      FROM (SELECT *, CAST(external_id AS BIGINT) AS n FROM {_SOURCES}) WHERE n % 2 = 0 AND n % 10 <> 0"""
+)
+def verified_companies(spark, sf_dir):
+    entries = sources(spark, sf_dir).select("provider", "external_id", "name")
+    return companies.verified(entries, _payloads(spark, sf_dir)).withColumn("titles", F.array_join("titles", "|"))
+
+
+@query(f"SELECT external_id, CASE WHEN n % 10 = 0 THEN '' WHEN n % 4 = 0 THEN 'Senior Software Engineer|SWE, Tools| SWE, Tools |Cook' ELSE 'Accountant|SWE, Tools| SWE, Tools |Cook' END AS found FROM (SELECT *, CAST(external_id AS BIGINT) AS n FROM {_SOURCES}) WHERE n % 2 = 0")
+def payload_fields(spark, sf_dir):
+    return companies.fields_named(_payloads(spark, sf_dir), ("title",)).select("external_id", F.array_join("values", "|").alias("found"))
+
+
+@query(f"SELECT provider, external_id, name FROM {_SOURCES} WHERE provider <> 'lever' AND CAST(external_id AS BIGINT) % 7 <> 0")
+def valid_catalog_entries(spark, sf_dir):
+    rows = sources(spark, sf_dir).withColumn("external_id", F.when(F.col("external_id") % 7 != 0, F.col("external_id")))
+    return companies.valid_entries(rows).select("provider", "external_id", "name")
+
+
+@query(
+    f"""SELECT provider, external_id, name FROM (SELECT *, row_number() OVER (PARTITION BY provider, lower(external_id) ORDER BY run DESC) AS r FROM (
+      SELECT 0 AS run, provider, 'co' || external_id AS external_id, name FROM {_SOURCES}
+      UNION ALL SELECT 1, provider, 'CO' || external_id, 'new ' || name FROM {_SOURCES} WHERE CAST(external_id AS BIGINT) % 3 = 0)) WHERE r = 1"""
+)
+def catalog_merge(spark, sf_dir):
+    rows = sources(spark, sf_dir)
+    old = rows.select("provider", F.concat(F.lit("co"), "external_id").alias("external_id"), "name")
+    new = rows.where("external_id % 3 = 0").select("provider", F.concat(F.lit("CO"), "external_id").alias("external_id"), F.concat(F.lit("new "), "name").alias("name"))
+    return links.merged_catalog(old, new)
+
+
+@query(
+    """SELECT s_suppkey AS n, CAST(page AS INTEGER) AS page, CASE WHEN s_suppkey % 2 = 0 THEN 'https://api.eu.lever.co/v0/postings/' ELSE 'https://api.lever.co/v0/postings/' END
+      || s_suppkey || '?mode=json&skip=' || page * 100 || '&limit=100' AS url FROM (SELECT s_suppkey, unnest(range(s_suppkey * 50 // 100 + 1)) AS page FROM supplier)"""
+)
+def lever_page_requests(spark, sf_dir):
+    n = F.col("s_suppkey")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(n.cast("string").alias("external_id"), F.when(n % 2 == 0, "eu").alias("api_region"), (n * 50).alias("n"))
+    return boards.page_requests(rows).select(F.col("external_id").cast("long").alias("n"), "page", "url")
+
+
+@query("SELECT s_suppkey AS n, CAST(page AS INTEGER) AS page FROM (SELECT s_suppkey, unnest(range(5)) AS page FROM supplier) WHERE page <= s_suppkey % 7")
+def lever_pages_read(spark, sf_dir):
+    """Of five landed pages, those up to the first that isn't full; here full is two, and page n % 7 holds one posting."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("slug"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("page"))
+    payload = F.when(F.col("page") == F.col("slug").cast("long") % 7, "[{}]").otherwise("[{},{}]")
+    return boards.whole_pages(rows.withColumn("payload", payload), 2).select(F.col("slug").cast("long").alias("n"), "page")
+
+
+# Board audits over postings whose places are plain, so that what is expected can be said in SQL.
+
+
+def plain_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titled postings in one of six places, with stored facets that are right, out of date, or empty by turns."""
+    n = F.col("external_id").cast("long")
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (n % 6 + 1).cast("int"))
+    rows = titled(spark, sf_dir).withColumn("stack", titles.shown_for(F.col("technologies"), F.col("role"))).drop("technologies")
+    stored = F.when(n % 5 == 0, F.array()).when(n % 5 == 1, F.array(F.lit("de"), F.lit("zz"))).otherwise(F.filter(F.array(pick(("germany", "france", None, "united states", None, "spain"))), lambda c: c.isNotNull()))
+    return rows.withColumns(
+        {
+            "title": F.when(n % 13 == 0, "Forward-Deployed Engineer").otherwise(F.lit("Backend Engineer (Python)")),
+            "role": F.when(n % 7 == 0, F.lit(None).cast("string")).when(n % 7 == 1, "data").otherwise("backend"),
+            "seniorities": F.when(n % 3 == 0, F.array(F.lit("senior"))).otherwise(F.array().cast("array<string>")),
+            "stack": F.when(n % 4 == 0, F.array(F.lit("python"))).when(n % 4 == 1, F.array(F.lit("rust"))).otherwise(F.array().cast("array<string>")),
+            "location_raw": pick(("Berlin, Germany", "Paris", "Remote", "United States", "Nowhereland", "Madrid, Spain")),
+            "location": pick(("Berlin, Germany", "Paris", "Remote", "United States", "Nowhereland", "Madrid, Spain")),
+            "location_countries": stored.cast("array<string>"),
+            "location_tokens": stored.cast("array<string>"),
+            "location_regions": F.array().cast("array<string>"),
+            "is_remote": n % 6 == 2,
+        }
+    )
+
+
+#: What the audit must find, by hand: the title says backend and Python, or forward deployed (solutions, which has no stack).
+_PLAIN = f"""(SELECT *, CASE WHEN n % 13 = 0 THEN 'solutions' ELSE 'backend' END AS now_role,
+    CASE WHEN n % 7 = 0 THEN NULL WHEN n % 7 = 1 THEN 'data' ELSE 'backend' END AS then_role,
+    CASE WHEN n % 5 = 0 THEN '' WHEN n % 5 = 1 THEN 'germany' ELSE coalesce(['germany', 'france', NULL, 'united states', NULL, 'spain'][n % 6 + 1], '') END AS then_country,
+    coalesce(['germany', 'france', NULL, 'united states', NULL, 'spain'][n % 6 + 1], '') AS now_country,
+    CASE WHEN n % 4 = 0 THEN 'python' WHEN n % 4 = 1 THEN 'rust' ELSE '' END AS then_stack
+  FROM (SELECT *, CAST(external_id AS BIGINT) AS n FROM {POSTINGS_SQL} WHERE provider = '{{provider}}'))"""
+_AUDITED = f"""(SELECT id, n, then_role IS DISTINCT FROM now_role AS role_differs, n % 3 = 0 AS seniority_differs,
+    CASE WHEN then_stack = now_stack THEN NULL WHEN now_stack = '' THEN 'description_enriched' ELSE 'true_drift' END AS stack_mismatch,
+    then_country <> now_country AS facets_differ, n % 5 = 0 AND n % 6 <> 2 AS empty_geography, n % 13 = 0 AS forward_deployed, then_role
+  FROM (SELECT *, CASE WHEN n % 13 <> 0 AND coalesce(then_role, now_role) <> 'data' THEN 'python' ELSE '' END AS now_stack FROM {_PLAIN}))"""
+for _board in ("greenhouse", "lever"):
+    _AUDITED_AT = _AUDITED.replace("{provider}", _board)
+
+    def _flags(spark, sf_dir, board=_board):
+        rows = audits.board_audit(plain_jobs(spark, sf_dir), places.gazetteer(spark), board)
+        return rows.select("id", "role_differs", "seniority_differs", "stack_mismatch", "facets_differ", "empty_geography", "forward_deployed")
+
+    def _counts(spark, sf_dir, board=_board):
+        return audits.board_counts(audits.board_audit(plain_jobs(spark, sf_dir), places.gazetteer(spark), board))
+
+    _flags.__name__, _counts.__name__ = f"board_audit_{_board}", f"board_counts_{_board}"
+    query(f"SELECT id, role_differs, seniority_differs, stack_mismatch, facets_differ, empty_geography, forward_deployed FROM {_AUDITED_AT}")(_flags)
+    query(
+        f"""SELECT count(*) AS scanned, count(*) FILTER (role_differs) AS role, count(*) FILTER (seniority_differs) AS seniority, count(stack_mismatch) AS stack,
+          count(*) FILTER (stack_mismatch = 'description_enriched') AS description_enriched, count(*) FILTER (stack_mismatch = 'true_drift') AS true_drift, count(*) FILTER (facets_differ) AS facets,
+          count(*) FILTER (empty_geography) AS empty_geography, count(*) FILTER (then_role IS NULL) AS no_role, count(*) AS no_seniority, count(*) FILTER (forward_deployed) AS forward_deployed FROM {_AUDITED_AT}"""
+    )(_counts)
+
+
+@query(
+    f"""SELECT kind, id, place FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY company, title, id) AS place FROM (
+      SELECT a.id, company, CASE WHEN n % 13 = 0 THEN 'Forward-Deployed Engineer' ELSE 'Backend Engineer (Python)' END AS title,
+        unnest(list_filter([CASE WHEN role_differs THEN 'role_differs' END, CASE WHEN seniority_differs THEN 'seniority_differs' END, stack_mismatch,
+          CASE WHEN facets_differ THEN 'facets_differ' END, CASE WHEN empty_geography THEN 'empty_geography' END], lambda x: x IS NOT NULL)) AS kind
+      FROM {_AUDITED.replace("{provider}", "lever")} a JOIN {POSTINGS_SQL} p USING (id)))
+      WHERE place <= CASE kind WHEN 'role_differs' THEN 50 WHEN 'seniority_differs' THEN 30 WHEN 'description_enriched' THEN 20 WHEN 'true_drift' THEN 30 ELSE 40 END"""
+)
+def board_samples(spark, sf_dir):
+    """A top-k report."""
+    return audits.samples(audits.board_audit(plain_jobs(spark, sf_dir), places.gazetteer(spark))).select("kind", "id", "place")
+
+
+@query(f"SELECT id, company FROM {POSTINGS_SQL} WHERE provider = 'lever' ORDER BY company")
+def board_scan(spark, sf_dir):
+    return audits.board_rows(plain_jobs(spark, sf_dir)).select("id", "company")
+
+
+@query(f"SELECT id, company FROM {POSTINGS_SQL} WHERE CAST(external_id AS BIGINT) % 6 <> 2")
+def audit_scan(spark, sf_dir):
+    return audits.scanned(plain_jobs(spark, sf_dir)).select("id", "company")
+
+
+@query(f"SELECT id FROM {POSTINGS_SQL} WHERE provider = 'ashby' AND CAST(external_id AS BIGINT) % 6 <> 2 ORDER BY id LIMIT 25")
+def audit_scan_head(spark, sf_dir):
+    """The first rows by id, as an audit's `limit` asks."""
+    return audits.scanned(plain_jobs(spark, sf_dir), "ashby", 25).select("id")
+
+
+@query(f"SELECT id FROM {POSTINGS_SQL} WHERE CAST(external_id AS BIGINT) % 5 <> 1 AND CAST(external_id AS BIGINT) % 6 = 4")
+def audit_still_empty(spark, sf_dir):
+    """Of the places whose stored facets are empty, one is still unknown today."""
+    return audits.still_empty(plain_jobs(spark, sf_dir), places.gazetteer(spark)).select("id")
+
+
+@query(
+    f"""SELECT id, array_to_string(list_sort(list_distinct(list_concat(CASE WHEN n % 5 = 1 THEN ['germany'] ELSE [] END, CASE WHEN now_country <> '' THEN [now_country] ELSE [] END))), ',') AS countries
+      FROM {_PLAIN.replace("{provider}", "lever")} WHERE n % 5 < 2"""
+)
+def facet_backfill(spark, sf_dir):
+    """Stored facets that are out of date or empty are made anew, with the country a two-letter hint stands for."""
+    rows = plain_jobs(spark, sf_dir).withColumn("location_tokens", F.when(F.col("external_id") % 5 > 1, F.array_sort(F.array_union(_expected_tokens(), F.col("location_countries")))).otherwise(F.col("location_tokens")))
+    return ingest.facet_backfill(rows, places.gazetteer(spark)).select("id", shown("new_location_countries").alias("countries"))
+
+
+def _expected_tokens() -> Column:
+    cities = {"Berlin, Germany": "berlin", "Paris": "paris", "Remote": "remote", "Nowhereland": "nowhereland", "Madrid, Spain": "madrid"}
+    return F.coalesce(*[F.when(F.col("location_raw") == raw, F.array(F.lit(t))) for raw, t in cities.items()], F.array().cast("array<string>"))
+
+
+_FOREIGN = ("Москва, Россия", "Αθήνα", "თბილისი", "T`bilisi", "Łódź", "Berlin", "서울")
+
+
+@query(f"SELECT id, ['Moskva, Rossiya', 'Athina', 'Tbilisi', 'Tbilisi', NULL, NULL, 'Seoul'][CAST(external_id AS BIGINT) % 7 + 1] AS new_location FROM {POSTINGS_SQL} WHERE CAST(external_id AS BIGINT) % 7 NOT IN (4, 5)")
+def romanized_backfill(spark, sf_dir):
+    place = F.element_at(F.array(*map(F.lit, _FOREIGN)), (F.col("external_id") % 7 + 1).cast("int"))
+    return ingest.romanized_backfill(postings(spark, sf_dir).select("id", place.alias("location"), F.lit(None).cast("string").alias("location_raw"))).select("id", "new_location")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings in, a filtered and ordered feed page out."""
     return feed_preset_filtered(spark, sf_dir)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vacantia.functions.text import trimmed, without_tags
@@ -162,6 +162,28 @@ def extract(landed: DataFrame, provider: str, as_of: Column) -> DataFrame:
     return rows.where(F.col("url") != "").withColumn("provider", F.lit(provider)).select(*POSTING)
 
 
+#: Lever gives so many postings a page.
+PAGE_ROWS = 100
+
+
+def page_requests(sites: DataFrame) -> DataFrame:
+    """The requests that read sites (external_id, api_region, n postings): a page at a time, until one isn't full.
+
+    A full last page is followed by one more request, which finds nothing.
+    """
+    pages = F.sequence(F.lit(0), (F.col("n") / PAGE_ROWS).cast("long"))
+    rows = sites.select("external_id", "api_region", F.posexplode(pages).alias("page", "_at"))
+    skip = F.col("page") * PAGE_ROWS
+    return rows.select("external_id", "page", F.concat(api_host(F.col("api_region")), F.lit("/"), F.url_encode("external_id"), F.lit("?mode=json&skip="), skip.cast("string"), F.lit(f"&limit={PAGE_ROWS}")).alias("url"))
+
+
+def whole_pages(landed: DataFrame, full: int = PAGE_ROWS) -> DataFrame:
+    """Landed pages (slug, company, page from 0, payload) up to the first that isn't full: what reading page by page would give."""
+    size = F.coalesce(F.json_array_length("payload"), F.lit(0))
+    short = F.min(F.when(size < full, F.col("page"))).over(Window.partitionBy("slug"))
+    return landed.withColumn("_short", short).where(F.col("_short").isNull() | (F.col("page") <= F.col("_short"))).drop("_short")
+
+
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
     """Landed files: JSON lines of slug, company and payload."""
     return spark.read.schema("slug string, company string, payload string").json(path)

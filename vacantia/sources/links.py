@@ -25,14 +25,17 @@ def host(url: Column) -> Column:
 
 
 def board_of(href: Column) -> Column:
-    """A struct of provider and slug that a link leads to; null for others."""
+    """A struct of provider and slug that a link leads to; null for others. Ashby's slugs are URL-decoded where they can be."""
     name = host(href)
-    first = F.lower(F.regexp_extract(href, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/+([^/?#]+)", 1))
+    segment = F.regexp_extract(href, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/+([^/?#]+)", 1)
+    first = F.lower(segment)
+    # A plus sign is no space in a path.
+    plain = F.lower(F.trim(F.coalesce(F.try_url_decode(F.replace(segment, F.lit("+"), F.lit("%2B"))), segment)))
     sub = F.regexp_extract(name, r"^(.+)\.workable\.com$", 1)
     of = lambda provider, slug: F.struct(F.lit(provider).alias("provider"), slug.alias("slug"))
     return (
         F.when(name.isin("boards.greenhouse.io", "job-boards.greenhouse.io") & ~first.isin("", "embed"), of("greenhouse", first))
-        .when(name.isin("jobs.ashbyhq.com", "www.ashbyhq.com", "ashbyhq.com") & (first != ""), of("ashby", first))
+        .when(name.isin("jobs.ashbyhq.com", "www.ashbyhq.com", "ashbyhq.com") & (first != ""), of("ashby", plain))
         .when((name == "apply.workable.com") & (first != ""), of("workable", first))
         .when(~sub.isin("", "apply", "www"), of("workable", sub))
     )
