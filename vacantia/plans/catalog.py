@@ -14,6 +14,7 @@ from vacantia.functions import places, titles
 from vacantia.functions.text import sql_has, without_tags
 from vacantia.operators import audits, ingest, search
 from vacantia.operators.tables import stored
+from vacantia.plans import classified_sql
 from vacantia.plans.synthetic import POSTINGS_SQL, postings
 from vacantia.sources import boards, companies, links
 from vacantia.streaming import state
@@ -252,16 +253,16 @@ def swe_intent_by_source(spark, sf_dir):
     return audits.intent_by_source(postings(spark, sf_dir)).withColumn("titles", F.array_join("titles", "|"))
 
 
-@query()
+@query(classified_sql.FEED)
 def feed_preset_filtered(spark, sf_dir):
-    """A whole request over classified postings, location filter included; held against a plain model in the tests."""
+    """A whole request over classified postings, location filter included."""
     rows = latest(jobs(spark, sf_dir))
     request = search.Request.of(role="backend", stack=["python", "java"], seniority="senior", location=["Germany", "fully-remote"], limit=200)
     page = search.feed(rows, request, F.col("_as_of"))
     return page.withColumn("location_secondary", shown("location_secondary")).withColumn("stack", shown("stack")).withColumn("seniorities", shown("seniorities"))
 
 
-@query()
+@query(classified_sql.PREVIEW)
 def preview_ranked_by_country(spark, sf_dir):
     rows = latest(jobs(spark, sf_dir))
     return search.preview(rows, "DE", F.col("_as_of")).withColumn("location_secondary", shown("location_secondary"))
@@ -272,30 +273,30 @@ def preview_total(spark, sf_dir):
     return postings(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"))
 
 
-@query()
+@query(classified_sql.FULLY_REMOTE)
 def fully_remote(spark, sf_dir):
     return jobs(spark, sf_dir).where(search.fully_remote()).select("id", "location", "location_raw")
 
 
-@query()
+@query(classified_sql.HINTED)
 def facet_hint_merge(spark, sf_dir):
     rows = postings(spark, sf_dir).withColumn("location_hints", F.when(F.col("external_id") % 2 == 0, F.array(F.lit("US | EU"), F.lit("emea"))))
     return ingest.classified(rows, places.gazetteer(spark)).select("id", shown("location_tokens").alias("tokens"), shown("location_countries").alias("countries"), shown("location_regions").alias("regions"))
 
 
-@query()
+@query(classified_sql.CLASSIFIED)
 def classified_postings(spark, sf_dir):
     """Everything that ingest derives."""
     arrays = ("location_tokens", "location_countries", "location_regions", "stack", "seniorities")
-    return jobs(spark, sf_dir).withColumns({c: shown(c) for c in arrays})
+    return jobs(spark, sf_dir).withColumns({c: shown(c) for c in arrays} | {"posted_at": ingest.iso_millis(F.col("posted_at"))})
 
 
-@query()
+@query(classified_sql.EMPTY_GEOGRAPHY)
 def audit_empty_geo(spark, sf_dir):
     return audits.empty_geography(jobs(spark, sf_dir)).select("id", "location_raw")
 
 
-@query()
+@query(classified_sql.MISMATCHES)
 def audit_mismatch_categories(spark, sf_dir):
     """Stored facets of every fifth posting are disturbed first."""
     odd = F.col("external_id") % 5 == 0
@@ -339,13 +340,13 @@ def timeout_window_count(spark, sf_dir):
     return state.recent_counts(events(spark, sf_dir).where("event_type = 'error'"), "user_id", "at_ms", 3_600_000).select("event_id", "n_recent")
 
 
-@query()
+@query(classified_sql.BREAKER)
 def breaker_opens(spark, sf_dir):
     machine = state.Breaker(window=6 * 3_600_000, threshold=3, cooldown=12 * 3_600_000)
     return state.folded(events(spark, sf_dir).where("event_type = 'error'"), machine, "user_id", "at_ms", "event_id").where("opens")
 
 
-@query()
+@query(classified_sql.LIMITER)
 def limiter_decisions(spark, sf_dir):
     machine = state.Limiter(limit=5, ttl=6 * 3_600_000, block=3_600_000)
     return state.folded(events(spark, sf_dir), machine, "user_id", "at_ms", "event_id")
