@@ -1,3 +1,4 @@
+import random
 import re
 
 from fixtures import driver_texts, no_docs, odd_docs, same
@@ -23,6 +24,63 @@ def brute(text):
     return len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at}))
 
 
+def plain(text, idf):
+    """labels and score by trying every start that an anchor of a notice proposes, beside another anchor, one by one."""
+    held = [w.decode() for w in licenses.words(text)]
+    holds = lambda phrase: any(held[i : i + len(phrase)] == phrase for i in range(len(held)))
+    base = {label for p, label in licenses.PHRASES.items() if holds(p.split())}
+    labels, score = set(base), 1.0 if base else 0.0
+    for label, (notice, keys) in licenses.NOTICES.items():
+        own = notice.split()
+        weights = [idf[w] for w in own]
+        order = sorted(range(len(own)), key=lambda q: (-weights[q], q))
+        n = next(n for n in range(1, len(own) + 1) if n == len(own) or sum(weights[q] for q in order[n:]) + weights[order[0]] < 0.6 * sum(weights) - 1e-9)
+        proposed = {(i - q, q) for q in order[:n] for i, w in enumerate(held) if w == own[q]}
+        best = 0.0
+        for start, q in proposed:
+            if any(p != q and abs(s - start) <= 4 for s, p in proposed):
+                near = [any(held[i] == w for i in range(max(0, start + k - 4), min(len(held), start + k + 5))) for k, w in enumerate(own)]
+                best = max(best, sum(x for x, hit in zip(weights, near, strict=True) if hit) / sum(weights))
+        score = max(score, best)
+        if best >= 0.6 and any(holds(k.split()) for k in keys):
+            labels.add(label)
+    return ",".join(sorted(labels)), min(score, 1.0)
+
+
+def test_labels_and_scores(spark):
+    rng = random.Random(4)
+    notices = [t.split() for t, _ in licenses.NOTICES.values()]
+    made = []
+    for _ in range(120):  # notices with words lost, added and changed, several in a text, among other words
+        out = []
+        for own in rng.sample(notices, rng.randint(1, 4)):
+            out += [w for w in own if rng.random() > 0.15] if rng.random() < 0.7 else own
+            out += rng.choices(["the", "license", "of", "software", "word", "cc", "by", "public"], k=rng.randint(0, 12))
+        made.append(" ".join(out))
+    texts = [*driver_texts(120), *((5000 + i, t) for i, t in enumerate(CASES + made))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    idf = licenses.idf_weights(df, sorted({w for t, keys in licenses.NOTICES.values() for x in (t, *keys) for w in x.split()} | {w for p in licenses.PHRASES for w in p.split()}))
+    got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    want = {i: plain(t, idf) for i, t in texts}
+    assert {i: r.labels for i, r in got.items()} == {i: w[0] for i, w in want.items()}
+    assert all(abs(r.score - want[i][1]) < 1e-9 for i, r in got.items())
+    assert sum(bool(w[0]) for i, w in want.items() if i >= 5000) > 60
+
+
+def test_the_index_needs_two_anchors():
+    index = licenses.Index(licenses.PHRASES, licenses.NOTICES)
+    for t in index.templates:
+        rest = sum(x for q, x in enumerate(t.idf) if q not in t.anchors)
+        assert t.base and len(t.anchors) == 1 or len(t.anchors) > 1 and rest + max(t.idf) < 0.6 * sum(t.idf)
+        assert all([at, q] in index.postings[t.ids[q]].tolist() for at, u in enumerate(index.templates) if u is t for q in t.anchors)
+
+
+def test_notices_from_a_table(spark):
+    table = spark.createDataFrame([("own", "may be used by friends of the house only", ["friends of the house"]), ("blank", " ", [])], "label string, text string, keys array<string>")
+    docs = spark.createDataFrame([(1, "this may be used by friends of the house only"), (2, "friends of the house")], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan_licenses(docs, notices=licenses.read_notices(table)).collect()} == {1: "own", 2: ""}
+
+
 def test_base_columns(spark):
     texts = [*driver_texts(), *((900 + i, t) for i, t in enumerate(CASES))]
     rows = licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()
@@ -43,4 +101,4 @@ def test_odd_rows(spark):
 
 def test_frequencies_count_every_document(spark):
     docs = spark.createDataFrame([(i, "mit license mit" if i % 4 else "other") for i in range(40)], "doc_id long, text string")
-    assert {r.word: r.n for r in licenses.frequencies(docs, ["mit", "license", "absent"]).collect()} == {"mit": 30, "license": 30}
+    assert {r.word: r.n for r in licenses.frequencies(docs, ["mit", "license", "absent"]).collect()} == {"mit": 30, "license": 30, "": 40}

@@ -80,12 +80,39 @@ def test_framing():
         warc.dechunked(b"3\r\nabcd\r\n0\r\n\r\n")
 
 
-def test_foreign_archives():
-    one = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
-    members = gzip.compress(one) + gzip.compress(one.replace(b"abcd", b"\r\n\r\n"))
-    assert [b for _, b in warc.parsed(members)] == [b"abcd", b"\r\n\r\n"]
+ONE = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
+
+
+def test_archives_in_parts():
+    archive = ONE + ONE.replace(b"abcd", b"\r\n\r\n") + ONE.replace(b"abcd", b"a\r\nb") + ONE.replace(b"abcd", b"ab\r\n")
+    for size in (1, 3, 7, 1000):
+        parts = [archive[i : i + size] for i in range(0, len(archive), size)]
+        assert [b for _, b in warc.parsed(parts)] == [b"abcd", b"\r\n\r\n", b"a\r\nb", b"ab\r\n"]
     with pytest.raises(ValueError):
-        list(warc.parsed(one[:-6]))
+        list(warc.parsed([ONE[:-6]]))
+
+
+def foreign(number, body):
+    head = b"HTTP/1.1 200 OK\r\n\r\n" + body
+    digest = base64.b32encode(hashlib.sha1(body).digest())
+    return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <u:%d>\r\nX-Page-ID: %d\r\nWARC-Payload-Digest: sha1:%b\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (number, number, digest, len(head), head)
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Gzip members of one record each, binary payloads with separators in them, plain files, and several files a task."""
+    bodies = [bytes(range(256)) * 20, b"\r\n\r\n\r\n", b"", b"\r\n", b"x" * 100_000, b"\xff\r\n\r\n\r\n\r\n\xfe", b"\r\r\n\r\n\n"]
+    for k in range(4):
+        members = [gzip.compress(ONE)] + [gzip.compress(foreign(10 * k + i, b)) for i, b in enumerate(bodies)]
+        (tmp_path / f"part-{k}.warc.gz").write_bytes(b"".join(members))
+    (tmp_path / "plain.warc").write_bytes(ONE + b"".join(foreign(90 + i, b) for i, b in enumerate(bodies)))
+    got = {r.page_id: bytes(r.payload) for r in warc.with_payloads(warc.reassembled(warc.read_records(spark, str(tmp_path)))).collect()}
+    assert got == {10 * k + i: b for k in (0, 1, 2, 3, 9) for i, b in enumerate(bodies)}
+    assert warc.read_pages(spark, str(tmp_path)).count() == 35
+
+
+def test_a_blank_page_everywhere(spark):
+    rows = [(i, f"http://p/{i}", "" if i % 3 == 0 else f"page {i % 500}") for i in range(3000)]
+    same(warc.archived(table(spark, rows), shared_path(spark, "warc")).collect(), brute(rows))
 
 
 def test_oracle_sql_agrees(spark):

@@ -75,11 +75,12 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, rows_of: str, total: int) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, key: str, rows_of: str, total: int, nulls: bool = True) -> DataFrame:
     """`rows` with the columns of `table` (one row for each key; `rows_of` says how many of the `total` rows have it).
 
     Keys that hold over a thousandth of all rows are fewer than a thousand, so they are broadcast; all others are joined
-    by a shuffle in which no key is hot. Null keys stay where they are, and find nothing, like keys that aren't there.
+    by a shuffle in which no key is hot. Null keys stay where they are, and find nothing, like keys that aren't there;
+    nulls=False says that there are none.
     """
     values = [c for c in table.columns if c not in (key, rows_of)]
     hot = F.col(rows_of) * HOT_SHARE > total
@@ -88,8 +89,10 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, rows_of: str, total:
     columns = [*rows.columns, *values]
     found = near.where("_hit IS NOT NULL").select(*rows.columns, "_hit.*").select(*columns)
     other = near.where("_hit IS NULL").drop("_hit").join(table.where(~hot).select(key, *values), key, "left").select(*columns)
-    nulls = rows.where(F.col(key).isNull()).select(*rows.columns, *(F.lit(None).cast(table.schema[v].dataType).alias(v) for v in values))
-    return found.union(other).union(nulls)
+    if not nulls:
+        return found.union(other)
+    keyless = rows.where(F.col(key).isNull()).select(*rows.columns, *(F.lit(None).cast(table.schema[v].dataType).alias(v) for v in values))
+    return found.union(other).union(keyless)
 
 
 def bucket_bits(rows: int) -> int:

@@ -4,28 +4,32 @@ Writing. Every record is one line of a text file whose line separator is the bla
 (CRLF CRLF), so the archives are plain WARC/1.1 in whatever store Spark writes to. Payloads are framed as HTTP
 responses with chunked transfer coding; blocks longer than `segment` bytes are split into a first record and
 continuations. Equal payloads are stored once: of a digest's pages the one with the least id is a response, the others
-revisit it. Digests are counted before anything is joined, and only those that occur twice are joined at all.
-
-Reading. Files come as rows (`binaryFile`), each is parsed in one task, and blocks of whole records are done there.
-Segments are grouped by their origin's record id in a shuffle, ordered by number, and accepted where the numbers run
-from 1 without gaps and the lengths add up to the stated total. Then the HTTP head is cut off and the chunks are joined.
-An archive file is read as a whole by a task; `RECORDS_PER_FILE` bounds those written here.
-
-Defined cases: a null html is an empty payload; a null url gets a URI made from the page id; null page ids stay null and
-never serve as the original of a revisit while their digest has a page with an id; rows that repeat the original's id and
-payload are responses too; an empty table gives empty archives and an empty result; other columns are not read.
+revisit it. Digests are counted before anything is joined; those that many pages share are broadcast, so that no task
+gets all pages with one payload.
+
+Reading. Gzipped archives (one member for each record, or a stream of many) are decompressed as a stream: a task holds one
+record and a buffer. Plain ones are read whole. Segments are grouped by their origin's record id in a shuffle, ordered by
+number, and accepted where the numbers run from 1 without gaps and the lengths add up to the stated total. Then the HTTP
+head is cut off and the chunks are joined. Archives written here have at most RECORDS_PER_FILE records of at most
+`segment` bytes; Spark's writer makes one gzip stream of a file.
+
+Defined cases: a null html is an empty payload; a very long one is cut into segments, and held whole by a task when it is
+joined again; a null url gets a URI made from the page id; null page ids stay null and never serve as the original of a
+revisit while their digest has a page with an id; rows that repeat the original's id and payload are responses too; an
+empty table gives empty archives and an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import gzip
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_path
+from .common import checkpointed, looked_up, shared_path
 
 CHUNK = 4096
 SEGMENT = 16384
@@ -49,8 +53,8 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_digest", base32_sha1(F.col("payload")))
     counted = rows.where(F.octet_length("payload") >= least_bytes).groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("least_id"))
-    twice = counted.where("n > 1 AND least_id IS NOT NULL").drop("n")
-    joined = rows.join(twice, "payload_digest", "left")
+    twice = checkpointed(counted.where("n > 1 AND least_id IS NOT NULL"))
+    joined = looked_up(rows, twice, "payload_digest", "n", pages.count(), nulls=False)
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("least_id")), F.col("least_id"))
     return joined.select("page_id", "url", "payload", "payload_digest", refers.alias("refers_to"))
 
@@ -117,25 +121,31 @@ def write_warc(recs: DataFrame, path: str) -> None:
     lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
-def parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields by lower-case name, block) of each record of an archive, gzipped or not."""
-    data = memoryview(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content)
-    whole, at = data.obj, 0
-    while at < len(whole):
-        if whole[at : at + 2] == CRLF:
-            at += 2
-            continue
-        end = whole.index(b"\r\n\r\n", at)
-        lines = whole[at:end].decode("utf-8", "surrogatepass").split("\r\n")
+def parsed(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields by lower-case name, block) of each record of an archive that comes in parts of any size."""
+    held, more = bytearray(), iter(parts)
+
+    def filled(enough: Callable[[], bool]) -> bool:
+        while not enough():
+            if (part := next(more, None)) is None:
+                return False
+            held.extend(part)
+        return True
+
+    while filled(lambda: bool(held.lstrip(b"\r\n"))):
+        del held[: len(held) - len(held.lstrip(b"\r\n"))]
+        if not filled(lambda: b"\r\n\r\n" in held):
+            raise ValueError("an archive ends inside a record's head")
+        end = held.index(b"\r\n\r\n")
+        lines = held[:end].decode("utf-8", "surrogatepass").split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError(f"no record begins with {lines[0][:40]!r}")
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        at = end + 4
-        size = int(head["content-length"])
-        if at + size > len(whole):
+        size = end + 4 + int(head["content-length"])
+        if not filled(lambda: len(held) >= size):
             raise ValueError("an archive ends inside a record")
-        yield head, bytes(data[at : at + size])
-        at += size
+        yield head, bytes(held[end + 4 : size])
+        del held[:size]
 
 
 def _payload(block: bytes) -> bytes:
@@ -146,28 +156,54 @@ def _payload(block: bytes) -> bytes:
 FIELDS = "record_id string, record_type string, page_id long, digest string, refers_to long, number int, total long, block binary"
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record and segment of the archives under `path`; record_id is the origin's for continuations."""
+def _records(parts: Iterable[bytes]) -> Iterator[pd.DataFrame]:
+    """The records of one archive, a few at once."""
+    number = lambda x: None if x is None or x == "None" else int(x)
+    rows, held = [], 0
+    for head, block in parsed(parts):
+        kind = head["warc-type"]
+        if kind not in ("response", "revisit", "continuation"):
+            continue
+        origin = head["warc-segment-origin-id"] if kind == "continuation" else head["warc-record-id"]
+        digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
+        rows.append((origin, kind, number(head.get("x-page-id")), digest, number(head.get("x-refers-to-page-id")), number(head.get("warc-segment-number")), number(head.get("warc-segment-total-length")), block))
+        held += len(block)
+        if held > 1 << 24:
+            yield _frame(rows)
+            rows, held = [], 0
+    yield _frame(rows)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = lambda x: None if x is None or x == "None" else int(x)
+
+SEPARATOR = "\r\n\r\n"
+
+
+def _streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines of archives, in order, cut at SEPARATOR: a line and the separator behind it are a part of the stream."""
+
+    def lines() -> Iterator[tuple[str, bytes]]:
         for batch in batches:
-            for content in batch["content"]:
-                rows, held = [], 0
-                for head, block in parsed(content):
-                    kind = head["warc-type"]
-                    if kind not in ("response", "revisit", "continuation"):
-                        continue
-                    origin = head["warc-segment-origin-id"] if kind == "continuation" else head["warc-record-id"]
-                    digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
-                    rows.append((origin, kind, number(head.get("x-page-id")), digest, number(head.get("x-refers-to-page-id")), number(head.get("warc-segment-number")), number(head.get("warc-segment-total-length")), block))
-                    held += len(block)
-                    if held > 1 << 24:
-                        yield _frame(rows)
-                        rows, held = [], 0
-                yield _frame(rows)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, FIELDS)
+            for path, line in zip(batch["path"], batch["line"], strict=True):
+                yield path, bytes(line) + SEPARATOR.encode()
+
+    for _, parts in groupby(lines(), key=itemgetter(0)):
+        yield from _records(part for _, part in parts)
+
+
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for content in batch["content"]:
+            yield from _records([content])
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each record and segment of the archives under `path`; record_id is the origin's for continuations.
+
+    Files that end in .gz can't be split, so that a task gets their lines in order.
+    """
+    zipped = spark.read.option("lineSep", SEPARATOR).option("pathGlobFilter", "*.gz").text(path)
+    zipped = zipped.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("line"))
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(path).select("content")
+    return zipped.mapInPandas(_streamed, FIELDS).union(plain.mapInPandas(_whole, FIELDS))
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -210,8 +246,11 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     # The archives are read once; what goes on is as small as the digests.
     rows = checkpointed(rows.select("page_id", "record_type", "refers_to", "stated_digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest")))
     good = rows.where("record_type = 'response' AND payload_digest = stated_digest")
-    found = good.groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated_digest")).agg(F.min("payload_bytes").alias("payload_bytes"))
-    again = rows.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(found, ["refers_to", "stated_digest"])
+    # What many revisits refer to is broadcast.
+    revisits = rows.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").withColumn("_key", F.concat_ws(":", "refers_to", "stated_digest"))
+    asked = revisits.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    found = good.groupBy(F.concat_ws(":", "page_id", "payload_digest").alias("_key")).agg(F.min("payload_bytes").alias("payload_bytes"))
+    again = looked_up(revisits, asked.join(found, "_key"), "_key", "_n", revisits.count(), nulls=False).where("payload_bytes IS NOT NULL")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return good.select(*columns).union(again.withColumn("payload_digest", F.col("stated_digest")).select(*columns))
 
