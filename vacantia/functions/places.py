@@ -7,7 +7,7 @@ default from ISO names, postal codes and a few cities; pass a table of your own
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ REGIONS: dict[str, str] = {
     "south america": "south america", "asia": "asia", "europe": "europe", "eu": "european union", "european union": "european union", "africa": "africa",
     "east coast": "east coast", "west coast": "west coast", "global": "global", "worldwide": "worldwide", "central america": "central america",
     "middle east": "middle east", "central asia": "central asia", "east asia": "east asia", "southeast asia": "southeast asia", "cis": "cis",
+    "us east coast": "east coast", "us west coast": "west coast",
 }
 # Other names of countries.
 COUNTRY_NAMES: dict[str, str] = {
@@ -93,13 +94,24 @@ CA_PROVINCES: dict[str, str] = {
     "nu": "nunavut", "on": "ontario", "pe": "prince edward island", "qc": "quebec", "sk": "saskatchewan", "yt": "yukon",
 }
 METROS = {"nyc": "new york", "la": "los angeles", "sf": "san francisco"}
-#: A few cities; the full list is a parameter.
+#: Some cities and districts by country; the full list is a parameter.
 CITIES: dict[str, str] = {
-    "berlin": "germany", "munich": "germany", "hamburg": "germany", "paris": "france", "london": "united kingdom", "manchester": "united kingdom", "amsterdam": "netherlands",
-    "rotterdam": "netherlands", "madrid": "spain", "barcelona": "spain", "lisbon": "portugal", "dublin": "ireland", "zürich": "switzerland", "vienna": "austria", "warsaw": "poland",
-    "kraków": "poland", "prague": "czechia", "tbilisi": "georgia", "bangalore": "india", "mumbai": "india", "tokyo": "japan", "toronto": "canada", "vancouver": "canada",
-    "san francisco": "united states", "los angeles": "united states", "new york": "united states", "atlanta": "united states", "boston": "united states", "chicago": "united states",
-    "austin": "united states", "denver": "united states", "seattle": "united states", "são paulo": "brazil", "mexico city": "mexico", "sydney": "australia", "singapore": "singapore",
+    city: country
+    for country, cities in {
+        "algeria": "algiers,constantine,oran", "australia": "sydney,melbourne,brisbane,perth,new south wales,queensland,south australia,western australia", "austria": "vienna,graz", "azerbaijan": "baku",
+        "belgium": "brussels,antwerp,ghent", "brazil": "são paulo,rio de janeiro", "bulgaria": "sofia", "canada": "toronto,vancouver,montreal,ottawa,calgary", "china": "shanghai,beijing,shenzhen,hangzhou",
+        "cyprus": "limassol,nicosia,paphos", "czechia": "prague,brno", "denmark": "copenhagen,aarhus,odense,esbjerg,roskilde", "estonia": "tallinn", "finland": "helsinki,turku,tampere,oulu",
+        "france": "paris,lyon,nice,montpellier,toulouse", "georgia": "tbilisi", "germany": "berlin,munich,hamburg,stuttgart,düsseldorf,frankfurt,cologne,leipzig", "greece": "athens", "hong kong": "hong kong",
+        "hungary": "budapest", "india": "bangalore,bengaluru,mumbai,chennai,pune,noida,gurgaon,hyderabad", "ireland": "dublin,cork", "israel": "tel aviv,netanya,haifa", "italy": "rome,milan,pisa,turin",
+        "japan": "tokyo,osaka", "kenya": "nairobi", "mexico": "mexico city,monterrey", "netherlands": "amsterdam,rotterdam,utrecht,haarlem,eindhoven", "new zealand": "auckland,waikato,bay of plenty",
+        "nigeria": "lagos", "norway": "oslo,bergen", "philippines": "manila", "poland": "warsaw,kraków,wrocław,wroclaw", "portugal": "lisbon,lisboa,porto", "qatar": "doha", "romania": "bucharest,cluj",
+        "serbia": "belgrade", "singapore": "singapore", "slovenia": "ljubljana", "south africa": "johannesburg,cape town,durban", "south korea": "seoul", "spain": "madrid,barcelona,valencia,seville",
+        "sweden": "stockholm,malmö", "switzerland": "zürich,zurich,geneva,basel", "tanzania": "dar es salaam,dar es salam", "tunisia": "tunis", "turkey": "istanbul", "ukraine": "kyiv,kiev,dnipro,lviv",
+        "united arab emirates": "dubai,abu dhabi", "united kingdom": "london,manchester,liverpool,glasgow,edinburgh,oxford,cambridge,reading,guildford",
+        "united states": "san francisco,los angeles,new york,atlanta,boston,chicago,austin,denver,seattle,houston,nashville,pittsburgh,miami,raleigh,san diego,bay area,orange county,washington,oklahoma,oregon,indiana,indianapolis",
+        "vietnam": "hanoi",
+    }.items()
+    for city in cities.split(",")
 }
 
 GAZETTEER = "term string, kind string, value string"
@@ -155,6 +167,37 @@ def without_company(raw: Column, company: Column) -> Column:
     return F.when((place == "") | (name == "") | short & (F.lower(place) != F.lower(name)), place).when(F.lower(place) == F.lower(name), "Unknown").when(cut == "", place).otherwise(_no_empty_parens(cut))
 
 
+#: What is said about a place besides its name, and what stands for it: (pattern, replacement), in order. A parameter of `facets`.
+REWRITES: tuple[tuple[str, str], ...] = (
+    (r"(?i)^\s*(?:all|no|any|other|various)\s+(?:locations?|hubs|offices)\s*$|^\s*(?:field|permanent|talent\s+pool|passive\s+posting|hq|labs)\s*$", ""),
+    (r"(?i)\([^)]*\b(?:hours?|cet|cest|utc|gmt|time\s*zones?)\b[^)]*\)|\b(?:cet|cest|utc)\b", " "),
+    (r"(?i)^\s*fully\s+remote\s*$|\bglobal\s*,?\s*remote\b|\bremote\s*-?\s*(?:international|anywhere\s+in\s+the\s+world)\b|\bremote\s*\(\s*world\s*\)", "Worldwide"),
+    (r"(?i)\bfully\s+remote\b\s*,?|\b(?:relocation\s+to|virtual|work\s+from\s+home)\b|\bhq\s*:", " "),
+    (r"(?i)\bd\.\s*c\.?", "DC"),
+    (r"(\p{L}{4,})\d+\b", "$1"),
+    (r"(?i)\s+l\s+remote\b", " | Remote"),
+    (r"(?i)\bgreater\s+(\p{L}[\p{L} ]*?)\s+area\b", "$1"),
+    (r"(\p{L}{2,})-\s+", "$1 - "),
+    (r"(?i)\b(\p{L}{2,})-remote\b", "$1 | Remote"),
+    (r"(?i)\bremote-+(\p{L}{2,})", "Remote | $1"),
+)
+
+
+def rewritten(raw: Column, rewrites: tuple[tuple[str, str], ...] = REWRITES) -> Column:
+    """A raw location with the rewrites made."""
+    text = F.coalesce(raw, F.lit(""))
+    for pattern, by in rewrites:
+        text = replaced(text, pattern, by)
+    return text
+
+
+def sql_rewritten(raw: str) -> str:
+    text = f"coalesce({raw}, '')"
+    for pattern, by in REWRITES:
+        text = f"regexp_replace({text}, '{quoted(pattern)}', '{by.replace('$1', chr(92) + '1')}', 'g')"
+    return text
+
+
 SEPARATORS = r"(?i)\s*[;/|]\s*|\s+[-–—]\s+|\s*\+\s*|\s{2,}|\s+or\s+"
 
 
@@ -174,17 +217,25 @@ def sql_segments(raw: str) -> str:
 _NOISE = r"\b(?:anywhere\s+in|hq|headquarters|head\s+office|in[\s-]?office|office|hybrid|onsite|remote|anywhere|select\s+locations|all\s+locations|any\s+location)\b"
 
 
+#: Words behind a place that say no more about it.
+_AFTER = r"\s+(?:metro(?:politan)?(?:\s+area)?|team|warehouse|campus|full[\s-]?time)$|[\s-]+based$"
+
+
 def cleaned_segment(segment: Column) -> Column:
     """Lower case, without words about the way of working and without punctuation at the ends."""
     text = replaced(F.lower(segment), _NOISE)
     text = F.regexp_replace(F.regexp_replace(text, r"[.;:]", " "), r"\s+", " ")
-    return F.regexp_replace(F.regexp_replace(text, r"^[\s,–—-]+|[\s,–—-]+$", ""), r"^in\s+|\s+in$", "")
+    text = F.regexp_replace(F.regexp_replace(text, r"^[\s,–—-]+|[\s,–—-]+$", ""), r"^in\s+|\s+in$", "")
+    text = F.regexp_replace(text, _AFTER, "")
+    return F.when(text.endswith("bay area"), text).otherwise(F.regexp_replace(text, r"\s+area$", ""))
 
 
 def sql_cleaned_segment(segment: str) -> str:
     text = f"regexp_replace(lower({segment}), '{_NOISE}', ' ', 'g')"
     text = rf"regexp_replace(regexp_replace({text}, '[.;:]', ' ', 'g'), '\s+', ' ', 'g')"
-    return rf"regexp_replace(regexp_replace({text}, '^[\s,–—-]+|[\s,–—-]+$', '', 'g'), '^in\s+|\s+in$', '', 'g')"
+    text = rf"regexp_replace(regexp_replace({text}, '^[\s,–—-]+|[\s,–—-]+$', '', 'g'), '^in\s+|\s+in$', '', 'g')"
+    text = f"regexp_replace({text}, '{_AFTER}', '')"
+    return rf"CASE WHEN ends_with({text}, 'bay area') THEN {text} ELSE regexp_replace({text}, '\s+area$', '') END"
 
 
 def _tail(words: list[str]) -> str:
@@ -195,7 +246,15 @@ def _tail(words: list[str]) -> str:
 TAILS = (_tail(list(US_STATES)), _tail(list(US_STATES.values())), _tail(["uk", "ch", "uae", "usa"]), _tail(COUNTRIES))
 
 
+#: Whole names that end in a country's.
+WHOLE = ("south australia", "western australia", "northern australia", "tasmanian australia")
+
+
 def _cut_tail(tail: str, bit: Column) -> Column:
+    return F.when(bit.isin(*WHOLE), F.array(bit)).otherwise(_cut(tail, bit))
+
+
+def _cut(tail: str, bit: Column) -> Column:
     return F.split(F.regexp_replace(bit, tail, "$1,$2"), ",")
 
 
@@ -210,26 +269,67 @@ def bits(segment: Column) -> Column:
 def sql_bits(segment: str) -> str:
     split = rf"list_filter(list_transform(regexp_split_to_array({segment}, '\s*,\s*'), lambda b: trim(b)), lambda b: b <> '')"
     for tail in TAILS:
-        split = rf"flatten(list_transform({split}, lambda b: string_split(regexp_replace(b, '{quoted(tail)}', '\1,\2'), ',')))"
+        split = rf"flatten(list_transform({split}, lambda b: CASE WHEN b IN ('south australia', 'western australia', 'northern australia', 'tasmanian australia') THEN [b] ELSE string_split(regexp_replace(b, '{quoted(tail)}', '\1,\2'), ',') END))"
     return rf"list_filter(list_transform({split}, lambda b: regexp_replace(trim(b), '^in\s+', '')), lambda b: b <> '')"
 
 
-def facets(places: DataFrame, terms: DataFrame, raw: str = "location_raw") -> DataFrame:
+_KINDS = ("region", "country", "state", "province", "city")
+#: A city may be named after one of these words; what follows them is no place of its own then.
+LEADING = ("new", "north", "south", "east", "west", "central", "northern", "southern", "eastern", "western", "northeast", "northwest", "southeast", "southwest", "baja", "port", "fort", "saint", "st", "san", "santa", "upper", "lower", "old", "and", "&")
+JOINTS = r"\s+and\s+|\s*&\s*|-"
+
+
+def indexed(terms: DataFrame) -> DataFrame:
+    """A row for each term: `bit`, the `code` it stands for, if any, its `term` (the code's, or itself), and what that is."""
+    one = lambda k: F.max(F.when(F.col("kind") == k, F.col("value"))).alias(k)
+    wide = terms.groupBy("term").agg(one("code"), *map(one, _KINDS))
+    keyed = wide.select(F.col("term").alias("bit"), "code", F.coalesce("code", "term").alias("key"))
+    return keyed.join(wide.select(F.col("term").alias("key"), *_KINDS), "key", "left").withColumnRenamed("key", "term")
+
+
+def _together(parts: DataFrame, known: DataFrame) -> DataFrame:
+    """Segments joined by `and`, `&` or a hyphen come apart where every piece is a known term."""
+    pieces = F.filter(F.transform(F.split("text", JOINTS), lambda x: F.trim(x)), lambda x: x != "")
+    joint = parts.where(F.col("text").rlike(JOINTS)).select("text").distinct().withColumn("pieces", pieces)
+    met = joint.select("text", "pieces", F.explode("pieces").alias("bit")).join(known, "bit", "left")
+    whole = met.groupBy("text").agg(F.bool_and(F.col("known").isNotNull()).alias("all"), F.first("pieces").alias("pieces"), F.count(F.lit(1)).alias("n"))
+    apart = whole.where(F.col("all") & (F.col("n") > 1)).select("text", "pieces")
+    return parts.join(apart, "text", "left").select("raw", "segment", F.explode(F.coalesce("pieces", F.array("text"))).alias("text"))
+
+
+def _peeled(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Bits of several words that are no term, but end in one behind words of which none is: the rest is an employer's name."""
+    words = F.split("bit", " ")
+    ends = F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.size(words) - 1)), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(words, -k, k), " ").alias("bit")))
+    asked = rows.where(F.col("bit").contains(" ")).select("bit").distinct().withColumn("words", words).where(F.size("words") <= 9)
+    # The whole, its ends and its single words are looked up together.
+    every = F.array_union(F.array("bit"), F.array_union(F.transform(ends, lambda e: e["bit"]), F.col("words")))
+    met = asked.select(F.col("bit").alias("whole"), F.explode(every).alias("bit")).join(known, "bit").groupBy("whole").agg(F.collect_set("bit").alias("found"))
+    met = met.select(F.col("whole").alias("bit"), "found").where(~F.array_contains("found", F.col("bit")))
+    fits = lambda e: F.array_contains("found", e["bit"]) & ((F.char_length(e["bit"]) >= 4) | e["bit"].contains(" "))
+    before = lambda e: F.slice(words, 1, F.size(words) - e["k"])
+    free = lambda e: ~F.arrays_overlap(before(e), F.col("found")) & ~F.get(before(e), F.size(words) - e["k"] - 1).isin(*LEADING)
+    fitting = F.filter(ends, fits)
+    longest = F.get(fitting, F.size(fitting) - 1)
+    best = met.withColumn("end", longest).where("end IS NOT NULL").where(free(F.col("end"))).select("bit", F.col("end.bit").alias("best"))
+    return rows.join(best, "bit", "left").withColumn("bit", F.coalesce("best", "bit")).drop("best")
+
+
+def facets(places: DataFrame, terms: DataFrame, raw: str = "location_raw", rewrites: tuple[tuple[str, str], ...] = REWRITES) -> DataFrame:
     """A row for each distinct string of `raw`: tokens, countries and regions, sorted.
 
     `DE` and `NL` are the country beside one of its cities; `Georgia` is the state beside the United States or one of its
-    cities. A null string has empty facets.
+    cities. A null string has empty facets. The gazetteer is the user's: Spark broadcasts it as long as it is small.
     """
     strings = places.select(F.col(raw).alias("raw")).distinct()
-    terms = F.broadcast(terms)
-    parts = strings.select("raw", F.posexplode(segments(F.col("raw"))).alias("segment", "text"))
-    parts = parts.select("raw", "segment", F.explode(F.array_distinct(bits(cleaned_segment(F.col("text"))))).alias("bit"))
-    codes = terms.where("kind = 'code'").select(F.col("term").alias("bit"), F.col("value").alias("code"))
-    keyed = parts.join(codes, "bit", "left").withColumn("term", F.coalesce("code", "bit"))
-    kinds = [terms.where(f"kind = '{k}'").select("term", F.col("value").alias(k)) for k in ("region", "country", "state", "province", "city")]
-    known = reduce(lambda rows, k: rows.join(k, "term", "left"), kinds, keyed)
+    index = indexed(terms)
+    known = index.where(F.coalesce("code", *_KINDS).isNotNull()).select("bit", F.lit(True).alias("known"))
+    parts = strings.select("raw", F.posexplode(segments(rewritten(F.col("raw"), rewrites))).alias("segment", "text"))
+    parts = _together(parts.withColumn("text", cleaned_segment(F.col("text"))), known)
+    split = parts.select("raw", "segment", F.explode(F.array_distinct(bits(F.col("text")))).alias("bit"))
+    met = _peeled(split, known).distinct().join(index, "bit", "left").withColumn("term", F.coalesce("term", "bit"))
     # What stands in the same segment decides ambiguous codes: one group is one segment of one string.
-    beside = known.groupBy("raw", "segment").agg(F.collect_list(F.struct("bit", "term", "code", "region", "country", "state", "province", "city")).alias("all"))
+    beside = met.groupBy("raw", "segment").agg(F.collect_list(F.struct("bit", "term", "code", *_KINDS)).alias("all"))
     near = lambda place: F.exists("all", lambda x: (x["city"] == place) | (x["country"] == place))
     beside = beside.select("raw", "segment", F.exists("all", lambda x: x["city"] == "germany").alias("german"), F.exists("all", lambda x: x["city"] == "netherlands").alias("dutch"), near("united states").alias("american"), F.explode("all").alias("x")).select("raw", "german", "dutch", "american", "x.*")
     german = (F.col("bit") == "de") & F.coalesce("german", F.lit(False))
@@ -249,12 +349,22 @@ def facets(places: DataFrame, terms: DataFrame, raw: str = "location_raw") -> Da
 def sql_facets(source: str, raw: str = "location_raw") -> str:
     """The same as a query over `source`, with the arrays joined by commas."""
     values = ", ".join(f"('{quoted(t)}', '{k}', '{quoted(v)}')" for t, k, v in gazetteer_rows())
-    lookups = " ".join(f"LEFT JOIN (SELECT term, value FROM terms WHERE kind = '{k}') {k} ON {k}.term = keyed.key" for k in ("region", "country", "state", "province", "city"))
+    lookups = " ".join(f"LEFT JOIN (SELECT term, value FROM terms WHERE kind = '{k}') {k} ON {k}.term = keyed.key" for k in _KINDS)
+    leading = ", ".join(f"'{w}'" for w in LEADING)
     return f"""
 WITH terms(term, kind, value) AS (VALUES {values}),
+lexicon AS (SELECT list(DISTINCT term) AS lex FROM terms),
 strings AS (SELECT DISTINCT {raw} AS raw FROM {source}),
-parts AS (SELECT raw, generate_subscripts(s, 1) AS segment, unnest(s) AS text FROM (SELECT raw, {sql_segments('raw')} AS s FROM strings)),
-split AS (SELECT raw, segment, unnest(list_distinct({sql_bits(sql_cleaned_segment('text'))})) AS bit FROM parts),
+parts AS (SELECT raw, generate_subscripts(s, 1) AS segment, unnest(s) AS piece FROM (SELECT raw, {sql_segments(sql_rewritten('raw'))} AS s FROM strings)),
+cleaned AS (SELECT raw, segment, {sql_cleaned_segment('piece')} AS text FROM parts),
+joint AS (SELECT *, list_filter(list_transform(regexp_split_to_array(text, '{JOINTS}'), lambda x: trim(x)), lambda x: x <> '') AS pieces FROM cleaned),
+loose AS (SELECT raw, segment, unnest(CASE WHEN len(pieces) > 1 AND list_has_all(lex, pieces) THEN pieces ELSE [text] END) AS text FROM joint, lexicon),
+whole AS (SELECT raw, segment, unnest(list_distinct({sql_bits('text')})) AS bit FROM loose),
+worded AS (SELECT *, string_split(bit, ' ') AS words FROM whole),
+ended AS (SELECT worded.*, lex, list_filter(list_transform(range(1, least(5, len(words))), lambda k: k), lambda k: list_contains(lex, array_to_string(words[len(words) - k + 1:], ' '))
+    AND (length(array_to_string(words[len(words) - k + 1:], ' ')) >= 4 OR k > 1))[-1] AS k FROM worded, lexicon),
+split AS (SELECT DISTINCT raw, segment, CASE WHEN k IS NOT NULL AND len(words) <= 9 AND NOT list_contains(lex, bit) AND NOT list_has_any(lex, words[1:len(words) - k])
+    AND words[len(words) - k] NOT IN ({leading}) THEN array_to_string(words[len(words) - k + 1:], ' ') ELSE bit END AS bit FROM ended),
 keyed AS (SELECT split.*, c.value AS code, coalesce(c.value, bit) AS key FROM split LEFT JOIN (SELECT term, value FROM terms WHERE kind = 'code') c ON c.term = bit),
 known AS (
   SELECT keyed.*, region.value AS region, country.value AS country, state.value AS state, province.value AS province, city.value AS city,

@@ -676,6 +676,53 @@ def _expected_tokens() -> Column:
     return F.coalesce(*[F.when(F.col("location_raw") == raw, F.array(F.lit(t))) for raw, t in cities.items()], F.array().cast("array<string>"))
 
 
+#: Places and the countries and regions they must give, said by hand.
+PLACE_CASES: tuple[tuple[str, str, str], ...] = (
+    ("Remote U.S. | Remote - Canada", "canada,united states", ""), ("Remote U.S.", "united states", ""), ("Czech Republic | Italy", "czechia,italy", ""), ("CZE - Prague | IND - Pune | IRL - Cork", "czechia,india,ireland", ""),
+    ("Bosnia and Herzegovina | Bosnia & Herzegovina", "bosnia & herzegovina", ""), ("EU", "", "european union"), ("LATAM | Latin America", "", "latin america"), ("Central America", "", "central america"),
+    ("NAMER", "", "north america"), ("Istanbul | Porto", "portugal,turkey", ""), ("Seattle Metro", "united states", ""), ("Denver TX", "united states", ""), ("Oklahoma", "united states", ""),
+    ("Miami Area", "united states", ""), ("San Francisco Bay Area", "united states", ""), ("Washington D.C.", "united states", ""), ("Hamburg, DE", "germany", ""), ("Dover, DE", "united states", ""),
+    ("Utrecht, NL", "netherlands", ""), ("Gander, NL", "canada", ""), ("Boston, Georgia", "united states", ""), ("Tbilisi, Georgia", "georgia", ""), ("Calgary & Ottawa", "canada", ""),
+    ("United States & Canada (Remote)", "canada,united states", ""), ("Remote - US & Mexico", "mexico,united states", ""), ("Austin TX, Atlanta GA, Salem OR", "united states", ""), ("Pune India", "india", ""),
+    ("Oxford UK, Basel CH", "switzerland,united kingdom", ""), ("US West Coast", "", "west coast"), ("Rome | Remote | Utrecht l Remote", "italy,netherlands", ""), ("México", "mexico", ""),
+    ("Viet Nam | Vietnam2", "vietnam", ""), ("Remote, Europe (CET +/- 2h)", "", "europe"), ("US Full-time", "united states", ""), ("Canada-based", "canada", ""), ("Poland Team", "poland", ""),
+    ("Any Location | Chile | Peru", "chile,peru", ""), ("France & EMEA", "france", "emea"), ("Orange County", "united states", ""), ("Queensland", "australia", ""), ("South Australia", "australia", ""),
+    ("Anywhere in Asia and South America", "", "asia,south america"), ("Durban Warehouse", "south africa", ""), ("VIRTUAL UK", "united kingdom", ""), ("Sweden | Nordics | APAC", "sweden", "apac,nordics"),
+    ("Oran | Singapoor", "algeria,singapore", ""), ("Congo Brazzaville", "congo - brazzaville", ""), ("Remote - Philipines", "philippines", ""), ("Denver, Colorado | Cayman", "cayman islands,united states", ""),
+    ("Fully Remote", "", "worldwide"), ("Global Remote", "", "worldwide"), ("Remote (World)", "", "worldwide"), ("No location", "", ""), ("Talent pool", "", ""), ("Greater Munich Area", "germany", ""),
+    ("Spain-Remote, Portugal", "portugal,spain", ""), ("NY-New York", "united states", ""), ("remote-nordics", "", "nordics"), ("Acme Robotics Lyon", "france", ""), ("East London", "", ""), ("Bay of Plenty", "new zealand", ""),
+    ("Dar es Salaam", "tanzania", ""), ("Remote (Germany or Europe)", "germany", "europe"), ("Berlin + Paris", "france,germany", ""), ("Milan (Hybrid)", "italy", ""), ("Jakarta", "", ""),
+)
+
+
+def _values(rows: tuple[tuple[str, ...], ...]) -> str:
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+
+
+@query(f"SELECT * FROM (VALUES {_values(PLACE_CASES)}) t(location_raw, countries, regions)")
+def place_cases(spark, sf_dir):
+    """Places of every kind of spelling, against what they must give."""
+    rows = spark.createDataFrame([(r[0],) for r in PLACE_CASES], "location_raw string")
+    found = places.facets(rows, places.gazetteer(spark))
+    return found.select("location_raw", shown("countries").alias("countries"), shown("regions").alias("regions"))
+
+
+#: Titles and the roles they must give, said by hand.
+ROLE_CASES: tuple[tuple[str, str], ...] = (
+    ("Senior Python Engineer", "engineer"), ("Python Developer", "backend"), ("React Developer", "frontend"), ("React and Go Developer", "fullstack"), ("Full Stack Engineer", "fullstack"), ("iOS Engineer", "mobile"),
+    ("Kotlin Developer", "mobile"), ("QA Engineer", "qa"), ("SRE", "devops"), ("Data Platform Engineer", "data"), ("Platform Engineer", "devops"), ("Machine Learning Engineer", "ai"), ("Research Scientist", "ai"),
+    ("Growth Data Scientist", "data"), ("Security Engineer", "security"), ("Pentester, Red Team", "security"), ("Solutions Architect", "solutions"), ("Technical Recruiter", "recruiter"), ("UX Designer", "designer"),
+    ("Head of Engineering", "management"), ("Product Manager", "management"), ("HR Business Partner", "other"), ("HR Systems Engineer", "engineer"), ("WPF C# Developer", "fullstack"), ("API Developer", "backend"),
+    ("UI Engineer", "frontend"), ("Backend/Frontend Engineer", "backend"), ("Accountant", "other"), ("COBOL Programmer", "other"), ("Rust Programmer", "backend"), ("Member of Technical Staff", "engineer"), ("", "other"),
+)
+
+
+@query(f"SELECT * FROM (VALUES {_values(ROLE_CASES)}) t(title, role)")
+def role_cases(spark, sf_dir):
+    """Titles of every role, against what they must give."""
+    return titles.read(spark.createDataFrame([(r[0],) for r in ROLE_CASES], "title string")).select("title", "role")
+
+
 _FOREIGN = ("Москва, Россия", "Αθήνα", "თბილისი", "T`bilisi", "Łódź", "Berlin", "서울")
 
 
