@@ -12,7 +12,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import EDGE, any_of, has, literal, quoted, replaced, trimmed, words_found
+from .text import EDGE, any_of, has, literal, quoted, replaced, sql_literal, trimmed, words_found
 
 # Names of regions as written, and as stored.
 REGIONS: dict[str, str] = {
@@ -388,7 +388,8 @@ FROM strings LEFT JOIN gathered ON strings.raw IS NOT DISTINCT FROM gathered.raw
 
 def _chain(value: Column, *tables: dict[str, str]) -> Column:
     pairs = {k: v for t in reversed(tables) for k, v in t.items()}
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), value), value)
+    table = F.expr("map(" + ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in pairs.items()) + ")")
+    return F.coalesce(F.element_at(table, value), value)
 
 
 #: Precedence of hints: other names, then ISO codes, then regions.

@@ -68,10 +68,16 @@ def words_found(text: Column, words: dict[str, tuple[str, ...]], edge: str = "a-
     meaning = {whole: sorted({m for w, held in words.items() if inside(w, whole) for m in held}) for whole in words}
     longest_first = "|".join(literal(w) for w in sorted(words, key=lambda w: (-len(w), w)))
     pattern = rf"(?<![{edge}])(?=({longest_first})(?![{edge}]))"
-    table = F.create_map(*[x for w, held in meaning.items() for x in (F.lit(w), F.array(*map(F.lit, held)))])
+    # One expression as text: hundreds of literals, one by one, take the driver seconds.
+    table = F.expr("map(" + ", ".join(f"{sql_literal(w)}, array({', '.join(map(sql_literal, held))})" for w, held in meaning.items()) + ")")
     return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda w: F.element_at(table, w)))
 
 
+def sql_literal(text: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal(text: str) -> str:
     """A pattern for exactly this text."""
     return re.sub(r"([.^$*+?{}\[\]\\|()])", r"\\\1", text)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .distinct import VALUE, by_value
-from .text import any_of, has, literal, quoted, replaced, sql_has, words_found
+from .text import any_of, has, literal, quoted, replaced, spelled, sql_has, words_found
 
 # Technologies and the words that name them.
 STACKS: dict[str, tuple[str, ...]] = {
@@ -40,12 +40,14 @@ STACKS: dict[str, tuple[str, ...]] = {
     "flutter": ("flutter",),
     "dart": ("dart",),
 }
+# Technologies by the side of a system they belong to.
 BACKEND = ("node.js", "python", "golang", "c", "rust", "java", ".net", "php")
 FRONTEND = ("react", "angular", "vue", "next.js", "nuxt", "svelte", "typescript", "javascript")
 MOBILE = ("react native", "swift", "objc", "kotlin", "flutter", "dart")
 #: Technologies that a role may show; roles that are not listed show all.
 ROLE_STACKS: dict[str, tuple[str, ...]] = {"frontend": FRONTEND, "mobile": MOBILE, "fullstack": FRONTEND + BACKEND, "backend": (*BACKEND, "javascript", "typescript")}
 STACKLESS_ROLES = ("devops", "qa", "management", "ai", "data", "solutions", "recruiter", "security", "designer")
+# Levels, from least to most.
 SENIORITIES = ("intern", "junior", "mid", "senior", "staff")
 
 
@@ -126,11 +128,21 @@ LATE_SENIORITY_RULES: tuple[Rule, ...] = (
     Rule("senior", (any_of("senior", "sr", "snr", "expert", "ssenior"),)),
     Rule("mid", (any_of("mid", "middle", "intermediate"),)),
 )
-_LEVEL = r"(?:iv|iii|ii|i\b|[1-5])"
-LEVELS = rf"\b(?:software\s+(?:development\s+)?engineer|software\s+developer|software\s+engineering|member\s+of\s+technical\s+staff|engineer|developer|sde|swe|mts)(?:\s+(?:level|lvl))?\s+({_LEVEL}(?:\s+{_LEVEL})*)"
+# Titles that a level may follow, and what the level's numbers stand for (places in SENIORITIES).
+LEVELLED = ("software engineer", "software development engineer", "software developer", "software engineering", "member of technical staff", "engineer", "developer", "sde", "swe", "mts")
 LEVEL_OF: dict[str, int] = {"iv": 5, "4": 5, "5": 5, "iii": 4, "3": 4, "ii": 3, "2": 3, "i": 2, "1": 2}
 
 
+def _level_pattern() -> str:
+    """A title, perhaps the word level, and the numbers behind it. Only the single `i` needs an edge of its own."""
+    number = "(?:" + "|".join(w + (r"\b" if w == "i" else "") for w in sorted(LEVEL_OF, key=lambda w: (-len(w), w))) + ")"
+    named = "|".join(t.replace(" ", r"\s+") for t in LEVELLED)
+    return rf"\b(?:{named})(?:\s+(?:level|lvl))?\s+({number}(?:\s+{number})*)"
+
+
+LEVELS = _level_pattern()
+
+
 def first_of(rules: tuple[Rule, ...], text: Column, otherwise: Column) -> Column:
     chain = F.when(rules[0].column(text), F.lit(rules[0].gives))
     for r in rules[1:]:
@@ -146,6 +158,7 @@ def _around(words: tuple[str, ...]) -> str:
     return "(?:^|[^a-z0-9])(?:" + "|".join(literal(w) for w in words) + ")(?:[^a-z0-9]|$)"
 
 
+# Words beside which `go` and `c` are, or are not, languages.
 GO_WORDS = any_of("golang", "go (?:lang|developer|engineer|backend|programmer)")
 ALONE = r"""(?:^|[\s(\[{/,-])%s(?:$|[\s)\]}",/.-])"""
 GO_ALONE = Rule("golang", (ALONE % "go",), (r"\bgo[-\s]to[-\s]market\b", r"\bgo\s+live\b"))
@@ -252,7 +265,7 @@ def _plain(title: Column) -> Column:
 def seniorities_of(title: Column) -> Column:
     """The levels a title names, from intern to staff; level suffixes stand for all levels between the least and the most."""
     text = _plain(title)
-    tail = F.regexp_extract(text, LEVELS.replace(r"\b(?:software", r"(?<![A-Za-z0-9_])(?:software").replace(r"i\b", r"i(?![A-Za-z0-9_])"), 1)
+    tail = F.regexp_extract(text, spelled(LEVELS), 1)
     steps = F.transform(F.split(tail, " "), lambda t: F.coalesce(*[F.when(t == w, F.lit(n)) for w, n in LEVEL_OF.items()]))
     names = F.array(*map(F.lit, SENIORITIES))
     span = F.slice(names, F.array_min(steps), F.array_max(steps) - F.array_min(steps) + 1)

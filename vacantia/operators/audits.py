@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vacantia.functions import places, titles
 from vacantia.operators.ingest import with_facets
 
+# Places that name no place.
 EMPTY_PLACES = ("remote", "hybrid", "anywhere", "unknown")
 
 

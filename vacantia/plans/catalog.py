@@ -353,8 +353,10 @@ def limiter_decisions(spark, sf_dir):
 
 
 def landed(spark: SparkSession, sf_dir: str, provider: str) -> DataFrame:
-    """Payloads of one board, a response for each company, made of the synthetic postings."""
+    """Payloads of one board made of the synthetic postings: a response for each company and about a hundred of its postings."""
     rows = postings(spark, sf_dir).where(F.col("provider") == provider)
+    counts = rows.groupBy("company").agg(F.ceil(F.count(F.lit(1)) / boards.PAGE_ROWS).alias("_pages"))
+    rows = rows.join(counts, "company").withColumn("_page", F.pmod(F.xxhash64("external_id"), "_pages"))
     ms = F.unix_millis("posted_at")
     at = ingest.iso_millis(F.col("posted_at"))
     shape = {
@@ -363,7 +365,7 @@ def landed(spark: SparkSession, sf_dir: str, provider: str) -> DataFrame:
         "workable": F.struct(F.col("external_id").alias("id"), "title", F.struct(F.col("location_raw").alias("location_str"), F.col("is_flagged_remote").alias("telecommuting")).alias("location"), at.alias("created_at"), "url"),
         "lever": F.struct(F.col("external_id").alias("id"), F.col("title").alias("text"), F.struct(F.col("location_raw").alias("location")).alias("categories"), F.when(F.col("is_flagged_remote"), "remote").alias("workplaceType"), ms.alias("createdAt"), F.col("url").alias("hostedUrl")),
     }[provider]
-    grouped = rows.groupBy("company").agg(F.collect_list(shape).alias("jobs"))
+    grouped = rows.groupBy("company", "_page").agg(F.collect_list(shape).alias("jobs"))
     whole = F.to_json(F.struct("jobs")) if provider in boards.WRAPPED else F.to_json("jobs")
     return grouped.select(F.col("company").alias("slug"), "company", whole.alias("payload"))
 
