@@ -1,6 +1,7 @@
 import sys
 from pathlib import Path
 
+import pytest
 from fixtures import TESTDATA, no_docs, odd_docs
 from test_neardup import brute as near_brute
 from test_packing import checked, tokenizer  # noqa: F401
@@ -35,3 +36,22 @@ def test_odd_rows_pass_all_stages(spark):
         corpus_pipeline.STAGES[-1][1](spark, table, TESTDATA).collect()
 
 
+
+
+def test_finished_stages_are_not_run_again(spark, tmp_path, monkeypatch):
+    ran = []
+
+    def noted(name, stage):
+        def run(*args):
+            ran.append(name)
+            return stage(*args)
+
+        return name, run
+
+    stages = [noted(*s) for s in corpus_pipeline.STAGES]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stages[0], noted("broken", lambda *a: 1 / 0), *stages[2:]])
+    with pytest.raises(ZeroDivisionError):
+        corpus_pipeline.run(spark, TESTDATA, str(tmp_path))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stages[0], stages[2], stages[3]])
+    rows = corpus_pipeline.run(spark, TESTDATA, str(tmp_path)).count()
+    assert ran == ["quality_rules", "broken", "secret_scans", "best_fit_packing"] and rows > 0

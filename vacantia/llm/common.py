@@ -56,6 +56,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written under `path` to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Like `checkpointed`, as a compressed table: for texts."""
     path = shared_path(df.sparkSession, "table")

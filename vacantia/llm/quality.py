@@ -5,7 +5,7 @@ lines and eight-word windows are arrays inside a row, so there is no shuffle and
 
 Defined cases: a null text has no words and no lines (it fails the base rule); repeated rows each get their own verdict;
 an empty table gives an empty result; other columns, whatever their names, are left out of the result of `measure`.
-Windows are compared by 64-bit hashes within one text.
+Windows are compared by 64-bit hashes within one text; a very long text is held whole by a task, as its words and hashes.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, words_of
+from .common import WHITE, named, words_of
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
@@ -75,10 +75,10 @@ def _with_later(hashes: str, step: int) -> Column:
 def measure(docs: DataFrame, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """The counts that rules use, beside the columns named in `keep`."""
     keep = ["doc_id"] if keep is None else keep
-    kept = [F.col(c).alias(f"_in_{i}") for i, c in enumerate(keep)]
+    kept = [named(c).alias(f"_in_{i}") for i, c in enumerate(keep)]
     body = F.coalesce(F.col("_text"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
-    rows = docs.select(*kept, F.col(text).cast("string").alias("_text"))
+    rows = docs.select(*kept, named(text).cast("string").alias("_text"))
     rows = rows.select("*", words_of(F.col("_text")).alias("_words"), lines.alias("_lines"))
     # A window's hash by doubling: of one word, then of two, four and eight.
     rows = rows.select("*", F.transform("_words", lambda w: F.xxhash64(w)).alias("_hash_1"))
