@@ -2,13 +2,20 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next one's
 docs. All but the last return the columns of documents.
+
+Defined cases, for every stage: a null, empty or blank text fails the quality rules and goes there, so that later stages
+meet none here; each of them has its own result for such texts (near_dedup keeps them all, secret_scans leaves them as
+they are, packing gives them one piece). Null ids are ids of their own. Copies and repeated rows count as one group, of
+which one row stays. A very long text is held whole by the task that has it. An empty table passes as an empty table.
+Other columns, whatever their names, are carried along up to the last stage. Secrets are found after near-duplicates, so
+documents that differ in their secrets only are judged with them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm.common import shared_path
+from vacantia.llm.common import is_complete, shared_path
 from vacantia.llm.neardup import neardup_stage
 from vacantia.llm.packing import packing_stage
 from vacantia.llm.quality import quality_stage
@@ -25,11 +32,12 @@ STAGES = [
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+def run(spark: SparkSession, sf_dir: str, work: str | None = None) -> DataFrame:
+    """All stages over documents. With `work`, a shared folder, stages that an earlier run has finished there are not run again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = shared_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        path = f"{work}/{name}" if work else shared_path(spark, name)
+        if not (work and is_complete(spark, path)):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
