@@ -38,9 +38,9 @@ LEAST_SHARD_ROWS = 4096
 SHARD_BYTES = 1 << 26
 DEGREE = 16
 BEAM = 128
-BUILD_BEAM = 48
+BUILD_BEAM = 32
 #: Nodes of a beam that are opened at once.
-OPENED = 4
+OPENED = 8
 #: Queries that are searched in step, and nodes that are put in at once, at most.
 BATCH = 512
 #: Numbers that a step holds at once.

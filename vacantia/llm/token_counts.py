@@ -5,9 +5,10 @@ trie in sorted order, so that each shares its longest common prefix with its pre
 any segmentation of its prefix and the number of tokens that one has; the value at a pre-token's last node is its count.
 Both follow from the nodes above: best(node) = max over pieces that end there of best(node - piece) + score(piece).
 
-Scores are the vocabulary file's own, in millionths, so ties are exact; among equal scores fewer tokens win. (The public
+Scores are the vocabulary file's own, as whole numbers (in millionths, unless they are whole already), so ties are exact;
+among equal scores fewer tokens win. (The public
 file is a BPE model: its scores are its pieces' ranks, negative. Other scores can be given.) A character that no piece
-covers costs its UTF-8 bytes, each BYTE_PENALTY below the worst piece.
+covers costs its UTF-8 bytes, each BYTE_PENALTY times as bad as the worst piece.
 
 Defined cases: a null or blank text has no pre-tokens and count 0; the words of one text are held by a task, whatever its
 length, and a very long word costs its length times that of the longest piece; equal rows are counted each; an empty
@@ -27,18 +28,20 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 VOCABULARY = "piece_bpe_32k.model"
-BYTE_PENALTY = 10_000_000
+BYTE_PENALTY = 2
 #: Distinct pre-tokens that a worker keeps.
 MEMO = 300_000
 
 
 def model_scores(path: str) -> dict[str, int]:
-    """Score of each piece that is neither a control, a byte nor unused, in millionths."""
+    """Score of each piece that is neither a control, a byte nor unused, as a whole number."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = (i for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i)))
-    return {model.id_to_piece(i): round(1e6 * model.get_score(i)) for i in plain}
+    scores = {model.id_to_piece(i): model.get_score(i) for i in plain}
+    unit = 1 if all(x.is_integer() for x in scores.values()) else 10**6
+    return {piece: round(unit * x) for piece, x in scores.items()}
 
 
 class Counter:
@@ -47,7 +50,7 @@ class Counter:
     def __init__(self, scores: dict[str, int]):
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
-        self.byte_score = min(scores.values(), default=0) - BYTE_PENALTY
+        self.byte_score = BYTE_PENALTY * min(scores.values(), default=-1) - 1
         self.known: dict[str, int] = {}
 
     def count_sorted(self, tokens: list[str]) -> list[int]:
@@ -99,7 +102,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, text: str = "te
     """doc_id, n_words (pre-tokens) and n_tokens of each row.
 
     `vocabulary` is a path that workers can read; none stands for the public model, found where the worker has it.
-    `scores` (piece: millionths), if given, stand in its place.
+    `scores` (piece: whole number, none above 0), if given, stand in its place.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
