@@ -20,13 +20,19 @@ def put_version(rows: DataFrame, path: str, version: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/{VERSION}={version}")
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of a relation; a version may be empty."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.listStatus(folder) if files.exists(folder) else ()
+    named = (f.getPath() for f in found if f.getPath().getName().startswith(f"{VERSION}="))
+    return sorted(int(p.getName().split("=")[1]) for p in named if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 def read_version(spark: SparkSession, path: str, schema: StructType, below: int | None = None) -> DataFrame:
-    """The last version of a relation, or the last one below a number. Versions are folders, which Spark lists as partitions."""
-    rows = spark.read.schema(StructType(schema.fields).add(VERSION, "long")).parquet(path)
-    if below is not None:
-        rows = rows.where(F.col(VERSION) < below)
-    last = rows.agg(F.max(VERSION)).first()[0]
-    return rows.where(F.col(VERSION) == last).drop(VERSION) if last is not None else spark.createDataFrame([], schema)
+    """The last version of a relation, or the last one below a number; empty without one."""
+    known = [v for v in versions(spark, path) if below is None or v < below]
+    return spark.read.schema(schema).parquet(f"{path}/{VERSION}={known[-1]}") if known else spark.createDataFrame([], schema)
 
 
 def start_polling(spark: SparkSession, answers: DataFrame, jobs: str, sources: str, source_schema: StructType, checkpoint: str) -> StreamingQuery:
