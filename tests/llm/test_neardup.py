@@ -30,11 +30,20 @@ def brute(texts, words, percent):
     return [(i, len(s), find(i), find(i) == i) for i, s in sets.items()]
 
 
-def check(spark, texts, words=2, percent=80):
-    got = neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), words, percent).collect()
+def check(spark, texts, words=2, percent=80, exact=False):
+    got = neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), words, percent, exact=exact).collect()
     same(got, brute(texts, words, percent))
 
 
+def test_the_exact_way(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 50)
+    check(spark, [*driver_texts(200), (9001, None), (9002, "a b"), (9003, "A  b"), (9004, "x")], exact=True)
+    check(spark, crowd(120, 60, random.Random(13), 300, 247, 26), words=1, exact=True)
+    docs = odd_docs(spark)
+    same(neardup.near_duplicates(docs, exact=True).collect(), neardup.near_duplicates(docs).collect())
+    assert neardup.near_duplicates(no_docs(spark), exact=True).count() == 0
+
+
 def test_driver_texts(spark):
     check(spark, driver_texts(200))
 

@@ -15,7 +15,7 @@
    meet in blocks, however many there are; those that may be similar to one of another component meet once more in all
    orders, where sketches of SKETCH bits tell which pairs may still be links between components; those are confirmed too.
    So a link is missed by chance of hashing only (no common prefix in any order, or FAR_OFF deviations), not by density.
-   Work in a region is quadratic in its classes of one prefix; rows are not.
+   Work in a region is quadratic in its classes of one prefix; rows are not. `exact=True` leaves nothing to chance.
 
 Components are named on classes; members then look their class up, which is broadcast where it is hot.
 
@@ -33,7 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, looked_up, named, stored, words_of
@@ -366,26 +366,19 @@ def _identity(docs: DataFrame, text: str) -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(named(text).cast("string")).alias("_hash"), named(text).cast("string").alias("_text")]
 
 
-def grouped(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """A row for each of `docs`: _id (NO_ID for null), _hash of the text, n (set size), component (least id, or NO_ID),
-    and whether the row was chosen of its component: one id and text of each, or any row with an empty set.
+def _texts(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """node and text: one text for each class. Rows that repeat an id and a text are alike."""
+    reps = classes.select("node", "_id", "_hash")
+    return stored(rows.join(reps, ["_id", "_hash"]).select("node", F.col("_text").alias("text")).dropDuplicates(["node"]))
 
-    Documents are linked where 100 * intersection >= percent * union of their sets.
-    """
-    rows = docs.select(*_identity(docs, text))
-    signed = checkpointed(rows.mapInPandas(_signed(words), "_id long, _hash long, n long, node binary, sign binary"))
-    # A row without an id stands for its class only where no other does.
-    least = F.min(F.struct((F.col("_id") == NO_ID).alias("last"), "_id", "_hash", "n", "sign")).alias("_least")
-    members = F.count(F.lit(1)).alias("members")
-    classes = checkpointed(signed.where("node IS NOT NULL").groupBy("node").agg(least, members).select("node", "members", "_least.*"))
 
+def forest_roots(rows: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, root) by the forest; classes that are linked with none may be missing."""
     part = SIGNATURE // TREES
     met = orders(classes, [t * part for t in range(TREES)], NEIGHBOURS)
     likely = checkpointed(plausible(met, classes, percent))
     wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    reps = classes.join(wanted, "node", "left_semi").select("node", "_id", "_hash")
-    # One text for each class: rows that repeat an id and a text are alike.
-    texts = stored(rows.join(reps, ["_id", "_hash"]).select("node", F.col("_text").alias("text")).dropDuplicates(["node"]))
+    texts = _texts(rows, classes.join(wanted, "node", "left_semi"))
 
     # Pairs of which both ends had a full window somewhere wait for the second search; the others are confirmed at once.
     full = checkpointed(met.where(F.col("step") == NEIGHBOURS).select(F.explode(F.array("a", "b")).alias("node"), "tree").distinct())
@@ -402,13 +395,77 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "tex
     waiting = apart.where("both_full").select(F.explode(F.array("a", "b")).alias("node"))
     dense = checkpointed(crowded(full, classes, roots, percent, BLOCK).union(waiting).distinct())
     if dense.take(1):
-        late = classes.join(dense, "node", "left_semi").join(wanted, "node", "left_anti").select("node", "_id", "_hash")
-        texts = texts.union(stored(rows.join(late, ["_id", "_hash"]).select("node", F.col("_text").alias("text")).dropDuplicates(["node"])))
+        late = classes.join(dense, "node", "left_semi").join(wanted, "node", "left_anti")
+        texts = texts.union(_texts(rows, late))
         dense = classes.select("node", "n", "sign").join(dense, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(texts, "node")
         dense = stored(dense.mapInPandas(_sketched(words), "node binary, n long, sign binary, root binary, sketch binary"))
         # Every pair of one prefix meets, and so does every pair that was put off.
         more = linked(dense, percent, BLOCK)
         roots = joined(roots, confirmed(more, texts, words, percent))
+    return roots
+
+
+def _shingled(words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for node, text in zip(batch["node"], batch["text"], strict=True):
+                held = shingles(text, words)
+                for k in range(0, len(held), CELLS):
+                    part = held[k : k + CELLS].view(np.int64)
+                    yield pd.DataFrame({"node": [node] * len(part), "shingle": part, "n": np.full(len(part), len(held), np.int64)})
+
+    return run
+
+
+def _sized(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches):
+            nodes, n, own = group["node"].to_numpy(object), group["n"].to_numpy(), group["own"].to_numpy()
+            lo, hi = group["lo"].iat[0], group["hi"].iat[0]
+            right = np.flatnonzero(own == hi)
+            for x in np.flatnonzero(own == lo):
+                good = right[100 * np.minimum(n[x], n[right]) >= percent * np.maximum(n[x], n[right])]
+                good = good[good > x] if lo == hi else good
+                if len(good):
+                    ends = [sorted((nodes[x], y)) for y in nodes[good]]
+                    yield pd.DataFrame({"a": [e[0] for e in ends], "b": [e[1] for e in ends]})
+
+    return run
+
+
+def exact_roots(rows: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, root) without chance: two sets that are similar enough share one of their rarest shingles.
+
+    With shingles in order of frequency, a set of n needs its first n - ceil(n * percent / 100) + 1 only. Classes that share
+    such a shingle meet in blocks, however many they are; all pairs that sizes allow are confirmed. It costs far more than
+    the forest where texts share much.
+    """
+    texts = _texts(rows, classes)
+    held = checkpointed(texts.mapInPandas(_shingled(words), "node binary, shingle long, n long"))
+    counts = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("many"))
+    total = held.count()
+    met = looked_up(held, counts.withColumn("rows", F.col("many")), "shingle", "rows", total, nulls=False)
+    place = F.row_number().over(Window.partitionBy("node").orderBy("many", "shingle"))
+    prefix = met.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    keyed = prefix.where("many > 1").select(F.lit(0).alias("tree"), F.col("shingle").alias("prefix"), "node", F.col("node").alias("root"))
+    pairs = in_blocks(keyed, classes.select("node", "n"), BLOCK).mapInPandas(_sized(percent), "a binary, b binary").distinct()
+    return joined(texts.select("node", F.col("node").alias("root")), confirmed(pairs, texts, words, percent))
+
+
+def grouped(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", exact: bool = False) -> DataFrame:
+    """A row for each of `docs`: _id (NO_ID for null), _hash of the text, n (set size), component (least id, or NO_ID),
+    and whether the row was chosen of its component: one id and text of each, or any row with an empty set.
+
+    Documents are linked where 100 * intersection >= percent * union of their sets. With `exact`, candidates come from the
+    rarest shingles, so that no link is missed, in place of the forest.
+    """
+    rows = docs.select(*_identity(docs, text))
+    signed = checkpointed(rows.mapInPandas(_signed(words), "_id long, _hash long, n long, node binary, sign binary"))
+    # A row without an id stands for its class only where no other does.
+    least = F.min(F.struct((F.col("_id") == NO_ID).alias("last"), "_id", "_hash", "n", "sign")).alias("_least")
+    members = F.count(F.lit(1)).alias("members")
+    classes = checkpointed(signed.where("node IS NOT NULL").groupBy("node").agg(least, members).select("node", "members", "_least.*"))
+    roots = (exact_roots if exact else forest_roots)(rows, classes, words, percent)
 
     # Named on classes: each component's least row, then each class's.
     rooted = classes.select("node", "members", F.struct("last", "_id", "_hash").alias("own")).join(roots, "node", "left")
@@ -426,10 +483,10 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)) if links.take(1) else roots
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the document is its component's least) for each row of `docs`."""
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return grouped(docs, words, percent, text).select(
+    return grouped(docs, words, percent, text, exact).select(
         real("_id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("_id") == F.col("component")).alias("kept")
     )
 
