@@ -157,12 +157,21 @@ def sql_formatted(raw: str) -> str:
     return rf"CASE WHEN {text} = '' THEN 'Unknown' ELSE trim(regexp_replace({tidy}, '\s{{2,}}', ' ', 'g')) END"
 
 
-def without_company(raw: Column, company: Column) -> Column:
-    """A location without the employer's name; `Unknown` where there is nothing else."""
+def tidied(place: Column) -> Column:
+    """A location without wide gaps, and without separators at its ends."""
+    return F.regexp_replace(F.regexp_replace(place, r"\s{2,}", " "), r"^[\s,;/|–-]+|[\s,;/|–-]+$", "")
+
+
+def without_company(raw: Column, company: Column, tidy: Column | None = None) -> Column:
+    """A location without the employer's name; `Unknown` where there is nothing else. `tidy`, if at hand, is `tidied(raw)`.
+
+    Only locations that hold the name at all are searched by a pattern made of it.
+    """
     place, name = F.trim(raw), F.trim(F.coalesce(company, F.lit("")))
+    tidy = tidied(place) if tidy is None else tidy
     escaped = F.regexp_replace(F.regexp_replace(name, r"([.^$*+?{}\[\]\\|()])", r"\\$1"), r"\s+", r"\\s+")
-    cut = F.regexp_replace(place, F.concat(F.lit("(?i)" + EDGE), escaped, F.lit(EDGE)), F.lit(" "))
-    cut = F.regexp_replace(F.regexp_replace(cut, r"\s{2,}", " "), r"^[\s,;/|–-]+|[\s,;/|–-]+$", "")
+    inside = F.lower(F.regexp_replace(place, r"\s+", " ")).contains(F.lower(F.regexp_replace(name, r"\s+", " ")))
+    cut = F.when(inside, tidied(F.regexp_replace(place, F.concat(F.lit("(?i)" + EDGE), escaped, F.lit(EDGE)), F.lit(" ")))).otherwise(tidy)
     short = (~name.contains(" ")) & (F.char_length(name) < 3)
     return F.when((place == "") | (name == "") | short & (F.lower(place) != F.lower(name)), place).when(F.lower(place) == F.lower(name), "Unknown").when(cut == "", place).otherwise(_no_empty_parens(cut))
 

@@ -233,15 +233,18 @@ def role_with_description(title: Column, role: Column, description: Column) -> C
 FULL_STACK = any_of(r"full[\s-]?stack")
 
 
-def read(rows: DataFrame, title: str = "title") -> DataFrame:
-    """`rows` with `role` (or `other`), `seniorities` and `technologies`: titles repeat, so each distinct one is read once."""
+def read(rows: DataFrame, title: str = "title", values: DataFrame | None = None) -> DataFrame:
+    """`rows` with `role` (or `other`), `seniorities` and `technologies`: titles repeat, so each distinct one is read once.
+
+    `values`, if given, holds all titles that may occur.
+    """
 
     def made(values: DataFrame) -> DataFrame:
         own = F.col(VALUE)
         named = values.withColumn("technologies", stacks_named(own))
         return named.select(VALUE, "technologies", role_of(own, F.col("technologies")).alias("role"), seniorities_of(own).alias("seniorities"))
 
-    return by_value(rows, title, made)
+    return by_value(rows, title, made, values)
 
 
 def sql_stack_lists(title: str) -> str:
@@ -323,16 +326,28 @@ ROLE_KEYWORDS: dict[str, tuple[str, ...]] = {
 }
 
 
-def without_location(title: Column, location: Column) -> Column:
-    """A title without its trailing location: ` - location`, else ` - City, XX[, Country]`, else a closing parenthesis of letters."""
+def bare_title(title: Column) -> Column:
+    """A title without a trailing ` - City, XX[, Country]`, else without a closing parenthesis of letters."""
+    bare = F.trim(F.regexp_replace(title, r"(?i)\s+-\s+[^,]+,\s*[A-Z]{2}(?:\s*,\s*[A-Za-z][A-Za-z\s]*)?\s*$", ""))
+    return F.trim(F.regexp_replace(bare, r"(?i)\s*\(([A-Za-z][A-Za-z\s.'-]{1,60})\)\s*$", ""))
+
+
+def without_location(title: Column, location: Column, bare: Column | None = None) -> Column:
+    """A title without its trailing location: ` - location`, else as `bare_title` has it (`bare`, if at hand)."""
     text = F.trim(F.coalesce(title, F.lit("")))
     place = F.trim(F.coalesce(location, F.lit("")))
     suffix = F.concat(F.lit(" - "), place)
     same = (place != "") & (place != "Unknown") & F.lower(text).endswith(F.lower(suffix))
     cut = F.rtrim(F.substring(text, 1, F.greatest(F.char_length(text) - F.char_length(suffix), F.lit(0))))
-    bare = F.trim(F.regexp_replace(text, r"(?i)\s+-\s+[^,]+,\s*[A-Z]{2}(?:\s*,\s*[A-Za-z][A-Za-z\s]*)?\s*$", ""))
-    bare = F.trim(F.regexp_replace(bare, r"(?i)\s*\(([A-Za-z][A-Za-z\s.'-]{1,60})\)\s*$", ""))
-    return F.when(same, cut).otherwise(bare)
+    return F.when(same, cut).otherwise(bare_title(text) if bare is None else bare)
+
+
+def possible_titles(title: Column) -> Column:
+    """All that `without_location` may make of a title, whatever its location: an array."""
+    text = F.trim(F.coalesce(title, F.lit("")))
+    pieces = F.split(text, "(?= - )")
+    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), lambda k: F.rtrim(F.array_join(F.slice(pieces, 1, k), "")))
+    return F.concat(F.array(bare_title(text), F.lit("")), heads)
 
 
 def sql_without_location(title: str, location: str) -> str:

@@ -28,43 +28,52 @@ def _no_strings() -> Column:
 
 
 def with_facets(rows: DataFrame, terms: DataFrame, raw: str, flagged: Column, hints: Column | None = None, tied_titles: bool = True) -> DataFrame:
-    """`rows` with `geo_raw` (the formatted location without the employer), `shown_location` and `facets`
+    """`rows` with `geo_raw` (the formatted location without the employer), `shown_location`, `bare_title` and `facets`
     (a struct of tokens, countries and regions).
 
-    Facets are made once for each distinct place and joined back. Where they have no country, those that the title
-    mentions stand in; with `tied_titles`, also those that it ties remote work to.
+    What titles, raw locations and places say is worked out once for each distinct one and joined back. Where facets have
+    no country, those that the title mentions stand in; with `tied_titles`, also those that it ties remote work to.
     """
-    rows = rows.withColumn("geo_raw", places.without_company(places.formatted(F.col(raw)), F.col("company")))
+    base = rows
+
+    def mentioned(values: DataFrame) -> DataFrame:
+        said = places.country_mentions(F.col(VALUE))
+        said = F.array_union(said, places.remote_countries(F.col(VALUE))) if tied_titles else said
+        return values.withColumn("_said", said).withColumn("bare_title", titles.bare_title(F.trim(F.coalesce(VALUE, F.lit("")))))
+
+    def formatted(values: DataFrame) -> DataFrame:
+        made = values.withColumn("_formatted", places.formatted(F.col(VALUE)))
+        return made.withColumn("_tidy", places.tidied(F.trim("_formatted")))
+
+    rows = by_value(rows, "title", mentioned, base.select("title"))
+    rows = by_value(rows, raw, formatted, base.select(raw))
+    rows = rows.withColumn("geo_raw", places.without_company(F.col("_formatted"), F.col("company"), F.col("_tidy")))
     rows = rows.withColumn("_place", F.when(F.lower("geo_raw") == "unknown", F.lit("")).otherwise(F.col("geo_raw")))
-    found = places.facets(rows, terms, "_place").withColumn("_own", F.struct("tokens", "countries", "regions")).select("_place", "_own")
-    rows = rows.join(found, "_place")
-    geography = (F.size("_own.countries") > 0) | (F.size("_own.regions") > 0)
-    rows = rows.withColumn("shown_location", places.resolved(F.col("geo_raw"), geography, flagged))
+    found = places.facets(rows, terms, "_place").withColumn("_own", F.struct("tokens", "countries", "regions"))
+    geography = (F.size("countries") > 0) | (F.size("regions") > 0)
+    shown = {f"_shown_{k}": places.resolved(F.col("_place"), geography, F.lit(k == 1)) for k in (0, 1)}
+    rows = rows.join(found.withColumns(shown).select("_place", "_own", *shown), "_place")
+    rows = rows.withColumn("shown_location", F.when(flagged, F.col("_shown_1")).otherwise(F.col("_shown_0")))
     none = _no_strings()
     remote = F.struct(F.array(F.lit("remote")).alias("tokens"), none.alias("countries"), none.alias("regions"))
     facets = F.when(F.col("shown_location") == "Remote", remote).otherwise(F.col("_own"))
     rows = rows.withColumn("_facets", facets if hints is None else places.merged_with_hints(facets, hints))
-
-    def mentioned(values: DataFrame) -> DataFrame:
-        said = places.country_mentions(F.col(VALUE))
-        return values.withColumn("_said", F.array_union(said, places.remote_countries(F.col(VALUE))) if tied_titles else said)
-
-    rows = by_value(rows, "title", mentioned)
     use = (F.size("_facets.countries") == 0) & (F.size("_said") > 0)
     own = F.col("_facets")
     by_title = F.struct(F.array_union(own["tokens"], F.col("_said")).alias("tokens"), F.col("_said").alias("countries"), own["regions"].alias("regions"))
-    return rows.withColumn("facets", F.when(use, by_title).otherwise(own)).drop("_place", "_own", "_facets", "_said")
+    return rows.withColumn("facets", F.when(use, by_title).otherwise(own)).drop("_place", "_own", "_facets", "_said", "_formatted", "_tidy", *shown)
 
 
 def classified(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """Raw postings with display location, facets, role, stack, seniorities and hash.
 
     `rows` has the columns of a posting as a board gives it; `location_hints` (array of strings) and `description` are
-    optional. Postings without a date are dropped. Titles, too, are read once each.
+    optional. Postings without a date are dropped. Titles, too, are read once each, in every form that a location may leave.
     """
     flagged = F.coalesce(F.col("is_flagged_remote"), F.lit(False))
     hints = F.coalesce("location_hints", _no_strings()) if "location_hints" in rows.columns else None
-    rows = with_facets(rows.where(F.col("posted_at").isNotNull()), terms, "location_raw", flagged, hints)
+    base = rows.where(F.col("posted_at").isNotNull())
+    rows = with_facets(base, terms, "location_raw", flagged, hints)
     rows = rows.withColumns(
         {
             "location_raw": F.col("geo_raw"),
@@ -73,10 +82,11 @@ def classified(rows: DataFrame, terms: DataFrame) -> DataFrame:
             "location_countries": F.col("facets.countries"),
             "location_regions": F.col("facets.regions"),
             "is_remote": flagged | F.lower("geo_raw").contains("remote"),
-            "title": titles.without_location(F.trim("title"), F.col("shown_location")),
+            "title": titles.without_location(F.trim("title"), F.col("shown_location"), F.col("bare_title")),
         }
     )
-    rows = titles.read(rows)
+    possible = base.select("title").distinct().select(F.explode(titles.possible_titles(F.col("title"))))
+    rows = titles.read(rows, "title", possible)
     named = F.col("technologies")
     if "description" in rows.columns:
         named = F.array_union(named, titles.stacks_named(F.lit(""), F.col("description")))
@@ -86,7 +96,7 @@ def classified(rows: DataFrame, terms: DataFrame) -> DataFrame:
         levels = F.when(F.size("seniorities") > 0, F.col("seniorities")).otherwise(titles.experience_levels(F.col("experience")))
         rows = rows.withColumn("seniorities", levels)
     rows = rows.withColumn("id", F.concat_ws(":", "provider", "external_id"))
-    dropped = ["technologies", "geo_raw", "shown_location", "facets", "description", "location_hints", "experience", "is_flagged_remote"]
+    dropped = ["technologies", "geo_raw", "shown_location", "bare_title", "facets", "description", "location_hints", "experience", "is_flagged_remote"]
     return rows.withColumn("hash", content_hash()).drop(*dropped)
 
 
