@@ -85,10 +85,7 @@ def folded(events: DataFrame, machine: Breaker | Limiter, key: str, at_ms: str,
     return rows.repartition("key").sortWithinPartitions("key", "at_ms", "order_id").mapInPandas(run, schema)
 
 
-IDLE_MS = 86_400_000
-
-
-def _stateful(machine: Breaker | Limiter, idle_ms: int) -> Callable:
+def _stateful(machine: Breaker | Limiter, idle_ms: int | None) -> Callable:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -101,22 +98,24 @@ def _stateful(machine: Breaker | Limiter, idle_ms: int) -> Callable:
             now_state, decision = machine.step(now_state, int(at))
             out.append(decision)
         state.update(tuple(now_state))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.concat([rows[["key", "at_ms", "order_id"]].reset_index(drop=True), pd.DataFrame(out, columns=_names(machine.columns))], axis=1)
 
     return run
 
 
-def streamed(events: DataFrame, machine: Breaker | Limiter, key: str, at_ms: str, order: str, idle_ms: int = IDLE_MS) -> DataFrame:
+def streamed(events: DataFrame, machine: Breaker | Limiter, key: str, at_ms: str, order: str, idle_ms: int | None = None) -> DataFrame:
     """The same decisions over a stream; a micro-batch's events of a key are taken in order of time.
 
-    A key that sends nothing for `idle_ms` is forgotten, so that state holds no more keys than are active. It should be
-    longer than any window or block, and than any delay of the stream.
+    With `idle_ms`, a key that sends nothing for so long is forgotten, so that state holds no more keys than are active. It
+    should be longer than any window or block, and than any delay of the stream. It is for queries that run on: Spark keeps
+    waiting for timeouts, so that a query over what is available now would never end.
     """
     rows = events.where(F.col(key).isNotNull() & F.col(at_ms).isNotNull()).select(F.col(key).alias("key"), F.col(at_ms).cast("long").alias("at_ms"), F.col(order).alias("order_id"))
     kind = dict(rows.dtypes)
     schema = f"key {kind['key']}, at_ms long, order_id {kind['order_id']}, {machine.columns}"
-    return rows.groupBy("key").applyInPandasWithState(_stateful(machine, idle_ms), schema, machine.stored, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("key").applyInPandasWithState(_stateful(machine, idle_ms), schema, machine.stored, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def recent_counts(events: DataFrame, key: str, at_ms: str, window_ms: int = 60_000) -> DataFrame:
