@@ -24,7 +24,7 @@ sys.path.insert(0, str(Path(__file__).parents[2]))
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{TESTDATA}/{t}.parquet')")
     mine = QUERIES[name](spark, TESTDATA)
     theirs = con.execute(ORACLE_SQL[name])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op8_byte_bpe
 from .hnsw import op1_hnsw
+from .importance import OP13_SQL, op13_importance_resampling
 from .licenses import op9_license_scans
 from .neardup import OP5_SQL, op5_minhash_near_dedup
 from .packing import op4_best_fit_packing
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_license_scans": op9_license_scans,
     "op10_token_counts": op10_token_counts,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op3_quality_rules": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op6_secret_scans": OP6_SQL, "op7_warc": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op3_quality_rules": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op6_secret_scans": OP6_SQL, "op7_warc": OP7_SQL, "op13_importance_resampling": OP13_SQL}
