@@ -15,6 +15,7 @@ from .packing import op4_best_fit_packing
 from .quality import OP3_SQL, op3_quality_rules
 from .secrets import OP6_SQL, op6_secret_scans
 from .sharding import OP2_SQL, op2_sharding
+from .spelling import OP12_SQL, op12_spelling_variants
 from .token_counts import op10_token_counts
 from .warc import OP7_SQL, op7_warc
 
@@ -29,7 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_license_scans": op9_license_scans,
     "op10_token_counts": op10_token_counts,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op3_quality_rules": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op6_secret_scans": OP6_SQL, "op7_warc": OP7_SQL, "op13_importance_resampling": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op3_quality_rules": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op6_secret_scans": OP6_SQL, "op7_warc": OP7_SQL, "op12_spelling_variants": OP12_SQL, "op13_importance_resampling": OP13_SQL}
