@@ -16,6 +16,7 @@ from .quality import OP3_SQL, op3_quality_rules
 from .secrets import OP6_SQL, op6_secret_scans
 from .sharding import OP2_SQL, op2_sharding
 from .spelling import OP12_SQL, op12_spelling_variants
+from .suffixes import OP11_SQL, op11_suffix_array_dedup
 from .token_counts import op10_token_counts
 from .warc import OP7_SQL, op7_warc
 
@@ -30,8 +31,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_license_scans": op9_license_scans,
     "op10_token_counts": op10_token_counts,
+    "op11_suffix_array_dedup": op11_suffix_array_dedup,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op3_quality_rules": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op6_secret_scans": OP6_SQL, "op7_warc": OP7_SQL, "op12_spelling_variants": OP12_SQL, "op13_importance_resampling": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_sharding": OP2_SQL,
+    "op3_quality_rules": OP3_SQL,
+    "op5_minhash_near_dedup": OP5_SQL,
+    "op6_secret_scans": OP6_SQL,
+    "op7_warc": OP7_SQL,
+    "op11_suffix_array_dedup": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
+    "op13_importance_resampling": OP13_SQL,
+}
