@@ -1,7 +1,7 @@
 """Repeated passages by suffix arrays: bytes of a text that a string of `length` bytes covers which also starts in a text of smaller id.
 
 1. Texts are written once, in shards of a few megabytes, as a table bucketed by shard; later steps read it in place.
-2. Of every window of `length` bytes the anchor is its 8-byte string of least hash. Equal windows have equal anchors at
+2. Of every window of `length` bytes the anchor is its ANCHOR-byte string of least hash. Equal windows have equal anchors at
    equal places, so windows need to be compared only where anchors are. Windows that follow each other and share an anchor
    are one run, some 20 windows on average, and the bytes of a run are its context. A shard asks by hash which of its anchors
    stand in another text; shards' lists of sorted hashes are merged by binary search. Only contexts of such anchors go on.
@@ -32,14 +32,17 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import named, shared_path, small_batches
 
 LENGTH = 50
-#: Bytes of an anchor.
+#: Bytes that are compared as one number.
 GRAM = 8
+#: Bytes of an anchor, two such numbers: shorter ones stand in too many texts by chance, longer ones make shorter runs.
+ANCHOR = 2 * GRAM
 #: Windows that are taken at once; places in a block have PLACE_BITS bits.
 BLOCK, PLACE_BITS = 1 << 19, 20
 #: Bytes of contexts that one suffix array has.
@@ -91,12 +94,15 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, length: in
         if not len(starts):
             continue
         body = data[a : a + BLOCK + length - 1]
-        mixed = eights(body)
-        mixed *= _C1
+        words = eights(body)
+        mixed = words[:-GRAM] * _C1
         mixed ^= mixed >> np.uint64(29)
+        mixed += words[GRAM:]
         mixed *= _C2
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= _C1
         mixed ^= mixed >> np.uint64(32)
-        anchor = _least(mixed & ~places | np.arange(len(mixed), dtype=np.uint64), length - GRAM + 1)[starts] & places
+        anchor = _least(mixed & ~places | np.arange(len(mixed), dtype=np.uint64), length - ANCHOR + 1)[starts] & places
         first = np.r_[True, (starts[1:] - starts[:-1] != 1) | (anchor[1:] != anchor[:-1])]
         begin, end = starts[first], starts[np.r_[first[1:], True]]
         summed = np.zeros(len(body) + 1, np.uint64)
@@ -309,7 +315,7 @@ def answered(requests: DataFrame) -> DataFrame:
 def exported(texts: DataFrame, answers: DataFrame, length: int, buckets: int) -> DataFrame:
     """Contexts that other texts may have, one row for each shard and bucket; those of larger ids in the shard as runs that go.
 
-    Of such a row, `ids`, `sizes`, `text` and `places` (how many) are by context, and `rows` and `starts` by place. Rows
+    Of such a row, `ids`, `sizes`, `text` (compressed) and `places` (how many) are by context, and `rows` and `starts` by place. Rows
     without text are runs that go: `rows`, `starts` and `windows`.
     """
 
@@ -350,6 +356,7 @@ def exported(texts: DataFrame, answers: DataFrame, length: int, buckets: int) ->
                     meet(many[first + k : first + k + length], None, doc, (row, start + k))
             else:
                 meet(many[first : first + n + length - 1], int(where[i]), doc, (row, start))
+        packed = zstandard.ZstdCompressor(3)
         by_bucket: dict[int, list[tuple[bytes, list]]] = {}
         for text, own in held.items():
             by_bucket.setdefault(own[0], []).append((text, own))
@@ -357,7 +364,7 @@ def exported(texts: DataFrame, answers: DataFrame, length: int, buckets: int) ->
         for bucket, own in by_bucket.items():
             places = np.array([p for _, c in own for p in c[2]], np.int32)
             out.append((
-                bucket, number, np.array([c[1] for _, c in own], np.int64).tobytes(), np.array([len(t) for t, _ in own], np.int32).tobytes(), b"".join(t for t, _ in own),
+                bucket, number, np.array([c[1] for _, c in own], np.int64).tobytes(), np.array([len(t) for t, _ in own], np.int32).tobytes(), packed.compress(b"".join(t for t, _ in own)),
                 np.array([len(c[2]) for _, c in own], np.int32).tobytes(), places[:, 0].tobytes(), places[:, 1].tobytes(), None,
             ))
         if gone:
@@ -374,6 +381,7 @@ def decided(contexts: DataFrame, length: int) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = [(r.shard, r.rows, r.starts, r.windows) for r in rows.itertuples(index=False) if r.text is None]
         # Each different context once, with its smallest id.
+        unpacked = zstandard.ZstdDecompressor()
         found: dict[bytes, int] = {}
         least: list[int] = []
         own: list[tuple[int, list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -381,9 +389,9 @@ def decided(contexts: DataFrame, length: int) -> DataFrame:
             if r.text is None:
                 continue
             ids, sizes = np.frombuffer(r.ids, np.int64), np.frombuffer(r.sizes, np.int32)
-            numbers, at = [], 0
+            numbers, at, every = [], 0, unpacked.decompress(r.text)
             for doc, size in zip(ids.tolist(), sizes.tolist(), strict=True):
-                text = r.text[at : at + size]
+                text = every[at : at + size]
                 at += size
                 n = found.setdefault(text, len(least))
                 if n == len(least):
@@ -449,8 +457,8 @@ def sharded(rows: DataFrame, total: int) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (start and end in bytes; what goes) and kept (bytes) of every row of `docs`."""
-    if not 2 * GRAM <= length <= 1 << 15:
-        raise ValueError(f"a length is {2 * GRAM} to {1 << 15} bytes")
+    if not ANCHOR <= length <= 1 << 15:
+        raise ValueError(f"a length is {ANCHOR} to {1 << 15} bytes")
     rows = docs.select(named(id).cast("long").alias("doc_id"), F.coalesce(named(text).cast("string").cast("binary"), F.lit(b"")).alias("body"))
     alone = rows.where("doc_id IS NULL").select("doc_id", F.length("body").cast("long").alias("n_bytes"), F.array().cast("array<struct<start: long, end: long>>").alias("spans"), F.col("body").alias("kept"))
     rows = rows.where("doc_id IS NOT NULL")
