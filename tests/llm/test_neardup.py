@@ -136,3 +136,11 @@ def test_components_of_random_graphs(spark):
         got = components.components(spark.createDataFrame(edges, "a long, b long"), local_edges=limit).collect()
         same(got, [(i, find(i)) for i in list(root)])
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_any_whole_number_is_an_id(spark):
+    low = -(1 << 63)
+    texts = [(low, "a b c"), (5, "a b c"), (0, "x y z"), (None, "x y z"), (None, "p q r"), (None, "p q r"), (-1, ""), (low + 1, "only me")]
+    got = neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 2).collect()
+    want = [(low, 2, low, True), (5, 2, low, False), (0, 2, 0, True), (None, 2, 0, False), (None, 2, None, True), (None, 2, None, True), (-1, 0, -1, True), (low + 1, 1, low + 1, True)]
+    same(got, want)

@@ -87,9 +87,47 @@ def test_archives_in_parts():
     archive = ONE + ONE.replace(b"abcd", b"\r\n\r\n") + ONE.replace(b"abcd", b"a\r\nb") + ONE.replace(b"abcd", b"ab\r\n")
     for size in (1, 3, 7, 1000):
         parts = [archive[i : i + size] for i in range(0, len(archive), size)]
-        assert [b for _, b in warc.parsed(parts)] == [b"abcd", b"\r\n\r\n", b"a\r\nb", b"ab\r\n"]
-    with pytest.raises(ValueError):
-        list(warc.parsed([ONE[:-6]]))
+        assert [b for _, b, _ in warc.parsed(parts)] == [b"abcd", b"\r\n\r\n", b"a\r\nb", b"ab\r\n"]
+    assert [(b, f) for _, b, f in warc.parsed([ONE[:-6]])] == [(b"", "the archive ends inside a record")]
+
+
+def test_broken_records_are_left_out():
+    """What follows a broken record is read, in parts of any size."""
+    headless = b"some words\r\n\r\nmore of them\r\n\r\n"
+    unknown = ONE.replace(b"Content-Length: 4", b"Content-Length: four")
+    archive = headless + ONE + unknown + ONE + ONE.replace(b"Content-Length: 4", b"Content-Length: 4000") + ONE
+    for size in (1, 5, 64, 10_000):
+        got = [(b, f) for _, b, f in warc.parsed(archive[i : i + size] for i in range(0, len(archive), size))]
+        good = (b"abcd", None)
+        assert got == [(b"", "no version line"), good, (b"", "no length"), good, (b"", "the archive ends inside a record"), good]
+
+
+def test_rejects(spark, tmp_path):
+    """Good records are read whatever stands between them; the others are listed with their faults."""
+    chunks = lambda n, body: foreign(n, body).replace(b"HTTP/1.1 200 OK\r\n\r\n", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n").replace(b"Content-Length: %d" % (19 + len(body)), b"Content-Length: %d" % (47 + len(body)))
+    broken = [chunks(1, b"zz\r\n"), foreign(2, b"x").replace(b"WARC-Record-ID: <u:2>\r\n", b""), foreign(3, b"x").replace(b"X-Page-ID: 3", b"X-Page-ID: three"), foreign(4, b"x").replace(b"WARC-Type: response\r\n", b""), foreign(5, b"x" * 50)[:-20]]
+    archive = b"".join(foreign(10 + i, b"page %d" % i) + b for i, b in enumerate(broken))
+    (tmp_path / "a.warc").write_bytes(archive)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(archive.replace(b"<u:", b"<v:")))
+    recs = warc.read_records(spark, str(tmp_path)).persist()
+    faults = {(r.record_id, r.fault) for r in warc.rejects(recs).collect()}
+    each = [("<u:1>", "broken chunks"), (None, "no record id"), ("<u:3>", "a number that is none"), ("<u:4>", "no type"), ("<u:5>", "the archive ends inside a record")]
+    assert faults == {(i and i.replace("u", k), f) for i, f in each for k in "uv"}
+    assert sorted(r.page_id for r in warc.read_pages(spark, str(tmp_path)).collect()) == sorted([10, 11, 12, 13, 14] * 2)
+
+
+def test_large_plain_archives_are_split(spark, tmp_path):
+    """Parts of one file come back in order; records with separators in them stay whole."""
+    bodies = [b"line %d\r\n\r\n" % i * (i % 40) for i in range(400)]
+    (tmp_path / "plain.warc").write_bytes(b"".join(foreign(i, b) for i, b in enumerate(bodies)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        recs = warc.read_records(spark, str(tmp_path))
+        got = {r.page_id: bytes(r.payload) for r in warc.with_payloads(warc.reassembled(recs)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == dict(enumerate(bodies))
 
 
 def foreign(number, body):

@@ -15,7 +15,8 @@
    meet in blocks, however many there are; those that may be similar to one of another component meet once more in all
    orders, where sketches of SKETCH bits tell which pairs may still be links between components; those are confirmed too.
    So a link is missed by chance of hashing only (no common prefix in any order, or FAR_OFF deviations), not by density.
-   Work in a region is quadratic in its classes of one prefix; rows are not. `exact=True` leaves nothing to chance.
+   Work in a region is quadratic in its classes of one prefix, and so are the rows that blocks ship, a BLOCK-th of it.
+   `exact=True` leaves nothing to chance.
 
 Components are named on classes; members then look their class up, which is broadcast where it is hot.
 
@@ -51,7 +52,8 @@ ROUNDS = 3
 SKETCH = 8192
 #: All pairs of so many rows of one prefix are met by one task.
 BLOCK = 1024
-NO_ID = -(1 << 63)
+#: What tells rows apart: whether the id is null, the id (0 for null) and a hash of the text.
+KEY = ["_none", "_id", "_hash"]
 #: Hashes computed at once.
 CELLS = 1 << 18
 MEMO = 100_000
@@ -126,7 +128,7 @@ def _signed(words: int):
                 sizes.append(len(held))
                 keys.append(xxhash.xxh3_128_digest(held.tobytes()) if len(held) else None)
                 signs.append(signature(held) if len(held) else None)
-            yield pd.DataFrame({"_id": batch["_id"], "_hash": batch["_hash"], "n": np.array(sizes, np.int64), "node": keys, "sign": signs})
+            yield pd.DataFrame({"_none": batch["_none"], "_id": batch["_id"], "_hash": batch["_hash"], "n": np.array(sizes, np.int64), "node": keys, "sign": signs})
 
     return run
 
@@ -363,13 +365,14 @@ def _apart(pairs: DataFrame, roots: DataFrame, full: DataFrame) -> DataFrame:
 
 
 def _identity(docs: DataFrame, text: str) -> list[Column]:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(named(text).cast("string")).alias("_hash"), named(text).cast("string").alias("_text")]
+    id, body = F.col("doc_id").cast("long"), named(text).cast("string")
+    return [id.isNull().alias("_none"), F.coalesce(id, F.lit(0)).cast("long").alias("_id"), F.xxhash64(body).alias("_hash"), body.alias("_text")]
 
 
 def _texts(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """node and text: one text for each class. Rows that repeat an id and a text are alike."""
-    reps = classes.select("node", "_id", "_hash")
-    return stored(rows.join(reps, ["_id", "_hash"]).select("node", F.col("_text").alias("text")).dropDuplicates(["node"]))
+    reps = classes.select("node", *KEY)
+    return stored(rows.join(reps, KEY).select("node", F.col("_text").alias("text")).dropDuplicates(["node"]))
 
 
 def forest_roots(rows: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -453,28 +456,29 @@ def exact_roots(rows: DataFrame, classes: DataFrame, words: int, percent: int) -
 
 
 def grouped(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", exact: bool = False) -> DataFrame:
-    """A row for each of `docs`: _id (NO_ID for null), _hash of the text, n (set size), component (least id, or NO_ID),
+    """A row for each of `docs`: KEY, n (set size), component (least id; null where none has an id),
     and whether the row was chosen of its component: one id and text of each, or any row with an empty set.
 
     Documents are linked where 100 * intersection >= percent * union of their sets. With `exact`, candidates come from the
     rarest shingles, so that no link is missed, in place of the forest.
     """
     rows = docs.select(*_identity(docs, text))
-    signed = checkpointed(rows.mapInPandas(_signed(words), "_id long, _hash long, n long, node binary, sign binary"))
+    signed = checkpointed(rows.mapInPandas(_signed(words), "_none boolean, _id long, _hash long, n long, node binary, sign binary"))
     # A row without an id stands for its class only where no other does.
-    least = F.min(F.struct((F.col("_id") == NO_ID).alias("last"), "_id", "_hash", "n", "sign")).alias("_least")
+    least = F.min(F.struct(*KEY, "n", "sign")).alias("_least")
     members = F.count(F.lit(1)).alias("members")
     classes = checkpointed(signed.where("node IS NOT NULL").groupBy("node").agg(least, members).select("node", "members", "_least.*"))
     roots = (exact_roots if exact else forest_roots)(rows, classes, words, percent)
 
     # Named on classes: each component's least row, then each class's.
-    rooted = classes.select("node", "members", F.struct("last", "_id", "_hash").alias("own")).join(roots, "node", "left")
+    rooted = classes.select("node", "members", F.struct(*KEY).alias("own")).join(roots, "node", "left")
     rooted = checkpointed(rooted.select("node", "members", "own", F.coalesce("root", "node").alias("root")))
     least = rooted.groupBy("root").agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("classes"))
     of_class = checkpointed(looked_up(rooted.select("node", "members", "root"), least, "root", "classes", rooted.count()).select("node", "members", "least"))
-    out = looked_up(signed.select("_id", "_hash", "n", "node"), of_class, "node", "members", signed.count())
-    chosen = F.col("least").isNull() | ((F.col("least._id") == F.col("_id")) & (F.col("least._hash") == F.col("_hash")))
-    return out.select("_id", "_hash", "n", F.coalesce("least._id", "_id").alias("component"), chosen.alias("chosen"))
+    out = looked_up(signed.select(*KEY, "n", "node"), of_class, "node", "members", signed.count())
+    own = F.struct(*KEY)
+    named_by = F.coalesce("least", own)
+    return out.select(*KEY, "n", F.when(~named_by["_none"], named_by["_id"]).alias("component"), (named_by == own).alias("chosen"))
 
 
 def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -485,21 +489,20 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the document is its component's least) for each row of `docs`."""
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return grouped(docs, words, percent, text, exact).select(
-        real("_id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("_id") == F.col("component")).alias("kept")
-    )
+    doc_id = F.when(~F.col("_none"), F.col("_id"))
+    rows = grouped(docs, words, percent, text, exact)
+    return rows.select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), doc_id.eqNullSafe(F.col("component")).alias("kept"))
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays, with its own columns, and every one without words."""
-    kept = grouped(docs).where("chosen AND n > 0").select("_id", "_hash").distinct()
+    kept = grouped(docs).where("chosen AND n > 0").select(*KEY).distinct()
     empty = F.size(words_of(named("text").cast("string"))) == 0
-    rows = docs.where(~empty).select(F.struct(*map(named, docs.columns)).alias("_row"), *_identity(docs, "text")[:2])
+    rows = docs.where(~empty).select(F.struct(*map(named, docs.columns)).alias("_row"), *_identity(docs, "text")[:3])
     # Rows without an id may be many of one text: they are few already when they are joined.
-    rows = rows.where(F.col("_id") != NO_ID).union(rows.where(F.col("_id") == NO_ID).dropDuplicates(["_id", "_hash"]))
+    rows = rows.where("NOT _none").union(rows.where("_none").dropDuplicates(KEY))
     # The join brings equal rows together; one of them stays.
-    first = rows.join(kept, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"])
+    first = rows.join(kept, KEY).dropDuplicates(KEY)
     return first.select("_row.*").union(docs.where(empty))
 
 

@@ -8,19 +8,22 @@ revisit it. Digests are counted before anything is joined; those that many pages
 gets all pages with one payload.
 
 Reading. Gzipped archives (one member for each record, or a stream of many) are decompressed as a stream: a task holds one
-record and a buffer. Plain ones are read whole. Segments are grouped by their origin's record id in a shuffle, ordered by
+record and a buffer. Plain ones are split, and their lines sorted by place, so a task holds as much of them. Segments are grouped by their origin's record id in a shuffle, ordered by
 number, and accepted where the numbers run from 1 without gaps and the lengths add up to the stated total. Then the HTTP
 head is cut off and the chunks are joined. Archives written here have at most RECORDS_PER_FILE records of at most
 `segment` bytes; Spark's writer makes one gzip stream of a file.
 
 Defined cases: a null html is an empty payload; a very long one is cut into segments, and held whole by a task when it is
-joined again; a null url gets a URI made from the page id; null page ids stay null and never serve as the original of a
+joined again; records that can't be read (a head without a version line or a length,
+an archive that ends too soon, broken chunks, stated numbers that are none) are left out, reading goes on at the next
+record, and `rejects` lists them; a null url gets a URI made from the page id; null page ids stay null and never serve as the original of a
 revisit while their digest has a page with an id; rows that repeat the original's id and payload are responses too; an
 empty table gives empty archives and an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 from operator import itemgetter
@@ -121,8 +124,11 @@ def write_warc(recs: DataFrame, path: str) -> None:
     lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
-def parsed(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields by lower-case name, block) of each record of an archive that comes in parts of any size."""
+def parsed(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """(header fields by lower-case name, block, fault) of each record of an archive that comes in parts of any size.
+
+    Where a record can't be told from what follows, its fault is given and the next version line is looked for.
+    """
     held, more = bytearray(), iter(parts)
 
     def filled(enough: Callable[[], bool]) -> bool:
@@ -132,19 +138,38 @@ def parsed(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
             held.extend(part)
         return True
 
+    def skip() -> None:
+        """Drop what is held up to the next version line behind a blank one; everything, if there is none."""
+        mark = b"\r\n\r\nWARC/"
+        while (found := held.find(mark)) < 0:
+            del held[: max(0, len(held) - len(mark) + 1)]
+            if not filled(lambda least=len(held): len(held) > least):
+                held.clear()
+                return
+        del held[: found + 4]
+
     while filled(lambda: bool(held.lstrip(b"\r\n"))):
         del held[: len(held) - len(held.lstrip(b"\r\n"))]
         if not filled(lambda: b"\r\n\r\n" in held):
-            raise ValueError("an archive ends inside a record's head")
+            yield {}, b"", "the archive ends inside a head"
+            return
         end = held.index(b"\r\n\r\n")
-        lines = held[:end].decode("utf-8", "surrogatepass").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record begins with {lines[0][:40]!r}")
+        lines = held[:end].decode("utf-8", "replace").split("\r\n")
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = end + 4 + int(head["content-length"])
+        fault = None if lines[0].startswith("WARC/") else "no version line"
+        length = head.get("content-length", "")
+        if fault is None and not (length.isascii() and length.isdigit()):
+            fault = "no length"
+        if fault:
+            yield head, b"", fault
+            skip()
+            continue
+        size = end + 4 + int(length)
         if not filled(lambda: len(held) >= size):
-            raise ValueError("an archive ends inside a record")
-        yield head, bytes(held[end + 4 : size])
+            yield head, b"", "the archive ends inside a record"
+            skip()
+            continue
+        yield head, bytes(held[end + 4 : size]), None
         del held[:size]
 
 
@@ -153,20 +178,32 @@ def _payload(block: bytes) -> bytes:
     return dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-FIELDS = "record_id string, record_type string, page_id long, digest string, refers_to long, number int, total long, block binary"
+FIELDS = "record_id string, record_type string, page_id long, digest string, refers_to long, number int, total long, block binary, fault string"
+
+
+def _number(text: str | None, bits: int) -> int | None:
+    """A stated whole number of so many bits; None for anything else."""
+    if text is None or not re.fullmatch(r"-?[0-9]{1,19}", text):
+        return None
+    return n if -(1 << bits - 1) <= (n := int(text)) < 1 << bits - 1 else None
 
 
 def _records(parts: Iterable[bytes]) -> Iterator[pd.DataFrame]:
     """The records of one archive, a few at once."""
-    number = lambda x: None if x is None or x == "None" else int(x)
     rows, held = [], 0
-    for head, block in parsed(parts):
-        kind = head["warc-type"]
-        if kind not in ("response", "revisit", "continuation"):
+    for head, block, fault in parsed(parts):
+        kind = head.get("warc-type")
+        if fault is None and kind is not None and kind not in ("response", "revisit", "continuation"):
             continue
-        origin = head["warc-segment-origin-id"] if kind == "continuation" else head["warc-record-id"]
+        origin = head.get("warc-segment-origin-id" if kind == "continuation" else "warc-record-id")
+        stated = [head.get(x) for x in ("x-page-id", "x-refers-to-page-id", "warc-segment-number", "warc-segment-total-length")]
+        numbers = [_number(x, bits) for x, bits in zip(stated, (64, 64, 32, 64), strict=True)]
+        if fault is None:
+            fault = "no type" if kind is None else "no record id" if origin is None else None
+        if fault is None and any(n is None and x not in (None, "None") for n, x in zip(numbers, stated, strict=True)):
+            fault = "a number that is none"
         digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
-        rows.append((origin, kind, number(head.get("x-page-id")), digest, number(head.get("x-refers-to-page-id")), number(head.get("warc-segment-number")), number(head.get("warc-segment-total-length")), block))
+        rows.append((origin, kind, numbers[0], digest, *numbers[1:], block, fault))
         held += len(block)
         if held > 1 << 24:
             yield _frame(rows)
@@ -189,21 +226,26 @@ def _streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _records(part for _, part in parts)
 
 
-def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for content in batch["content"]:
-            yield from _records([content])
-
-
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record and segment of the archives under `path`; record_id is the origin's for continuations.
 
-    Files that end in .gz can't be split, so that a task gets their lines in order.
+    Files that end in .gz can't be split, so that a task gets their lines in order. Parts of others are brought together
+    and sorted by their place in the file, which spills to disk where it must.
     """
     zipped = spark.read.option("lineSep", SEPARATOR).option("pathGlobFilter", "*.gz").text(path)
     zipped = zipped.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("line"))
-    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(path).select("content")
-    return zipped.mapInPandas(_streamed, FIELDS).union(plain.mapInPandas(_whole, FIELDS))
+    plain = spark.read.option("lineSep", SEPARATOR).option("pathGlobFilter", "*.warc").text(path)
+    place = [F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line_number")]
+    plain = plain.select(F.col("_metadata.file_path").alias("path"), *place, F.col("value").cast("binary").alias("line"))
+    plain = plain.repartition("path").sortWithinPartitions("path", "start", "line_number").select("path", "line")
+    return zipped.mapInPandas(_streamed, FIELDS).union(plain.mapInPandas(_streamed, FIELDS))
+
+
+def rejects(recs: DataFrame) -> DataFrame:
+    """record_id, record_type and fault of the records that can't be read: their heads, lengths or chunks are broken."""
+    heads = recs.where("fault IS NOT NULL").select("record_id", "record_type", "fault")
+    bodies = with_payloads(reassembled(recs)).where("fault IS NOT NULL")
+    return heads.union(bodies.select("record_id", "record_type", "fault"))
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -217,6 +259,7 @@ def reassembled(recs: DataFrame) -> DataFrame:
 
     Only segments are shuffled, and a group is one record's block.
     """
+    recs = recs.where("fault IS NULL")
     whole = recs.where("number IS NULL").select("record_id", "record_type", "page_id", "digest", "refers_to", "block")
     parts = F.sort_array(F.collect_list(F.struct("number", "block")))
     first = lambda c: F.max(F.when(F.col("number") == 1, F.col(c))).alias(c)
@@ -228,21 +271,29 @@ def reassembled(recs: DataFrame) -> DataFrame:
 
 
 def with_payloads(whole: DataFrame) -> DataFrame:
-    """page_id, record_type, refers_to, payload_digest and the decoded payload (null for revisits)."""
+    """record_id, page_id, record_type, refers_to, stated_digest, the decoded payload (null for revisits) and fault, where
+    the chunks are broken."""
+
+    def read(kind: str, block: bytes) -> tuple[bytes | None, str | None]:
+        try:
+            return (_payload(block) if kind == "response" else None), None
+        except ValueError:
+            return None, "broken chunks"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            payload = [_payload(b) if k == "response" else None for k, b in zip(batch["record_type"], batch["block"], strict=True)]
-            yield batch.drop(columns="block").assign(payload=pd.Series(payload, dtype=object))
+            found = [read(k, b) for k, b in zip(batch["record_type"], batch["block"], strict=True)]
+            payload, fault = (pd.Series([x[k] for x in found], dtype=object) for k in (0, 1))
+            yield batch.drop(columns="block").assign(payload=payload, fault=fault)
 
-    rows = whole.select("page_id", "record_type", "refers_to", F.col("digest").alias("stated_digest"), "block")
-    return rows.mapInPandas(run, "page_id long, record_type string, refers_to long, stated_digest string, payload binary")
+    rows = whole.select("record_id", "page_id", "record_type", "refers_to", F.col("digest").alias("stated_digest"), "block")
+    return rows.mapInPandas(run, "record_id string, page_id long, record_type string, refers_to long, stated_digest string, payload binary, fault string")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """A row for each page of the archives: payload_bytes and payload_digest as found in the payload itself; for revisits
     those of the response they refer to. Payloads whose digest isn't the stated one are left out."""
-    rows = with_payloads(reassembled(read_records(spark, path)))
+    rows = with_payloads(reassembled(read_records(spark, path))).where("fault IS NULL")
     # The archives are read once; what goes on is as small as the digests.
     rows = checkpointed(rows.select("page_id", "record_type", "refers_to", "stated_digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest")))
     good = rows.where("record_type = 'response' AND payload_digest = stated_digest")
