@@ -55,3 +55,27 @@ def test_finished_stages_are_not_run_again(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", [stages[0], stages[2], stages[3]])
     rows = corpus_pipeline.run(spark, TESTDATA, str(tmp_path)).count()
     assert ran == ["quality_rules", "broken", "secret_scans", "best_fit_packing"] and rows > 0
+
+
+def test_another_input_is_run_anew(spark, tmp_path, monkeypatch):
+    """A work folder of other documents, or of other code, is not resumed from."""
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [corpus_pipeline.STAGES[0], ("last", lambda spark, docs, sf_dir: docs.select("doc_id"))])
+    texts = [" ".join(f"the word{k} of {i}" for k in range(30)) for i in range(6)]
+    ids = lambda k: sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / f"in{k}"), str(tmp_path / "work")).collect())
+    for k, held in enumerate((texts[:2], texts[2:])):
+        rows = [(10 * k + i, t, "en", "s", len(t)) for i, t in enumerate(held)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / f"in{k}" / "documents.parquet"))
+    assert ids(0) == [0, 1] and ids(1) == [10, 11, 12, 13] and ids(0) == [0, 1]
+    monkeypatch.setattr(corpus_pipeline, "CODE", corpus_pipeline.CODE[:1])
+    ran = []
+    stage = corpus_pipeline.STAGES[0][1]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("quality_rules", lambda *a: ran.append(1) or stage(*a)), corpus_pipeline.STAGES[1]])
+    assert ids(0) == [0, 1] and ids(0) == [0, 1] and ran == [1]
+
+
+def test_stages_leave_one_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "shared_path", lambda spark, name: str(tmp_path / name))
+    same = lambda spark, docs, sf_dir: docs
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, same) for n in ("a", "b", "c", "d")])
+    assert corpus_pipeline.run(spark, TESTDATA).count() > 0
+    assert [p.name for p in tmp_path.iterdir()] == ["c"]

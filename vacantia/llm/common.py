@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from types import ModuleType
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,10 +59,50 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
-def is_complete(spark: SparkSession, path: str) -> bool:
-    """Whether a table has been written under `path` to its end."""
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+def _file(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, as the cluster's own readers see them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete the table under `path` and its manifest."""
+    for name in (path, f"{path}{MANIFEST}"):
+        at, files = _file(spark, name)
+        files.delete(at, True)
+
+
+def input_print(df: DataFrame) -> str:
+    """What tells a table's files from others: their names, lengths and times of change, hashed."""
+    held = []
+    for name in sorted(df.inputFiles()):
+        at, files = _file(df.sparkSession, name)
+        state = files.getFileStatus(at)
+        held.append(f"{name} {state.getLen()} {state.getModificationTime()}")
+    return hashlib.sha256("\n".join(held).encode()).hexdigest()
+
+
+def code_print(*modules: ModuleType) -> str:
+    """What tells these modules' source from another state of it."""
+    return hashlib.sha256("".join(inspect.getsource(m) for m in modules).encode()).hexdigest()
+
+
+#: A table's manifest stands beside its folder.
+MANIFEST = ".manifest"
+
+
+def is_complete(spark: SparkSession, path: str, manifest: str) -> bool:
+    """Whether a table has been written under `path` to its end, and for the same manifest."""
+    at, files = _file(spark, f"{path}{MANIFEST}")
+    return files.exists(at) and spark.sparkContext.wholeTextFiles(at.toString()).first()[1] == manifest
+
+
+def complete(spark: SparkSession, path: str, manifest: str) -> None:
+    """Note that the table under `path` is complete, and what it was made of."""
+    at, files = _file(spark, f"{path}{MANIFEST}")
+    out = files.create(at, True)
+    out.write(bytearray(manifest.encode()))
+    out.close()
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@
    are one run, some 20 windows on average, and the bytes of a run are its context. A shard asks by hash which of its anchors
    stand in another text; shards' lists of sorted hashes are merged by binary search. Only contexts of such anchors go on.
 3. Equal contexts of a shard are one, with its smallest id: all larger ids lose them at once. What is left is dealt by
-   anchor. Suffix arrays are built of it, MAX_SORTED bytes each: Larsson-Sadakane refinement (suffixes ordered by 8 bytes;
+   anchor. Suffix arrays are built of all contexts whose anchor has several, MAX_SORTED bytes each: Larsson-Sadakane refinement (suffixes ordered by 8 bytes;
    groups that are not yet apart are sorted by their ranks 8, 16, 32 .. bytes on), then common prefixes of neighbours by
    Kasai's rule. Windows whose neighbours share `length` bytes or more are one group, whose smallest id keeps it.
 4. Suffix arrays over the same anchors are merged by binary search of their sorted distinct windows.
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import Counter
 from functools import lru_cache
 from zlib import crc32
 
@@ -259,7 +260,7 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
 
 ASKED = "bucket int, shard int, keys binary, contexts binary, several binary"
 ANSWERED = "shard int, bucket int, keys binary, hot binary"
-CONTEXTS = "bucket int, shard int, ids binary, sizes binary, text binary, places binary, rows binary, starts binary, windows binary"
+CONTEXTS = "bucket int, shard int, anchors binary, ids binary, sizes binary, text binary, places binary, rows binary, starts binary, windows binary"
 GONE = "shard int, rows binary, starts binary, windows binary"
 RESULT = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
 
@@ -315,7 +316,7 @@ def answered(requests: DataFrame) -> DataFrame:
 def exported(texts: DataFrame, answers: DataFrame, length: int, buckets: int) -> DataFrame:
     """Contexts that other texts may have, one row for each shard and bucket; those of larger ids in the shard as runs that go.
 
-    Of such a row, `ids`, `sizes`, `text` (compressed) and `places` (how many) are by context, and `rows` and `starts` by place. Rows
+    Of such a row, `anchors`, `ids`, `sizes`, `text` (compressed) and `places` (how many) are by context, and `rows` and `starts` by place. Rows
     without text are runs that go: `rows`, `starts` and `windows`.
     """
 
@@ -330,46 +331,46 @@ def exported(texts: DataFrame, answers: DataFrame, length: int, buckets: int) ->
         at = np.minimum(np.searchsorted(known, shard.anchor), len(known) - 1)
         hits = np.flatnonzero(known[at] == shard.anchor)
         single = hot[at[hits]]
-        # Context: bucket, smallest id, and its places by id.
+        # Context: smallest id, the places where that has it, bucket and anchor there.
         held: dict[bytes, list] = {}
         gone: list[tuple[int, int, int]] = []
 
-        def meet(text: bytes, bucket: int | None, doc: int, place: tuple[int, int]) -> None:
+        def meet(text: bytes, anchor: int | None, doc: int, place: tuple[int, int]) -> None:
             own = held.get(text)
             if own is None:
-                held[text] = [crc32(text) % buckets if bucket is None else bucket, doc, [place]]
-            elif doc > own[1]:
+                anchor = crc32(text) % buckets << 32 | crc32(text) if anchor is None else anchor
+                held[text] = [doc, [place], anchor >> 32, anchor & 0xFFFFFFFF]
+            elif doc > own[0]:
                 gone.append((*place, len(text) - length + 1))
-            elif doc == own[1]:
-                own[2].append(place)
+            elif doc == own[0]:
+                own[1].append(place)
             else:
-                gone.extend((*p, len(text) - length + 1) for p in own[2])
-                own[1:] = doc, [place]
+                gone.extend((*p, len(text) - length + 1) for p in own[1])
+                own[:2] = doc, [place]
 
         many = shard.bytes
-        where = (shard.anchor >> np.uint64(32)).astype(np.int64)
-        for i, first, n, alone in zip(hits.tolist(), shard.first[hits].tolist(), shard.windows[hits].tolist(), single.tolist(), strict=True):
-            row = int(shard.row[i])
-            doc, start = int(shard.ids[row]), first - int(shard.offsets[row])
+        row_of = shard.row[hits]
+        found = (row_of, shard.ids[row_of], shard.anchor[hits], shard.first[hits], shard.first[hits] - shard.offsets[row_of], shard.windows[hits], single)
+        for row, doc, anchor, first, start, n, alone in zip(*(x.tolist() for x in found), strict=True):
             if alone:
                 for k in range(n):
                     meet(many[first + k : first + k + length], None, doc, (row, start + k))
             else:
-                meet(many[first : first + n + length - 1], int(where[i]), doc, (row, start))
+                meet(many[first : first + n + length - 1], anchor, doc, (row, start))
         packed = zstandard.ZstdCompressor(3)
         by_bucket: dict[int, list[tuple[bytes, list]]] = {}
         for text, own in held.items():
-            by_bucket.setdefault(own[0], []).append((text, own))
+            by_bucket.setdefault(own[2], []).append((text, own))
         out = []
         for bucket, own in by_bucket.items():
-            places = np.array([p for _, c in own for p in c[2]], np.int32)
+            places = np.array([p for _, c in own for p in c[1]], np.int32)
             out.append((
-                bucket, number, np.array([c[1] for _, c in own], np.int64).tobytes(), np.array([len(t) for t, _ in own], np.int32).tobytes(), packed.compress(b"".join(t for t, _ in own)),
-                np.array([len(c[2]) for _, c in own], np.int32).tobytes(), places[:, 0].tobytes(), places[:, 1].tobytes(), None,
+                bucket, number, np.array([c[3] for _, c in own], np.uint32).tobytes(), np.array([c[0] for _, c in own], np.int64).tobytes(), np.array([len(t) for t, _ in own], np.int32).tobytes(), packed.compress(b"".join(t for t, _ in own)),
+                np.array([len(c[1]) for _, c in own], np.int32).tobytes(), places[:, 0].tobytes(), places[:, 1].tobytes(), None,
             ))
         if gone:
             cut = np.array(gone, np.int32)
-            out.append((number % buckets, number, None, None, None, None, cut[:, 0].tobytes(), cut[:, 1].tobytes(), cut[:, 2].tobytes()))
+            out.append((number % buckets, number, None, None, None, None, None, cut[:, 0].tobytes(), cut[:, 1].tobytes(), cut[:, 2].tobytes()))
         return _frame(out, CONTEXTS)
 
     return texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(run, CONTEXTS)
@@ -384,29 +385,35 @@ def decided(contexts: DataFrame, length: int) -> DataFrame:
         unpacked = zstandard.ZstdDecompressor()
         found: dict[bytes, int] = {}
         least: list[int] = []
+        anchors: list[int] = []
         own: list[tuple[int, list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for r in rows.itertuples(index=False):
             if r.text is None:
                 continue
             ids, sizes = np.frombuffer(r.ids, np.int64), np.frombuffer(r.sizes, np.int32)
             numbers, at, every = [], 0, unpacked.decompress(r.text)
-            for doc, size in zip(ids.tolist(), sizes.tolist(), strict=True):
+            for doc, size, anchor in zip(ids.tolist(), sizes.tolist(), np.frombuffer(r.anchors, np.uint32).tolist(), strict=True):
                 text = every[at : at + size]
                 at += size
                 n = found.setdefault(text, len(least))
                 if n == len(least):
                     least.append(doc)
+                    anchors.append(anchor)
                 elif doc < least[n]:
                     least[n] = doc
                 numbers.append(n)
             own.append((r.shard, numbers, ids, np.frombuffer(r.places, np.int32), np.frombuffer(r.rows, np.int32), np.frombuffer(r.starts, np.int32)))
         if found:
             texts = list(found)
-            repeats = sorted_shards(texts, np.array(least, np.int64), length)
+            # A context that is its anchor's only one shares no window with any other.
+            of = Counter(anchors)
+            met = [n for n, a in enumerate(anchors) if of[a] > 1]
+            none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            repeats = dict(zip(met, sorted_shards([texts[n] for n in met], np.array(least, np.int64)[met], length), strict=True)) if met else {}
             whole = [(np.zeros(1, np.int64), np.array([len(t) - length + 1])) for t in texts]
             for shard, numbers, ids, places, in_rows, starts in own:
                 # A larger id than the context's smallest loses all of its windows.
-                runs = [whole[n] if doc > least[n] else repeats[n] for n, doc in zip(numbers, ids.tolist(), strict=True)]
+                runs = [whole[n] if doc > least[n] else repeats.get(n, none) for n, doc in zip(numbers, ids.tolist(), strict=True)]
                 each = np.repeat(np.fromiter((len(b) for b, _ in runs), np.int64, len(runs)), places)
                 if each.any():
                     to = np.repeat(np.arange(len(runs)), places)
