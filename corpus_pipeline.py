@@ -15,7 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm.common import is_complete, shared_path
+from vacantia.llm import common, components, neardup, packing, quality, secrets
+from vacantia.llm.common import code_print, complete, delete, input_print, is_complete, shared_path
 from vacantia.llm.neardup import neardup_stage
 from vacantia.llm.packing import packing_stage
 from vacantia.llm.quality import quality_stage
@@ -32,12 +33,29 @@ STAGES = [
 ORACLE_SQL: str | None = None
 
 
+#: What stages are made of: another state of it makes their results anew.
+CODE = (common, components, neardup, packing, quality, secrets)
+
+
 def run(spark: SparkSession, sf_dir: str, work: str | None = None) -> DataFrame:
-    """All stages over documents. With `work`, a shared folder, stages that an earlier run has finished there are not run again."""
+    """All stages over documents.
+
+    With `work`, a shared folder, stages that an earlier run has finished there are not run again, if they were made of the
+    same files by the same code, and by the same stages before them; else they are. Without, each stage's folder goes when
+    the next one is written; the last but one, which the result is read from, stays.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    made_of = f"{input_print(docs)} {code_print(*CODE)}"
+    before = None
     for name, stage in STAGES[:-1]:
         path = f"{work}/{name}" if work else shared_path(spark, name)
-        if not (work and is_complete(spark, path)):
+        made_of = f"{made_of} {name}"
+        if not (work and is_complete(spark, path, made_of)):
             stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+            if work:
+                complete(spark, path, made_of)
         docs = spark.read.parquet(path)
+        if before and not work:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
