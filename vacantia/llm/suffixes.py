@@ -49,7 +49,7 @@ BLOCK, PLACE_BITS = 1 << 19, 20
 #: Bytes of contexts that one suffix array has.
 MAX_SORTED = 4 << 20
 #: Contexts of one anchor beyond which its windows are dealt one by one.
-HOT = 4096
+HOT = 50_000
 #: Text for one bucket of anchors, and for one task that reads shards, in bytes.
 BUCKET_BYTES, TASK_BYTES, MAX_TASKS = 2 << 20, 8 << 20, 50_000
 _MASK32 = np.uint64(0xFFFFFFFF)
