@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import places
 from vacantia.operators import audits, ingest, search
+from vacantia.operators.relation import Relation
 from vacantia.operators.tables import stored
 from vacantia.sources import boards, links
 from vacantia.streaming import state
@@ -198,7 +199,7 @@ def test_stream_equals_batch(spark, tmp_path):
     jobs.coalesce(1).write.parquet(str(tmp_path / "landed"))
     jobs.coalesce(1).write.mode("append").parquet(str(tmp_path / "landed"))  # delivered twice
     stream = spark.readStream.schema(jobs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "landed"))
-    start_ingest(spark, stream, str(tmp_path / "table"), str(tmp_path / "cp")).awaitTermination()
-    stored = spark.read.parquet(str(tmp_path / "table"))
+    table = Relation(spark, str(tmp_path / "table"), jobs.schema)
+    start_ingest(stream, table, str(tmp_path / "cp")).awaitTermination()
     key = lambda rows: sorted(map(str, rows))
-    assert key(stored.collect()) == key(ingest.new_only(jobs, jobs.limit(0)).collect())
+    assert key(table.read().collect()) == key(ingest.new_only(jobs, jobs.limit(0)).collect())

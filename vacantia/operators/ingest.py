@@ -167,11 +167,16 @@ def source_by_id(sources: DataFrame, id: str, provider: str) -> DataFrame:
 PROVIDERS = ("ashby", "greenhouse", "workable", "lever")
 
 
-def poll_messages(sources: DataFrame, open_circuits: tuple[str, ...] = (), step_ms: int = 400) -> DataFrame:
-    """source_id, provider, provider_order and delay_ms of each fetch of a poll: active sources of providers whose circuit is closed."""
+def poll_messages(sources: DataFrame, open_circuits: tuple[str, ...] | DataFrame = (), step_ms: int = 400) -> DataFrame:
+    """source_id, provider, provider_order and delay_ms of each fetch of a poll: active sources of providers whose circuit is closed.
+
+    The open ones come as names or as a table with `provider`, such as `streaming.gate.open_circuits` makes.
+    """
     order = F.array_position(F.array(*map(F.lit, PROVIDERS)), F.col("provider"))
     rows = sources.where(order > 0)
-    if open_circuits:
+    if isinstance(open_circuits, DataFrame):
+        rows = rows.join(open_circuits.select("provider").distinct(), "provider", "left_anti")
+    elif open_circuits:
         rows = rows.where(~F.col("provider").isin(*open_circuits))
     return staggered(rows, step_ms).select(F.col("id").alias("source_id"), "provider", order.cast("int").alias("provider_order"), "delay_ms")
 

@@ -5,6 +5,7 @@ Arrays are shown sorted and joined by commas, times as ISO strings.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,11 +14,12 @@ from pyspark.sql import functions as F
 from vacantia.functions import places, titles
 from vacantia.functions.text import sql_has, without_tags
 from vacantia.operators import audits, ingest, search
-from vacantia.operators.tables import stored
+from vacantia.operators.relation import Relation
+from vacantia.operators.tables import shared_folder, stored
 from vacantia.plans import classified_sql
 from vacantia.plans.synthetic import POSTINGS_SQL, postings
 from vacantia.sources import boards, companies, links
-from vacantia.streaming import state
+from vacantia.streaming import gate, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -737,3 +739,44 @@ def romanized_backfill(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings in, a filtered and ordered feed page out."""
     return feed_preset_filtered(spark, sf_dir)
+
+
+# Relations that grow by batches, and circuits that hold polls back.
+
+
+@query(
+    f"""SELECT p.id, hash FROM {_HASHED} p JOIN customer c ON c.c_name = p.company
+      WHERE CASE WHEN c_custkey % 6 = 0 THEN false WHEN c_custkey % 3 = 0 THEN CAST(external_id AS BIGINT) % 5 <> 0
+                 WHEN c_custkey % 3 = 1 THEN CAST(external_id AS BIGINT) % 7 <> 0 ELSE CAST(external_id AS BIGINT) % 4 <> 0 END"""
+)
+def polled_relation(spark, sf_dir):
+    """A relation after three polls, the second of which comes twice; it is compacted in between, and read at the end."""
+    rows = stored(hashed(spark, sf_dir))
+    companies = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("n"), F.col("c_name").alias("company"))
+    companies = companies.crossJoin(F.broadcast(spark.createDataFrame([(p,) for p in ingest.PROVIDERS], "provider string")))
+    number = F.col("external_id").cast("long")
+    jobs = Relation(spark, f"{shared_folder(spark)}/polled-{uuid.uuid4().hex}", rows.schema)
+    jobs.commit(0, rows.where(number % 4 != 0), None)
+    for version, answering, held in ((1, "n % 3 = 0", number % 5 != 0), (2, "n % 3 = 1", number % 7 != 0), (2, "n % 3 = 1", number % 7 == 0), (3, "n % 6 = 0", F.lit(False))):
+        scope = companies.where(answering).select("provider", "company")
+        jobs.poll(version, scope, rows.where(held).join(scope, ["provider", "company"], "left_semi").select(*rows.columns))
+        if version == 2:
+            jobs.compact()
+    jobs.expire(1)
+    return jobs.read().select("id", "hash")
+
+
+@query(classified_sql.GATED)
+def gated_polls(spark, sf_dir):
+    """Every event asks for a fetch of one of 20 providers, whose answer comes up to an hour later; errors are timeouts.
+
+    Fetches that an open circuit holds back have no outcome.
+    """
+    rows = events(spark, sf_dir).select(
+        F.concat(F.lit("p"), (F.col("user_id") % 20).cast("string")).alias("provider"),
+        "at_ms",
+        F.col("event_id").alias("fetch_id"),
+        (F.col("at_ms") + F.col("event_id") % 7 * 600_000).alias("done_ms"),
+        F.when(F.col("event_type") == "error", F.lit(gate.TIMEOUTS[0])).alias("code"),
+    )
+    return gate.gated(rows, state.Breaker(window=6 * 3_600_000, threshold=3, cooldown=12 * 3_600_000)).select("fetch_id", "provider", "sent", "open_until")

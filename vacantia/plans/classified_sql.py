@@ -142,3 +142,24 @@ steps AS (
 SELECT key, at_ms, order_id, CASE WHEN held THEN 6 ELSE hits END AS total_hits,
   CAST(CASE WHEN held THEN ceil((blocked - at_ms) / 1000) ELSE greatest(1, ceil((ends - at_ms) / 1000)) END AS BIGINT) AS time_to_expire,
   held OR hits > 5 AS is_blocked, CAST(CASE WHEN held THEN ceil((blocked - at_ms) / 1000) WHEN hits > 5 THEN 3600 ELSE 0 END AS BIGINT) AS time_to_block_expire FROM steps"""
+#: Fetches and their outcomes as one sequence of moments for each provider. What was sent and is on its way is a list of
+#: fetches; a timeout counts only if its fetch was sent.
+GATED = """
+WITH RECURSIVE fetches AS (
+  SELECT 'p' || (user_id % 20) AS provider, event_id AS fetch_id, epoch_us(ts) // 1000 AS at_ms, event_type = 'error' AS slow, event_id % 7 * 600000 AS takes FROM events
+), moments AS (
+  SELECT provider, fetch_id, at_ms AS t, 1 AS kind, slow FROM fetches
+  UNION ALL SELECT provider, fetch_id, at_ms + takes, CASE WHEN takes = 0 THEN 2 ELSE 0 END, slow FROM fetches WHERE slow
+), e AS (
+  SELECT *, row_number() OVER (PARTITION BY provider ORDER BY t, CASE kind WHEN 0 THEN 0 ELSE 1 END, fetch_id, kind) AS n FROM moments
+), steps AS (
+  SELECT provider, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS fetch_id, 9 AS kind, [CAST(0 AS BIGINT)][:0] AS recent, [CAST(0 AS BIGINT)][:0] AS coming, CAST(0 AS BIGINT) AS open_until, false AS sent
+  FROM (SELECT DISTINCT provider FROM e)
+  UNION ALL
+  SELECT provider, n, fetch_id, kind, met, CASE WHEN kind = 1 AND open_until <= t AND slow THEN list_append(coming, fetch_id) WHEN kind <> 1 THEN list_filter(coming, lambda f: f <> fetch_id) ELSE coming END,
+    CASE WHEN counts AND len(met) >= 3 AND open_until < t THEN t + 43200000 ELSE open_until END, kind = 1 AND open_until <= t
+  FROM (SELECT *, CASE WHEN counts THEN list_append(list_filter(recent, lambda x: t - x < 21600000), t) ELSE recent END AS met
+    FROM (SELECT e.provider, e.n, e.fetch_id, e.kind, e.t, e.slow, s.recent, s.coming, s.open_until, e.kind <> 1 AND list_contains(s.coming, e.fetch_id) AS counts
+      FROM steps s JOIN e ON e.provider = s.provider AND e.n = s.n + 1))
+)
+SELECT fetch_id, provider, sent, open_until FROM steps WHERE kind = 1"""

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
-from vacantia.operators.ingest import new_only
+from vacantia.operators.relation import Relation
 
 
-def start_ingest(spark: SparkSession, landed: DataFrame, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Append new postings of a stream to the Parquet table at `table`; every = an interval, or all there is, once."""
+def start_ingest(landed: DataFrame, jobs: Relation, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Add new postings of a stream to a relation; every = an interval, or all there is, once.
 
-    def add(batch: DataFrame, _: int) -> None:
-        stored = spark.read.schema(landed.schema).parquet(table)
-        new_only(batch, stored).write.mode("append").parquet(table)
-
-    spark.createDataFrame([], landed.schema).write.mode("append").parquet(table)
-    writer = landed.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    A micro-batch reads ids and hashes of the relation and writes what it adds, as the version of its number.
+    """
+    writer = landed.writeStream.foreachBatch(lambda batch, number: jobs.add(number + 1, batch)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

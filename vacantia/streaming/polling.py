@@ -1,58 +1,62 @@
 """Polling as a stream: each micro-batch holds what a poll of some sources gave, and moves the stored relations on.
 
-Relations are kept in versions, one folder for each micro-batch. A batch that is run again after a failure reads the
-version before it and writes its own anew, so that redelivery changes nothing; readers take the last complete version.
+A micro-batch writes the postings that came and the ids that went, of its own sources only (`operators.relation`), and the
+sources whose status changed. Its number is the version it makes, so a batch that is run again after a failure changes
+nothing that it had written. Every so many batches the relations are compacted and what is out of date is deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.types import StructType
 
-from vacantia.operators.ingest import met_sources, polled
+from vacantia.operators.ingest import changed_only, met_sources, synced
+from vacantia.operators.relation import Relation
 
-VERSION = "version"
+#: Minutes between polls: the least, the most, and what is usual.
+LEAST_MINUTES, MOST_MINUTES, MINUTES = 1, 1440, 30
+STATUS = ["sync_status", "last_synced_at"]
 
 
-def put_version(rows: DataFrame, path: str, version: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/{VERSION}={version}")
+def interval(minutes: int) -> str:
+    """A trigger's interval; raises ValueError beyond a day or below a minute."""
+    if not LEAST_MINUTES <= minutes <= MOST_MINUTES:
+        raise ValueError(f"polls are {LEAST_MINUTES} to {MOST_MINUTES} minutes apart")
+    return f"{minutes} minutes"
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """The complete versions of a relation; a version may be empty."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = files.listStatus(folder) if files.exists(folder) else ()
-    named = (f.getPath() for f in found if f.getPath().getName().startswith(f"{VERSION}="))
-    return sorted(int(p.getName().split("=")[1]) for p in named if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-
-def read_version(spark: SparkSession, path: str, schema: StructType, below: int | None = None) -> DataFrame:
-    """The last version of a relation, or the last one below a number; empty without one."""
-    known = [v for v in versions(spark, path) if below is None or v < below]
-    return spark.read.schema(schema).parquet(f"{path}/{VERSION}={known[-1]}") if known else spark.createDataFrame([], schema)
+def take_in(batch: DataFrame, version: int, jobs: Relation, sources: Relation) -> None:
+    """One poll. The last answer of a source counts; those of sources that are gone or inactive don't."""
+    batch = batch.persist()
+    try:
+        known = sources.read(below=version)
+        last = batch.groupBy("source_id").agg(F.max_by(F.struct("provider", "ok", "postings"), "at").alias("a"), F.max("at").alias("at"))
+        met = met_sources(last.select("source_id", "a.provider", "a.ok", "a.postings", "at"), known)
+        fetched = met.where("ok").select(F.explode("postings").alias("p")).select("p.*")
+        jobs.poll(version, met.where("ok").select("provider", F.col("name").alias("company")), fetched)
+        at = batch.agg(F.max("at")).first()[0]
+        asked = known.join(met.select(F.col("source_id").alias("id")), "id", "left_semi")
+        marked = synced(asked, met.select("source_id", "ok"), F.lit(at).cast("timestamp"))
+        sources.update(version, changed_only(asked, marked, STATUS).drop(*STATUS), STATUS)
+    finally:
+        batch.unpersist()
 
 
-def start_polling(spark: SparkSession, answers: DataFrame, jobs: str, sources: str, source_schema: StructType, checkpoint: str) -> StreamingQuery:
+def start_polling(answers: DataFrame, jobs: Relation, sources: Relation, checkpoint: str, every_minutes: int | None = None, compact_after: int = 16, keep: int = 3) -> StreamingQuery:
     """Answers have source_id, provider, ok, at and postings (an array of structs: all columns of the jobs' relation).
 
     One answer is one source's complete snapshot. An answer that isn't ok marks its source and removes nothing. The
-    relation of sources must have a version; that of jobs may be new.
+    relation of sources must have been filled, as version 0. Without an interval, the answers that are there are taken in.
     """
-    job_schema = answers.schema["postings"].dataType.elementType
 
     def step(batch: DataFrame, number: int) -> None:
-        known = read_version(spark, sources, source_schema, number)
-        stored = read_version(spark, jobs, job_schema, number)
-        # The last answer of a source counts; those of sources that are gone or inactive don't.
-        last = batch.groupBy("source_id").agg(F.max_by(F.struct("provider", "ok", "postings"), "at").alias("a"), F.max("at").alias("at"))
-        met = met_sources(last.select("source_id", "a.provider", "a.ok", "a.postings", "at"), known)
-        at = batch.agg(F.max("at")).first()[0]
-        fetched = met.where("ok").select(F.explode("postings").alias("p")).select("p.*")
-        after, marked = polled(stored, known, met.select("source_id", "ok"), fetched, F.lit(at).cast("timestamp"))
-        put_version(after, jobs, number)
-        put_version(marked, sources, number)
-
-    return answers.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        take_in(batch, number + 1, jobs, sources)
+        if (number + 1) % compact_after == 0:
+            for relation in (jobs, sources):
+                relation.compact()
+                relation.expire(keep)
+
+    writer = answers.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    trigger = {"availableNow": True} if every_minutes is None else {"processingTime": interval(every_minutes)}
+    return writer.trigger(**trigger).start()
