@@ -7,11 +7,16 @@ default from ISO names, postal codes and a few cities; pass a table of your own
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vacantia.operators.tables import stored
+
+from .phrases import Rule, rewriter, sql_rewrite
 from .text import EDGE, any_of, has, literal, quoted, replaced, sql_literal, trimmed, words_found
 
 # Names of regions as written, and as stored.
@@ -100,35 +105,80 @@ CITIES: dict[str, str] = {
     for country, cities in {
         "algeria": "algiers,constantine,oran", "australia": "sydney,melbourne,brisbane,perth,new south wales,queensland,south australia,western australia", "austria": "vienna,graz", "azerbaijan": "baku",
         "belgium": "brussels,antwerp,ghent", "brazil": "são paulo,rio de janeiro", "bulgaria": "sofia", "canada": "toronto,vancouver,montreal,ottawa,calgary", "china": "shanghai,beijing,shenzhen,hangzhou",
-        "cyprus": "limassol,nicosia,paphos", "czechia": "prague,brno", "denmark": "copenhagen,aarhus,odense,esbjerg,roskilde", "estonia": "tallinn", "finland": "helsinki,turku,tampere,oulu",
-        "france": "paris,lyon,nice,montpellier,toulouse", "georgia": "tbilisi", "germany": "berlin,munich,hamburg,stuttgart,düsseldorf,frankfurt,cologne,leipzig", "greece": "athens", "hong kong": "hong kong",
+        "cyprus": "limassol,nicosia,paphos", "czechia": "prague,brno", "denmark": "copenhagen,aarhus,odense,esbjerg,roskilde,hillerød,greve,silkeborg,vejle", "estonia": "tallinn", "finland": "helsinki,turku,tampere,oulu",
+        "france": "paris,lyon,nice,montpellier,toulouse", "georgia": "tbilisi", "germany": "berlin,munich,hamburg,stuttgart,düsseldorf,frankfurt,cologne,leipzig,recklinghausen,erding,offenbach am main", "greece": "athens", "hong kong": "hong kong",
         "hungary": "budapest", "india": "bangalore,bengaluru,mumbai,chennai,pune,noida,gurgaon,hyderabad", "ireland": "dublin,cork", "israel": "tel aviv,netanya,haifa", "italy": "rome,milan,pisa,turin",
-        "japan": "tokyo,osaka", "kenya": "nairobi", "mexico": "mexico city,monterrey", "netherlands": "amsterdam,rotterdam,utrecht,haarlem,eindhoven", "new zealand": "auckland,waikato,bay of plenty",
+        "japan": "tokyo,osaka", "kenya": "nairobi", "mexico": "mexico city,monterrey", "netherlands": "amsterdam,rotterdam,utrecht,haarlem,eindhoven,the randstad", "new zealand": "auckland,waikato,bay of plenty,taranaki,manawatu",
         "nigeria": "lagos", "norway": "oslo,bergen", "philippines": "manila", "poland": "warsaw,kraków,wrocław,wroclaw", "portugal": "lisbon,lisboa,porto", "qatar": "doha", "romania": "bucharest,cluj",
         "serbia": "belgrade", "singapore": "singapore", "slovenia": "ljubljana", "south africa": "johannesburg,cape town,durban", "south korea": "seoul", "spain": "madrid,barcelona,valencia,seville",
         "sweden": "stockholm,malmö", "switzerland": "zürich,zurich,geneva,basel", "tanzania": "dar es salaam,dar es salam", "tunisia": "tunis", "turkey": "istanbul", "ukraine": "kyiv,kiev,dnipro,lviv",
         "united arab emirates": "dubai,abu dhabi", "united kingdom": "london,manchester,liverpool,glasgow,edinburgh,oxford,cambridge,reading,guildford",
-        "united states": "san francisco,los angeles,new york,atlanta,boston,chicago,austin,denver,seattle,houston,nashville,pittsburgh,miami,raleigh,san diego,bay area,orange county,washington,oklahoma,oregon,indiana,indianapolis",
+        "united states": "san francisco,los angeles,new york,atlanta,boston,chicago,austin,denver,seattle,houston,nashville,pittsburgh,miami,raleigh,san diego,bay area,orange county,washington,oklahoma,oregon,indiana,indianapolis,herndon,shreveport,bentonville,cincinnati,new kensington",
         "vietnam": "hanoi",
     }.items()
     for city in cities.split(",")
 }
 
+# Cities and areas by the state or city that they are shown with.
+PARENTS: dict[str, str] = {
+    "california": "redwood city,bay area,emeryville,sunnyvale,san jose,palo alto,san mateo,santa clara,hawthorne,mountain view,orange county,huntington beach,foster city,walnut,oxnard,mojave",
+    "san francisco": "bay area", "washington": "bellevue,redmond,woodinville", "nevada": "las vegas", "arizona": "gilbert", "ohio": "new albany", "pennsylvania": "pittsburgh", "colorado": "denver",
+    "massachusetts": "woburn", "texas": "bastrop,fort worth,mcgregor,starbase,san antonio,plano,frisco", "florida": "cape canaveral,orlando,jacksonville,miami",
+    "virginia": "arlington,chantilly,virginia beach,tysons,reston,sterling", "maryland": "annapolis junction", "utah": "lehi", "oregon": "hillsboro,portland", "nebraska": "omaha",
+    "illinois": "northlake", "new york": "glen cove", "alberta": "calgary", "oklahoma": "oklahoma city", "hessen": "offenbach am main", "tennessee": "memphis", "missouri": "kansas city",
+    "kentucky": "louisville", "wisconsin": "milwaukee", "louisiana": "new orleans,metairie", "new jersey": "newark", "kansas": "wichita", "connecticut": "old greenwich", "georgia": "marietta",
+}
+
+
+def places_above(parents: dict[str, str] = PARENTS) -> dict[str, list[str]]:
+    """All that stands above each place, by a table of the places under each one."""
+    direct: dict[str, list[str]] = {}
+    for parent, children in parents.items():
+        for child in children.split(","):
+            direct.setdefault(child, []).append(parent)
+    above: dict[str, list[str]] = {}
+    for place in direct:
+        found, todo = [], list(direct[place])
+        while todo:
+            parent = todo.pop()
+            if parent not in found and parent != place:
+                found.append(parent)
+                todo += direct.get(parent, [])
+        above[place] = sorted(found)
+    return above
+
+
 GAZETTEER = "term string, kind string, value string"
 
 
-def gazetteer_rows(cities: dict[str, str] | None = None) -> list[tuple[str, str, str]]:
-    """(term, kind, value): what a segment may be. Kinds: code (another spelling), region, country, state, province, city."""
+def gazetteer_rows(cities: dict[str, str] | None = None, parents: dict[str, str] | None = None) -> list[tuple[str, str, str]]:
+    """(term, kind, value): what a segment may be. Kinds: code (another spelling), region, country, state, province, city,
+    and above (a place that it is in, as a token). Cities under a state are cities of its country.
+
+    `cities` (by country) and `parents` (places under others, with commas) replace the default ones.
+    """
+    parents = PARENTS if cities is None and parents is None else parents or {}
     rows = [(t, "code", v) for t, v in {**CA_PROVINCES, **US_STATES, **METROS}.items()]
     rows += [(t, "region", v) for t, v in REGIONS.items()]
     rows += [(c, "country", c) for c in COUNTRIES] + [(t, "country", v) for t, v in COUNTRY_NAMES.items()]
     rows += [(s, "state", "united states") for s in US_STATES.values()] + [(p, "province", "canada") for p in CA_PROVINCES.values()]
-    rows += [(c, "city", v) for c, v in (cities or CITIES).items()]
+    above = places_above(parents)
+    nation = {**(cities or CITIES), **dict.fromkeys(US_STATES.values(), "united states"), **dict.fromkeys(CA_PROVINCES.values(), "canada")}
+    under = {place: nation[a] for place, over in above.items() for a in over if a in nation}
+    rows += [(c, "city", v) for c, v in {**under, **(cities or CITIES)}.items()]
+    rows += [(place, "above", a) for place, over in above.items() for a in over]
     return rows
 
 
-def gazetteer(spark: SparkSession, cities: dict[str, str] | None = None) -> DataFrame:
-    return spark.createDataFrame(gazetteer_rows(cities), GAZETTEER)
+_GAZETTEERS: dict[tuple, DataFrame] = {}
+
+
+def gazetteer(spark: SparkSession, cities: dict[str, str] | None = None, parents: dict[str, str] | None = None) -> DataFrame:
+    """The terms, made once in an application for each list of cities and parents."""
+    key = (spark.sparkContext.applicationId, *(cities or {}).items(), "", *(parents or {}).items())
+    if key not in _GAZETTEERS:
+        _GAZETTEERS[key] = spark.createDataFrame(gazetteer_rows(cities, parents), GAZETTEER)
+    return _GAZETTEERS[key]
 
 
 def _or_unknown(text: Column) -> Column:
@@ -192,6 +242,23 @@ REWRITES: tuple[tuple[str, str], ...] = (
 )
 
 
+#: Letters with marks by how they are written apart, for the alphabets that have them.
+COMPOSED: dict[str, str] = {
+    apart: c
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x370, 0x500), *range(0x1E00, 0x2000)))
+    if len(apart := unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFC", apart) == c
+}
+_MARKS = "\u0300-\u036f"
+
+
+def composed(text: Column) -> Column:
+    """A text whose letters are one with their marks; only texts with marks of their own are taken apart."""
+    table = F.expr("map(" + ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in COMPOSED.items()) + ")")
+    letters = F.regexp_extract_all(text, F.lit(f"(?s)[^{_MARKS}][{_MARKS}]*|[{_MARKS}]+"), F.lit(0))
+    whole = F.array_join(F.transform(letters, lambda c: F.coalesce(F.when(F.char_length(c) > 1, F.element_at(table, c)), c)), "")
+    return F.when(text.rlike(f"[{_MARKS}]"), whole).otherwise(text)
+
+
 def rewritten(raw: Column, rewrites: tuple[tuple[str, str], ...] = REWRITES) -> Column:
     """A raw location with the rewrites made."""
     text = F.coalesce(raw, F.lit(""))
@@ -207,6 +274,111 @@ def sql_rewritten(raw: str) -> str:
     return text
 
 
+# Phrases as boards write them, and what they stand for. A table of the user's can take their place.
+PHRASES: tuple[Rule, ...] = tuple(
+    (phase, *(x.strip() for x in line.split("->")), whole)
+    for phase, whole, lines in (
+        (
+            0,
+            False,
+            """
+            east, us region -> United States
+            west, us region -> West Coast, United States
+            west us region -> West Coast, United States
+            ohio valley, us region -> United States
+            greater toronto area -> Toronto, Canada
+            hang zhou -> Hangzhou
+            shang hai -> Shanghai
+            unites states -> United States
+            united state -> United States
+            (gift city) -> , gift city
+            india-bangalore -> Bangalore, India
+            india bangalore -> Bangalore, India
+            quebec city, quebec -> Quebec City, QC, Canada
+            québec city, québec -> Quebec City, QC, Canada
+            anywhere in europe and south america -> Europe | South America
+            europe and south america -> Europe | South America
+            remoto -> Remote
+            híbrido, -> Remote |
+            hibrido, -> Remote |
+            zürich, ch -> Zürich, Switzerland
+            zurich, ch -> Zürich, Switzerland
+            remote us east -> East Coast, United States
+            remote us west -> West Coast, United States
+            remote us central -> Central US, United States
+            remote position -> Remote
+            virtual us -> United States
+            remote - aus -> Australia
+            remote - ind -> India
+            remote - ga -> Georgia, United States
+            remote - in -> Indiana, United States
+            remote - or -> Oregon, United States
+            remote - ok -> Oklahoma, United States
+            remote - north tx -> Texas, United States
+            remote - va & ky -> Virginia, United States; Kentucky, United States
+            remote - calgary -> Calgary, Canada
+            remote - vancouver -> Vancouver, Canada
+            remote - boston metro -> Boston, MA
+            remote: boston area -> Boston, MA
+            remote: northeast us -> East Coast, United States
+            remote (northeast) -> East Coast, United States
+            remote (southeast) -> Southeast US, United States
+            remote - new england -> East Coast, United States
+            southern california - remote -> California, United States
+            oregon - remote -> Oregon, United States
+            usa - remote -> United States
+            latin america - remote -> Latin America
+            remote-central america -> Latin America
+            remote-northeast asia -> Northeast Asia
+            remote-uk&i -> United Kingdom, Ireland
+            remote-dach -> Germany, Austria, Switzerland
+            remote roles - cis -> CIS
+            phl remote -> Philadelphia, PA
+            ind remote -> India
+            northeastern us -> East Coast, United States
+            southeastern us -> Southeast US, United States
+            central / western us -> United States
+            central us -> Central US, United States
+            raleigh - durham -> Raleigh, NC
+            indianapolis, in -> Indianapolis, Indiana
+            portland, or -> Portland, Oregon
+            portland or -> Portland, Oregon
+            hillsboro, or -> Hillsboro, Oregon
+            hillsboro or -> Hillsboro, Oregon
+            toronto canada -> Toronto, Canada
+            singapore city -> Singapore
+            uae abu dhabi -> Abu Dhabi, United Arab Emirates
+            kwazulu natal -> South Africa
+            mainland china (remote) -> China
+            frankfurt am main -> Frankfurt
+            ft. meade -> Fort Meade, MD
+            ft meade -> Fort Meade, MD
+            ny-new york -> New York, NY
+            sf-san francisco -> San Francisco, CA
+            north carolina - charlotte -> Charlotte, NC
+            canada & usa -> Canada, United States
+            usa & canada -> United States, Canada
+            canada & us -> Canada, United States
+            us & canada -> United States, Canada
+            united states & emea -> United States, EMEA
+            emea & united states -> EMEA, United States
+            flexible - any site -> United States
+            """,
+        ),
+        (
+            0,
+            True,
+            """
+            add all locations here ->
+            btc ->
+            on-site at project location ->
+            """,
+        ),
+    )
+    for line in lines.strip().splitlines()
+)
+
+
 SEPARATORS = r"(?i)\s*[;/|]\s*|\s+[-–—]\s+|\s*\+\s*|\s{2,}|\s+or\s+"
 
 
@@ -291,9 +463,23 @@ JOINTS = r"\s+and\s+|\s*&\s*|-"
 def indexed(terms: DataFrame) -> DataFrame:
     """A row for each term: `bit`, the `code` it stands for, if any, its `term` (the code's, or itself), and what that is."""
     one = lambda k: F.max(F.when(F.col("kind") == k, F.col("value"))).alias(k)
-    wide = terms.groupBy("term").agg(one("code"), *map(one, _KINDS))
+    above = F.array_sort(F.collect_set(F.when(F.col("kind") == "above", F.col("value")))).alias("above")
+    wide = terms.groupBy("term").agg(one("code"), *map(one, _KINDS), above)
     keyed = wide.select(F.col("term").alias("bit"), "code", F.coalesce("code", "term").alias("key"))
-    return keyed.join(wide.select(F.col("term").alias("key"), *_KINDS), "key", "left").withColumnRenamed("key", "term")
+    return keyed.join(wide.select(F.col("term").alias("key"), *_KINDS, "above"), "key", "left").withColumnRenamed("key", "term")
+
+
+_INDEXES: list[tuple[str, DataFrame, DataFrame]] = []
+
+
+def index_of(terms: DataFrame) -> DataFrame:
+    """`indexed(terms)`, written once in an application for each table of terms."""
+    app = terms.sparkSession.sparkContext.applicationId
+    for known, of, index in _INDEXES:
+        if known == app and of.sameSemantics(terms):
+            return index
+    _INDEXES.append((app, terms, stored(indexed(terms))))
+    return _INDEXES[-1][2]
 
 
 def _together(parts: DataFrame, known: DataFrame) -> DataFrame:
@@ -324,30 +510,37 @@ def _peeled(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(best, "bit", "left").withColumn("bit", F.coalesce("best", "bit")).drop("best")
 
 
-def facets(places: DataFrame, terms: DataFrame, raw: str = "location_raw", rewrites: tuple[tuple[str, str], ...] = REWRITES) -> DataFrame:
+def facets(places: DataFrame, terms: DataFrame, raw: str = "location_raw", rewrites: tuple[tuple[str, str], ...] = REWRITES, phrases: Iterable[Rule] = PHRASES) -> DataFrame:
     """A row for each distinct string of `raw`: tokens, countries and regions, sorted.
 
+    Letters are made one with their marks, phrases and then patterns are rewritten. A city that lies under a state brings
+    that as a token, unless its segment names a state itself (`Portland` is in Oregon, `Portland, TX` isn't).
     `DE` and `NL` are the country beside one of its cities; `Georgia` is the state beside the United States or one of its
     cities. A null string has empty facets. The gazetteer is the user's: Spark broadcasts it as long as it is small.
+
+    Strings, the gazetteer and the strings' bits are written, as each is read several times.
     """
-    strings = places.select(F.col(raw).alias("raw")).distinct()
-    index = indexed(terms)
+    strings = stored(places.select(F.col(raw).alias("raw")).distinct())
+    index = index_of(terms)
     known = index.where(F.coalesce("code", *_KINDS).isNotNull()).select("bit", F.lit(True).alias("known"))
-    parts = strings.select("raw", F.posexplode(segments(rewritten(F.col("raw"), rewrites))).alias("segment", "text"))
+    said = strings.select("raw", rewriter(phrases)(composed(F.col("raw"))).alias("said"))
+    parts = said.select("raw", F.posexplode(segments(rewritten(F.col("said"), rewrites))).alias("segment", "text"))
     parts = _together(parts.withColumn("text", cleaned_segment(F.col("text"))), known)
-    split = parts.select("raw", "segment", F.explode(F.array_distinct(bits(F.col("text")))).alias("bit"))
+    split = stored(parts.select("raw", "segment", F.explode(F.array_distinct(bits(F.col("text")))).alias("bit")))
     met = _peeled(split, known).distinct().join(index, "bit", "left").withColumn("term", F.coalesce("term", "bit"))
     # What stands in the same segment decides ambiguous codes: one group is one segment of one string.
-    beside = met.groupBy("raw", "segment").agg(F.collect_list(F.struct("bit", "term", "code", *_KINDS)).alias("all"))
+    beside = met.groupBy("raw", "segment").agg(F.collect_list(F.struct("bit", "term", "code", *_KINDS, "above")).alias("all"))
     near = lambda place: F.exists("all", lambda x: (x["city"] == place) | (x["country"] == place))
-    beside = beside.select("raw", "segment", F.exists("all", lambda x: x["city"] == "germany").alias("german"), F.exists("all", lambda x: x["city"] == "netherlands").alias("dutch"), near("united states").alias("american"), F.explode("all").alias("x")).select("raw", "german", "dutch", "american", "x.*")
+    beside = beside.select("raw", "segment", F.exists("all", lambda x: x["city"] == "germany").alias("german"), F.exists("all", lambda x: x["city"] == "netherlands").alias("dutch"), near("united states").alias("american"), F.exists("all", lambda x: x["state"].isNotNull() | x["province"].isNotNull()).alias("stately"), F.explode("all").alias("x")).select("raw", "german", "dutch", "american", "stately", "x.*")
     german = (F.col("bit") == "de") & F.coalesce("german", F.lit(False))
     dutch = (F.col("bit") == "nl") & F.coalesce("dutch", F.lit(False))
     stated = F.coalesce("american", F.lit(False)) & (F.col("term") == "georgia")
     nation = F.when(german, "germany").when(dutch, "netherlands").when(stated | F.col("code").isNotNull(), None).otherwise(F.col("country"))
     subnational = F.when(german | dutch, None).when(F.col("state").isNotNull() & (F.col("country").isNull() | stated), "united states").when(F.col("province").isNotNull(), "canada")
     token = F.when(german, "germany").when(dutch, "netherlands").otherwise(F.coalesce("region", "country", "term"))
-    rows = beside.select("raw", token.alias("token"), F.explode(F.array(nation, subnational, F.col("city"))).alias("country"), "region")
+    implied = F.when(~F.coalesce("stately", F.lit(False)) & F.col("above").isNotNull(), F.col("above")).otherwise(F.array().cast("array<string>"))
+    rows = beside.select("raw", F.explode(F.array_union(F.array(token), implied)).alias("token"), F.array(nation, subnational, F.col("city")).alias("lands"), "region")
+    rows = rows.select("raw", "token", F.explode("lands").alias("country"), "region")
     gathered = rows.groupBy(F.col("raw").alias("_gathered")).agg(F.collect_set("token").alias("t"), F.collect_set("country").alias("c"), F.collect_set("region").alias("r"))
     out = strings.join(gathered, F.col("raw") == F.col("_gathered"), "left")
     none = F.array().cast("array<string>")
@@ -364,7 +557,7 @@ def sql_facets(source: str, raw: str = "location_raw") -> str:
 WITH terms(term, kind, value) AS (VALUES {values}),
 lexicon AS (SELECT list(DISTINCT term) AS lex FROM terms),
 strings AS (SELECT DISTINCT {raw} AS raw FROM {source}),
-parts AS (SELECT raw, generate_subscripts(s, 1) AS segment, unnest(s) AS piece FROM (SELECT raw, {sql_segments(sql_rewritten('raw'))} AS s FROM strings)),
+parts AS (SELECT raw, generate_subscripts(s, 1) AS segment, unnest(s) AS piece FROM (SELECT raw, {sql_segments(sql_rewritten('said'))} AS s FROM (SELECT raw, {sql_rewrite("nfc_normalize(raw)", PHRASES)} AS said FROM strings))),
 cleaned AS (SELECT raw, segment, {sql_cleaned_segment('piece')} AS text FROM parts),
 joint AS (SELECT *, list_filter(list_transform(regexp_split_to_array(text, '{JOINTS}'), lambda x: trim(x)), lambda x: x <> '') AS pieces FROM cleaned),
 loose AS (SELECT raw, segment, unnest(CASE WHEN len(pieces) > 1 AND list_has_all(lex, pieces) THEN pieces ELSE [text] END) AS text FROM joint, lexicon),
@@ -376,16 +569,17 @@ split AS (SELECT DISTINCT raw, segment, CASE WHEN k IS NOT NULL AND len(words) <
     AND words[len(words) - k] NOT IN ({leading}) THEN array_to_string(words[len(words) - k + 1:], ' ') ELSE bit END AS bit FROM ended),
 keyed AS (SELECT split.*, c.value AS code, coalesce(c.value, bit) AS key FROM split LEFT JOIN (SELECT term, value FROM terms WHERE kind = 'code') c ON c.term = bit),
 known AS (
-  SELECT keyed.*, region.value AS region, country.value AS country, state.value AS state, province.value AS province, city.value AS city,
+  SELECT keyed.*, above.value AS above, bool_or(state.value IS NOT NULL OR province.value IS NOT NULL) OVER w AS stately, region.value AS region, country.value AS country, state.value AS state, province.value AS province, city.value AS city,
          bool_or(coalesce(city.value = 'germany', false)) OVER w AS german, bool_or(coalesce(city.value = 'netherlands', false)) OVER w AS dutch,
          bool_or(coalesce(city.value = 'united states' OR country.value = 'united states', coalesce(city.value, country.value, '') = 'united states')) OVER w AS american
-  FROM keyed {lookups} WINDOW w AS (PARTITION BY keyed.raw, keyed.segment)
+  FROM keyed {lookups} LEFT JOIN (SELECT term, list(value) AS value FROM terms WHERE kind = 'above' GROUP BY term) above ON above.term = keyed.key WINDOW w AS (PARTITION BY keyed.raw, keyed.segment)
 ), decided AS (
   SELECT raw, CASE WHEN bit = 'de' AND german THEN 'germany' WHEN bit = 'nl' AND dutch THEN 'netherlands' ELSE coalesce(region, country, key) END AS token, region,
          unnest([CASE WHEN bit = 'de' AND german THEN 'germany' WHEN bit = 'nl' AND dutch THEN 'netherlands' WHEN (american AND key = 'georgia') OR code IS NOT NULL THEN NULL ELSE country END,
                  CASE WHEN (bit = 'de' AND german) OR (bit = 'nl' AND dutch) THEN NULL WHEN state IS NOT NULL AND (country IS NULL OR (american AND key = 'georgia')) THEN 'united states'
                       WHEN province IS NOT NULL THEN 'canada' END, city]) AS country
   FROM known
+  UNION ALL SELECT raw, unnest(above), NULL, NULL FROM known WHERE NOT stately
 ), gathered AS (
   SELECT raw, list_filter(list(DISTINCT token), lambda x: x IS NOT NULL) AS t, list_filter(list(DISTINCT country), lambda x: x IS NOT NULL) AS c, list_filter(list(DISTINCT region), lambda x: x IS NOT NULL) AS r
   FROM decided GROUP BY raw

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import places, scripts, titles
 from vacantia.functions.distinct import VALUE, by_value
+from vacantia.operators import tables
 
 
 def iso_millis(at: Column) -> Column:
@@ -52,7 +53,7 @@ def with_facets(rows: DataFrame, terms: DataFrame, raw: str, flagged: Column, hi
     found = places.facets(rows, terms, "_place").withColumn("_own", F.struct("tokens", "countries", "regions"))
     geography = (F.size("countries") > 0) | (F.size("regions") > 0)
     shown = {f"_shown_{k}": places.resolved(F.col("_place"), geography, F.lit(k == 1)) for k in (0, 1)}
-    rows = rows.join(found.withColumns(shown).select("_place", "_own", *shown), "_place")
+    rows = rows.join(tables.stored(found.withColumns(shown).select("_place", "_own", *shown)), "_place")
     rows = rows.withColumn("shown_location", F.when(flagged, F.col("_shown_1")).otherwise(F.col("_shown_0")))
     none = _no_strings()
     remote = F.struct(F.array(F.lit("remote")).alias("tokens"), none.alias("countries"), none.alias("regions"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,3 +22,31 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or f"{shared_folder(df.sparkSession)}/relation-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` on all cores, where its files give fewer partitions than there are: a few large row groups would keep them idle.
+
+    A table of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+_KNOWN: dict[tuple[str, ...], str] = {}
+
+
+def stored_once(spark: SparkSession, name: str, source: DataFrame, make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` gives, written once in an application for each state of the files that `source` reads, and reread after."""
+    files = spark._jvm.org.apache.hadoop.fs.Path
+    state = []
+    for file in sorted(source.inputFiles()):
+        at = files(file)
+        found = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+        state.append(f"{file} {found.getLen()} {found.getModificationTime()}")
+    key = (spark.sparkContext.applicationId, name, *state)
+    if key not in _KNOWN:
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        make().write.parquet(path)
+        _KNOWN[key] = path
+    return spark.read.parquet(_KNOWN[key])

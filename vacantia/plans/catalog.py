@@ -15,7 +15,7 @@ from vacantia.functions import places, titles
 from vacantia.functions.text import sql_has, without_tags
 from vacantia.operators import audits, ingest, search
 from vacantia.operators.relation import Relation
-from vacantia.operators.tables import shared_folder, stored
+from vacantia.operators.tables import shared_folder, stored, stored_once
 from vacantia.plans import classified_sql
 from vacantia.plans.synthetic import POSTINGS_SQL, postings
 from vacantia.sources import boards, companies, links
@@ -42,8 +42,9 @@ def shown(c: str | Column) -> Column:
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classified postings, stored as ingest leaves them: searches and audits read the relation."""
-    return stored(ingest.classified(postings(spark, sf_dir), places.gazetteer(spark)))
+    """Classified postings, stored as ingest leaves them: searches and audits of one application read one relation."""
+    rows = postings(spark, sf_dir)
+    return stored_once(spark, "postings", rows, lambda: ingest.classified(rows, places.gazetteer(spark)))
 
 
 def latest(rows: DataFrame) -> DataFrame:
@@ -582,7 +583,7 @@ def plain_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titled postings in one of six places, with stored facets that are right, out of date, or empty by turns."""
     n = F.col("external_id").cast("long")
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (n % 6 + 1).cast("int"))
-    rows = titled(spark, sf_dir).withColumn("stack", titles.shown_for(F.col("technologies"), F.col("role"))).drop("technologies")
+    rows = postings(spark, sf_dir)
     stored = F.when(n % 5 == 0, F.array()).when(n % 5 == 1, F.array(F.lit("de"), F.lit("zz"))).otherwise(F.filter(F.array(pick(("germany", "france", None, "united states", None, "spain"))), lambda c: c.isNotNull()))
     return rows.withColumns(
         {

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.functions.text import quoted
+from vacantia.operators.tables import spread
 
 TITLES: tuple[str, ...] = (
     "Senior Backend Engineer", "Backend Engineer (Python)", "Frontend Developer - React", "Full-Stack Engineer II", "Full Stack Developer", "iOS Engineer", "Android Developer (Kotlin)",
@@ -45,7 +46,7 @@ def _pick(values: tuple, at: Column) -> Column:
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, provider, external_id, title, company, location_raw, posted_at, is_flagged_remote and url."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate"))
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     rows = orders.join(customers, cust == F.col("c_custkey")).select(
