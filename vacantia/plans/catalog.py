@@ -7,13 +7,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.functions import places, titles
 from vacantia.functions.text import sql_has, without_tags
-from vacantia.operators import audits, ingest, search
+from vacantia.operators import audits, ingest, search, versions
+from vacantia.operators.feedstore import FeedStore, cursor_behind
 from vacantia.operators.relation import Relation
 from vacantia.operators.tables import shared_folder, stored, stored_once
 from vacantia.plans import classified_sql
@@ -781,3 +783,39 @@ def gated_polls(spark, sf_dir):
         F.when(F.col("event_type") == "error", F.lit(gate.TIMEOUTS[0])).alias("code"),
     )
     return gate.gated(rows, state.Breaker(window=6 * 3_600_000, threshold=3, cooldown=12 * 3_600_000)).select("fetch_id", "provider", "sent", "open_until")
+
+
+@query(classified_sql.FEED)
+def feed_by_keyset(spark, sf_dir):
+    """The same request as `feed_preset_filtered`, a page of seven after the other, from the feed's own layout."""
+    rows = jobs(spark, sf_dir)
+    store = FeedStore(spark, f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}")
+    store.write(rows, 16)
+    request = search.Request.of(role="backend", stack=["python", "java"], seniority="senior", location=["Germany", "fully-remote"], limit=7)
+    pages, after = [], None
+    while True:
+        page, _ = store.page(request, after)
+        if (after := cursor_behind(page)) is None:
+            break
+        pages.append(page.select(*rows.columns))
+    found = reduce(DataFrame.union, pages) if pages else rows.limit(0)
+    as_of = rows.agg(F.max("posted_at").alias("_as_of"))
+    whole = search.Request.of(role=request.role, stack=list(request.stack), seniority=request.seniority, location=list(request.locations), limit=200)
+    page = search.feed(found.crossJoin(F.broadcast(as_of)), whole, F.col("_as_of"))
+    return page.withColumn("location_secondary", shown("location_secondary")).withColumn("stack", shown("stack")).withColumn("seniorities", shown("seniorities"))
+
+
+@query(
+    f"""SELECT id, CASE WHEN seniorities = '' THEN NULL ELSE string_split(seniorities, ',')[1] END AS level_then, coalesce(CASE WHEN seniorities = '' THEN '' ELSE string_split(seniorities, ',')[1] END, '') AS levels_now,
+      CAST(NULL AS VARCHAR) AS api_region FROM {_TITLED}"""
+)
+def schema_versions(spark, sf_dir):
+    """Postings written with one level each (version 1), read as version 3, written so, and read back as version 1."""
+    levels = F.when(F.size("seniorities") > 0, F.get("seniorities", F.lit(0)))
+    then = titled(spark, sf_dir).select("id", "title", levels.alias("seniority"))
+    steps, path = versions.posting_migrations(), f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    versions.write_at(then, f"{path}/1", steps, 1)
+    versions.rewritten_at(spark, f"{path}/1", f"{path}/3", steps, 3)
+    now = versions.read_at(spark, f"{path}/1", steps)
+    back = versions.read_at(spark, f"{path}/3", steps, 1)
+    return back.select("id", F.col("seniority").alias("level_then")).join(now.select("id", shown("seniorities").alias("levels_now"), "api_region"), "id")
