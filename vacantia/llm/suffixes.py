@@ -9,7 +9,8 @@
    anchor. Suffix arrays are built of all contexts whose anchor has several, MAX_SORTED bytes each: Larsson-Sadakane refinement (suffixes ordered by 8 bytes;
    groups that are not yet apart are sorted by their ranks 8, 16, 32 .. bytes on), then common prefixes of neighbours by
    Kasai's rule. Windows whose neighbours share `length` bytes or more are one group, whose smallest id keeps it.
-4. Suffix arrays over the same anchors are merged by binary search of their sorted distinct windows.
+4. An anchor's contexts beyond that make several suffix arrays, which are merged by binary search of their sorted distinct
+   windows.
 5. Windows that go come back to their shards as runs, and each text is cut.
 
 An anchor with more than HOT contexts (a passage of a third of all texts differs at its edges in each) is dealt by the
@@ -29,6 +30,7 @@ import math
 import uuid
 from collections import Counter
 from functools import lru_cache
+from itertools import groupby
 from zlib import crc32
 
 import numpy as np
@@ -47,7 +49,7 @@ ANCHOR = 2 * GRAM
 #: Windows that are taken at once; places in a block have PLACE_BITS bits.
 BLOCK, PLACE_BITS = 1 << 19, 20
 #: Bytes of contexts that one suffix array has.
-MAX_SORTED = 4 << 20
+MAX_SORTED = 1 << 20
 #: Contexts of one anchor beyond which its windows are dealt one by one.
 HOT = 50_000
 #: Text for one bucket of anchors, and for one task that reads shards, in bytes.
@@ -226,16 +228,38 @@ def merged(shards: list[Sorted]) -> list[np.ndarray]:
     return [least[np.searchsorted(keys, own)] for own in lists]
 
 
-def sorted_shards(contexts: list[bytes], ids: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each context the runs of windows that one of smaller id has, by suffix arrays of MAX_SORTED bytes and their merge."""
-    shards, a, size = [], 0, 0
-    for b, c in enumerate(contexts):
-        if size and size + len(c) > MAX_SORTED:
-            shards.append(Sorted(contexts[a:b], ids[a:b], length))
-            a, size = b, 0
-        size += len(c)
-    shards.append(Sorted(contexts[a:], ids[a:], length))
-    return [runs for shard, least in zip(shards, merged(shards), strict=True) for runs in shard.repeated(least)]
+def sorted_shards(contexts: list[bytes], ids: np.ndarray, anchors: list[int], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each context the runs of windows that one of smaller id has.
+
+    Contexts of different anchors share no window, so a suffix array has whole anchors, MAX_SORTED bytes together. One
+    anchor's contexts that are more make several suffix arrays, which are merged.
+    """
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(contexts)
+    by = np.argsort(np.array(anchors, np.int64), kind="stable").tolist()
+
+    def solve(parts: list[list[int]]) -> None:
+        shards = [Sorted([contexts[n] for n in part], ids[part], length) for part in parts]
+        for part, shard, least in zip(parts, shards, merged(shards), strict=True):
+            for n, runs in zip(part, shard.repeated(least), strict=True):
+                out[n] = runs
+
+    held: list[int] = []
+    size = 0
+    for _, group in groupby(by, key=anchors.__getitem__):
+        own = list(group)
+        own_size = sum(len(contexts[n]) for n in own)
+        if held and size + own_size > MAX_SORTED:
+            solve([held])
+            held, size = [], 0
+        if own_size > MAX_SORTED:
+            each = max(1, MAX_SORTED * len(own) // own_size)
+            solve([own[k : k + each] for k in range(0, len(own), each)])
+        else:
+            held += own
+            size += own_size
+    if held:
+        solve([held])
+    return out
 
 
 class Shard:
@@ -409,7 +433,8 @@ def decided(contexts: DataFrame, length: int) -> DataFrame:
             of = Counter(anchors)
             met = [n for n, a in enumerate(anchors) if of[a] > 1]
             none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            repeats = dict(zip(met, sorted_shards([texts[n] for n in met], np.array(least, np.int64)[met], length), strict=True)) if met else {}
+            sorted_out = sorted_shards([texts[n] for n in met], np.array(least, np.int64)[met], [anchors[n] for n in met], length)
+            repeats = dict(zip(met, sorted_out, strict=True))
             whole = [(np.zeros(1, np.int64), np.array([len(t) - length + 1])) for t in texts]
             for shard, numbers, ids, places, in_rows, starts in own:
                 # A larger id than the context's smallest loses all of its windows.
