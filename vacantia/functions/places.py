@@ -510,7 +510,31 @@ def _peeled(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(best, "bit", "left").withColumn("bit", F.coalesce("best", "bit")).drop("best")
 
 
-def facets(places: DataFrame, terms: DataFrame, raw: str = "location_raw", rewrites: tuple[tuple[str, str], ...] = REWRITES, phrases: Iterable[Rule] = PHRASES) -> DataFrame:
+#: An employer's name has so many words at most, where it is looked for in front of a place.
+EMPLOYER_WORDS = 6
+
+
+def _without_employers(parts: DataFrame, employers: DataFrame, known: DataFrame) -> DataFrame:
+    """Segments without a known employer's name at either end, the longest one, where what is left is a known place or none.
+
+    The names are a table of any size: ends of the distinct segments are joined with them. They are read as segments are,
+    so case, gaps and points don't matter. A name that is a place itself (`Paris`) is none here.
+    """
+    names = employers.toDF("name").select(cleaned_segment(F.col("name")).alias("name")).where("name != ''").distinct().join(known.select(F.col("bit").alias("name")), "name", "left_anti")
+    words = F.split("text", " ")
+    lengths = F.sequence(F.lit(1), F.least(F.lit(EMPLOYER_WORDS), F.size(words) - 1))
+    cut = lambda a, n: F.regexp_replace(F.array_join(F.slice(words, a, n), " "), r"^[\s,–—-]+|[\s,–—-]+$", "")
+    front = F.transform(lengths, lambda k: F.struct(k.alias("k"), cut(F.lit(1), k).alias("name"), cut(k + 1, F.size(words) - k).alias("bit")))
+    back = F.transform(lengths, lambda k: F.struct(k.alias("k"), cut(F.size(words) - k + 1, k).alias("name"), cut(F.lit(1), F.size(words) - k).alias("bit")))
+    asked = parts.where(F.col("text").contains(" ")).select("text").distinct().select("text", F.explode(F.concat(front, back)).alias("end")).select("text", "end.*")
+    ends = asked.join(names, "name").join(known, "bit").select("text", "k", "bit")
+    # A segment that is a name and nothing else says no place.
+    whole = parts.select("text").distinct().join(names.select(F.col("name").alias("text")), "text").select("text", F.size(words).alias("k"), F.lit("").alias("bit"))
+    met = ends.union(whole).groupBy("text").agg(F.max(F.struct("k", "bit"))["bit"].alias("place"))
+    return parts.join(met, "text", "left").withColumn("text", F.coalesce("place", "text")).select(*parts.columns)
+
+
+def facets(places: DataFrame, terms: DataFrame, raw: str = "location_raw", rewrites: tuple[tuple[str, str], ...] = REWRITES, phrases: Iterable[Rule] = PHRASES, employers: DataFrame | None = None) -> DataFrame:
     """A row for each distinct string of `raw`: tokens, countries and regions, sorted.
 
     Letters are made one with their marks, phrases and then patterns are rewritten. A city that lies under a state brings
@@ -518,6 +542,8 @@ def facets(places: DataFrame, terms: DataFrame, raw: str = "location_raw", rewri
     `DE` and `NL` are the country beside one of its cities; `Georgia` is the state beside the United States or one of its
     cities. A null string has empty facets. The gazetteer is the user's: Spark broadcasts it as long as it is small.
 
+    `employers`, a table of names (such as the company column), tells names with places in them from places.
+
     Strings, the gazetteer and the strings' bits are written, as each is read several times.
     """
     strings = stored(places.select(F.col(raw).alias("raw")).distinct())
@@ -525,7 +551,8 @@ def facets(places: DataFrame, terms: DataFrame, raw: str = "location_raw", rewri
     known = index.where(F.coalesce("code", *_KINDS).isNotNull()).select("bit", F.lit(True).alias("known"))
     said = strings.select("raw", rewriter(phrases)(composed(F.col("raw"))).alias("said"))
     parts = said.select("raw", F.posexplode(segments(rewritten(F.col("said"), rewrites))).alias("segment", "text"))
-    parts = _together(parts.withColumn("text", cleaned_segment(F.col("text"))), known)
+    parts = parts.withColumn("text", cleaned_segment(F.col("text")))
+    parts = _together(parts if employers is None else _without_employers(parts, employers, known), known)
     split = stored(parts.select("raw", "segment", F.explode(F.array_distinct(bits(F.col("text")))).alias("bit")))
     met = _peeled(split, known).distinct().join(index, "bit", "left").withColumn("term", F.coalesce("term", "bit"))
     # What stands in the same segment decides ambiguous codes: one group is one segment of one string.

@@ -706,12 +706,23 @@ def _values(rows: tuple[tuple[str, ...], ...]) -> str:
     return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
 
 
-@query(f"SELECT * FROM (VALUES {_values(PLACE_CASES)}) t(location_raw, countries, regions)")
+def _said_by_customers(spark: SparkSession, sf_dir: str, cases: tuple[tuple[str, ...], ...], column: str) -> DataFrame:
+    """One of the cases for each customer, in turn."""
+    case = F.element_at(F.array(*[F.lit(r[0]) for r in cases]), (F.col("c_custkey") % len(cases) + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", case.alias(column))
+
+
+def _said_sql(cases: tuple[tuple[str, ...], ...], columns: str) -> str:
+    values = ", ".join(f"({k}, {v[1:]}" for k, v in enumerate(_values((r,)) for r in cases))
+    return f"SELECT c_custkey, {columns} FROM customer JOIN (VALUES {values}) t(n, {columns}) ON n = c_custkey % {len(cases)}"
+
+
+@query(_said_sql(PLACE_CASES, "location_raw, countries, regions"))
 def place_cases(spark, sf_dir):
-    """Places of every kind of spelling, against what they must give."""
-    rows = spark.createDataFrame([(r[0],) for r in PLACE_CASES], "location_raw string")
+    """Places of every kind of spelling, as customers might say them, against what they must give."""
+    rows = _said_by_customers(spark, sf_dir, PLACE_CASES, "location_raw")
     found = places.facets(rows, places.gazetteer(spark))
-    return found.select("location_raw", shown("countries").alias("countries"), shown("regions").alias("regions"))
+    return rows.join(found, "location_raw").select("c_custkey", "location_raw", shown("countries").alias("countries"), shown("regions").alias("regions"))
 
 
 #: Titles and the roles they must give, said by hand.
@@ -724,10 +735,24 @@ ROLE_CASES: tuple[tuple[str, str], ...] = (
 )
 
 
-@query(f"SELECT * FROM (VALUES {_values(ROLE_CASES)}) t(title, role)")
+@query(_said_sql(ROLE_CASES, "title, role"))
 def role_cases(spark, sf_dir):
-    """Titles of every role, against what they must give."""
-    return titles.read(spark.createDataFrame([(r[0],) for r in ROLE_CASES], "title string")).select("title", "role")
+    """Titles of every role, as customers might say them, against what they must give."""
+    return titles.read(_said_by_customers(spark, sf_dir, ROLE_CASES, "title")).select("c_custkey", "title", "role")
+
+
+@query(
+    """SELECT c_custkey, ['germany', 'france', 'norway', 'united states', 'japan'][c_custkey % 5 + 1] AS countries,
+      ['germany,munich', 'france,lyon', 'norway,oslo', 'oregon,portland,united states', 'japan,tokyo'][c_custkey % 5 + 1] AS tokens FROM customer"""
+)
+def employers_before_places(spark, sf_dir):
+    """Employers named after a place, glued to the place they are in, in front of it or behind it: only the latter counts."""
+    employer = F.concat(F.lit("Boston "), F.col("c_name"), F.lit(" of Paris"))
+    place = F.element_at(F.array(*map(F.lit, ("Munich", "Lyon", "Oslo", "Portland", "Tokyo"))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    glued = F.when(F.col("c_custkey") % 2 == 0, F.concat_ws(" ", employer, place)).otherwise(F.concat(place, F.lit(", "), F.upper(employer)))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", employer.alias("company"), glued.alias("location_raw"))
+    found = places.facets(rows, places.gazetteer(spark), employers=rows.select("company"))
+    return rows.join(found, "location_raw").select("c_custkey", shown("countries").alias("countries"), shown("tokens").alias("tokens"))
 
 
 _FOREIGN = ("Москва, Россия", "Αθήνα", "თბილისი", "T`bilisi", "Łódź", "Berlin", "서울")
