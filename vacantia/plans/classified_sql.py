@@ -163,3 +163,10 @@ WITH RECURSIVE fetches AS (
       FROM steps s JOIN e ON e.provider = s.provider AND e.n = s.n + 1))
 )
 SELECT fetch_id, provider, sent, open_until FROM steps WHERE kind = 1"""
+#: The same mismatches by which facets differ.
+MISMATCH_REASONS = (
+    MISMATCHES[: MISMATCHES.index("kinds AS (")].rstrip().rstrip(",")
+    + """
+SELECT concat_ws('+', CASE WHEN NOT same_t THEN 'tokens' END, CASE WHEN NOT same_c THEN 'countries' END, CASE WHEN NOT same_r THEN 'regions' END) AS reason, count(*) AS n
+FROM judged WHERE NOT (same_t AND same_c AND same_r) GROUP BY 1"""
+)

@@ -151,33 +151,37 @@ def api_url(provider: Column, external_id: Column, region: Column) -> Column:
     return url
 
 
-def fields_named(payloads: DataFrame, keys: tuple[str, ...], payload: str = "payload") -> DataFrame:
-    """`payloads` with `values`: all strings under these keys (whatever their case) at any depth of a JSON text, in order.
+def fields_named(payloads: DataFrame, keys: dict[str, tuple[str, ...]] | tuple[str, ...], payload: str = "payload") -> DataFrame:
+    """`payloads` with all strings under some keys (whatever their case) at any depth of a JSON text, in the text's order.
 
-    Broken or null JSON has none.
+    `keys` has the keys of each new column; a tuple alone is for one named `values`. A text is parsed once for all of them.
+    Broken or null JSON has none. (VARIANT columns sort an object's keys, so the order would be lost in them.)
     """
+    wanted = keys if isinstance(keys, dict) else {"values": keys}
+    columns = {key: tuple(c for c, own in wanted.items() if key in own) for own in wanted.values() for key in own}
 
-    def walk(value: object, out: list[str]) -> None:
+    def walk(value: object, out: dict[str, list[str]]) -> None:
         for item in value if isinstance(value, list) else ():
             walk(item, out)
         for k, v in value.items() if isinstance(value, dict) else ():
-            if isinstance(v, str) and k.lower() in keys:
-                out.append(v)
+            if isinstance(v, str):
+                for column in columns.get(k.lower(), ()):
+                    out[column].append(v)
             walk(v, out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
             for text in batch[payload]:
-                out: list[str] = []
+                out: dict[str, list[str]] = {c: [] for c in wanted}
                 try:
                     walk(json.loads(text or "null"), out)
                 except ValueError:
-                    out = []
+                    out = {c: [] for c in wanted}
                 found.append(out)
-            yield batch.assign(values=found)
+            yield batch.assign(**{c: [f[c] for f in found] for c in wanted})
 
-    schema = payloads.withColumn("values", F.array().cast("array<string>")).schema
+    schema = payloads.withColumns({c: F.array().cast("array<string>") for c in wanted}).schema
     return payloads.mapInPandas(run, schema)
 
 
@@ -196,7 +200,7 @@ def verified(entries: DataFrame, payloads: DataFrame) -> DataFrame:
     Adds titles (those that match, sorted) and n_scanned (distinct titles).
     """
     met = entries.join(payloads, ["provider", "external_id"])
-    met = fields_named(fields_named(met, ("title",)).withColumnRenamed("values", "_titles"), ("company_name",)).withColumnRenamed("values", "_names")
+    met = fields_named(met, {"_titles": ("title",), "_names": ("company_name",)})
     every = F.array_distinct(F.filter(F.transform("_titles", lambda t: F.trim(t)), lambda t: t != ""))
     rows = met.withColumn("_every", every).withColumn("titles", F.array_sort(F.filter("_every", software_intent)))
     name = F.coalesce(display_name(F.col("provider"), F.col("payload"), F.col("_names")), F.col("name"))
