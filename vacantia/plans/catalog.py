@@ -868,27 +868,26 @@ def _supplied(spark: SparkSession, sf_dir: str, provider: str, job: Column) -> D
     return boards.extract(rows, provider, F.lit("2000-01-01").cast("timestamp"))
 
 
-_N = F.col("s_suppkey")
-
-
 @query(
     """SELECT CAST(s_suppkey AS VARCHAR) AS external_id, CASE WHEN s_suppkey % 3 = 0 THEN 'Berlin | Paris | Remote, Spain' ELSE 'Berlin' END AS location_raw,
       CASE WHEN s_suppkey % 3 = 0 THEN 'Germany,France,Spain' ELSE 'Germany' END AS hints FROM supplier"""
 )
 def ashby_other_places(spark, sf_dir):
     """Secondary places and their countries: each once, whatever its case; a bare `Remote` gets its country."""
+    n = F.col("s_suppkey")
     at = lambda place, country: F.struct(F.lit(place).alias("location"), F.struct(F.struct(F.lit(country).alias("addressCountry")).alias("postalAddress")).alias("address"))
-    others = F.when(_N % 3 == 0, F.array(at("Paris", "France"), at("PARIS ", "france"), at("Remote", "Spain"), at(" ", " ")))
+    others = F.when(n % 3 == 0, F.array(at("Paris", "France"), at("PARIS ", "france"), at("Remote", "Spain"), at(" ", " ")))
     own = at("Berlin", "Germany")
-    job = F.struct(_N.cast("string").alias("id"), F.lit("Engineer").alias("title"), own["location"].alias("location"), own["address"].alias("address"), others.alias("secondaryLocations"), F.lit("u").alias("jobUrl"))
+    job = F.struct(n.cast("string").alias("id"), F.lit("Engineer").alias("title"), own["location"].alias("location"), own["address"].alias("address"), others.alias("secondaryLocations"), F.lit("u").alias("jobUrl"))
     return _supplied(spark, sf_dir, "ashby", job).select("external_id", "location_raw", F.array_join("location_hints", ",").alias("hints"))
 
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS external_id, ['junior', 'mid,senior', 'staff', '', 'mid', 'senior'][s_suppkey % 6 + 1] AS levels FROM supplier")
 def workable_experience(spark, sf_dir):
     """Levels from the board's own experience labels."""
-    label = F.element_at(F.array(*map(F.lit, ("Entry level", "Mid-Senior level", "Director", "Not Applicable", "Associate", "Senior"))), (_N % 6 + 1).cast("int"))
-    job = F.struct(_N.cast("string").alias("id"), F.lit("Engineer").alias("title"), F.lit("u").alias("url"), label.alias("experience"))
+    n = F.col("s_suppkey")
+    label = F.element_at(F.array(*map(F.lit, ("Entry level", "Mid-Senior level", "Director", "Not Applicable", "Associate", "Senior"))), (n % 6 + 1).cast("int"))
+    job = F.struct(n.cast("string").alias("id"), F.lit("Engineer").alias("title"), F.lit("u").alias("url"), label.alias("experience"))
     return _supplied(spark, sf_dir, "workable", job).select("external_id", F.array_join(titles.experience_levels(F.col("experience")), ",").alias("levels"))
 
 
@@ -898,8 +897,9 @@ def workable_experience(spark, sf_dir):
 )
 def lever_lists(spark, sf_dir):
     """All places of a posting, each once, and a description put together from its plain parts and its lists."""
-    more = _N % 2 == 0
+    n = F.col("s_suppkey")
+    more = n % 2 == 0
     lists = F.when(more, F.array(F.struct(F.lit("Needs").alias("text"), F.lit("<li>Go <b>and</b> SQL</li>").alias("content")), F.struct(F.lit("").alias("text"), F.lit("<p></p>").alias("content"))))
     places_of = F.struct(F.lit("Oslo").alias("location"), F.when(more, F.array(F.lit("oslo"), F.lit("Bergen"), F.lit(" "))).alias("allLocations"))
-    job = F.struct(_N.cast("string").alias("id"), F.lit("Engineer").alias("text"), F.lit("u").alias("hostedUrl"), places_of.alias("categories"), lists.alias("lists"), F.lit("We build.").alias("descriptionPlain"))
+    job = F.struct(n.cast("string").alias("id"), F.lit("Engineer").alias("text"), F.lit("u").alias("hostedUrl"), places_of.alias("categories"), lists.alias("lists"), F.lit("We build.").alias("descriptionPlain"))
     return _supplied(spark, sf_dir, "lever", job).select("external_id", "location_raw", "description")
