@@ -28,9 +28,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter
 from functools import lru_cache
-from itertools import groupby
 from zlib import crc32
 
 import numpy as np
@@ -204,14 +202,14 @@ class Sorted:
         whole = np.lib.stride_tricks.sliding_window_view(self.data, self.length)[at]
         return np.ascontiguousarray(whole).view(f"S{self.length}").ravel()
 
-    def repeated(self, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each context the runs (first window, number) of windows that a smaller id has; `least`: the smallest of each group."""
+    def repeated(self, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The runs of windows that a smaller id has, as context, first window and number; `least`: the smallest of each group."""
         goes = np.zeros(len(self.owners) + 1, np.int8)
         goes[self.places] = least[self.group] < self.owners[self.places]
         edge = np.flatnonzero(np.diff(goes, prepend=0))
         begin, end = edge[::2], edge[1::2]
-        cut = np.searchsorted(begin, np.r_[self.starts, len(self.owners)])
-        return [(begin[a:b] - s, (end - begin)[a:b]) for a, b, s in zip(cut[:-1], cut[1:], self.starts, strict=True)]
+        of = np.searchsorted(self.starts, begin, "right") - 1
+        return of, begin - self.starts[of], end - begin
 
 
 def merged(shards: list[Sorted]) -> list[np.ndarray]:
@@ -228,38 +226,41 @@ def merged(shards: list[Sorted]) -> list[np.ndarray]:
     return [least[np.searchsorted(keys, own)] for own in lists]
 
 
-def sorted_shards(contexts: list[bytes], ids: np.ndarray, anchors: list[int], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each context the runs of windows that one of smaller id has.
+def sorted_shards(contexts: list[bytes], ids: np.ndarray, anchors: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of windows that a context of smaller id has too: context, first window and number of each, by context.
 
     Contexts of different anchors share no window, so a suffix array has whole anchors, MAX_SORTED bytes together. One
     anchor's contexts that are more make several suffix arrays, which are merged.
     """
-    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(contexts)
-    by = np.argsort(np.array(anchors, np.int64), kind="stable").tolist()
+    if not contexts:
+        return (np.zeros(0, np.int64),) * 3
+    by = np.argsort(anchors, kind="stable")
+    sizes = np.fromiter((len(contexts[n]) for n in by), np.int64, len(by))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def solve(parts: list[list[int]]) -> None:
+    def solve(*parts: np.ndarray) -> None:
         shards = [Sorted([contexts[n] for n in part], ids[part], length) for part in parts]
         for part, shard, least in zip(parts, shards, merged(shards), strict=True):
-            for n, runs in zip(part, shard.repeated(least), strict=True):
-                out[n] = runs
-
-    held: list[int] = []
-    size = 0
-    for _, group in groupby(by, key=anchors.__getitem__):
-        own = list(group)
-        own_size = sum(len(contexts[n]) for n in own)
-        if held and size + own_size > MAX_SORTED:
-            solve([held])
-            held, size = [], 0
-        if own_size > MAX_SORTED:
-            each = max(1, MAX_SORTED * len(own) // own_size)
-            solve([own[k : k + each] for k in range(0, len(own), each)])
+            of, begin, size = shard.repeated(least)
+            found.append((part[of], begin, size))
+
+    held, size = 0, 0
+    edges = np.flatnonzero(np.r_[True, np.diff(anchors[by]) != 0])
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(by)], strict=True):
+        own = int(sizes[a:b].sum())
+        if a > held and size + own > MAX_SORTED:
+            solve(by[held:a])
+            held, size = a, 0
+        if own > MAX_SORTED:
+            solve(*np.array_split(by[a:b], -(-own // MAX_SORTED)))
+            held, size = b, 0
         else:
-            held += own
-            size += own_size
-    if held:
-        solve([held])
-    return out
+            size += own
+    if held < len(by):
+        solve(by[held:])
+    of, begin, size = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(of, kind="stable")
+    return of[order], begin[order], size[order]
 
 
 class Shard:
@@ -408,43 +409,41 @@ def decided(contexts: DataFrame, length: int) -> DataFrame:
         # Each different context once, with its smallest id.
         unpacked = zstandard.ZstdDecompressor()
         found: dict[bytes, int] = {}
-        least: list[int] = []
-        anchors: list[int] = []
-        own: list[tuple[int, list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        own = []
         for r in rows.itertuples(index=False):
             if r.text is None:
                 continue
-            ids, sizes = np.frombuffer(r.ids, np.int64), np.frombuffer(r.sizes, np.int32)
-            numbers, at, every = [], 0, unpacked.decompress(r.text)
-            for doc, size, anchor in zip(ids.tolist(), sizes.tolist(), np.frombuffer(r.anchors, np.uint32).tolist(), strict=True):
-                text = every[at : at + size]
-                at += size
-                n = found.setdefault(text, len(least))
-                if n == len(least):
-                    least.append(doc)
-                    anchors.append(anchor)
-                elif doc < least[n]:
-                    least[n] = doc
-                numbers.append(n)
-            own.append((r.shard, numbers, ids, np.frombuffer(r.places, np.int32), np.frombuffer(r.rows, np.int32), np.frombuffer(r.starts, np.int32)))
+            sizes, every = np.frombuffer(r.sizes, np.int32), unpacked.decompress(r.text)
+            ends = np.cumsum(sizes, dtype=np.int64)
+            numbers = [found.setdefault(every[a:b], len(found)) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+            own.append((r.shard, np.array(numbers, np.int64), np.frombuffer(r.ids, np.int64), np.frombuffer(r.anchors, np.uint32), np.frombuffer(r.places, np.int32), np.frombuffer(r.rows, np.int32), np.frombuffer(r.starts, np.int32)))
         if found:
             texts = list(found)
+            del found
+            windows = np.fromiter(map(len, texts), np.int64, len(texts)) - (length - 1)
+            least, anchors = np.full(len(texts), np.iinfo(np.int64).max), np.zeros(len(texts), np.int64)
+            for _, numbers, ids, own_anchors, *_ in own:
+                np.minimum.at(least, numbers, ids)
+                anchors[numbers] = own_anchors
             # A context that is its anchor's only one shares no window with any other.
-            of = Counter(anchors)
-            met = [n for n, a in enumerate(anchors) if of[a] > 1]
-            none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            sorted_out = sorted_shards([texts[n] for n in met], np.array(least, np.int64)[met], [anchors[n] for n in met], length)
-            repeats = dict(zip(met, sorted_out, strict=True))
-            whole = [(np.zeros(1, np.int64), np.array([len(t) - length + 1])) for t in texts]
-            for shard, numbers, ids, places, in_rows, starts in own:
-                # A larger id than the context's smallest loses all of its windows.
-                runs = [whole[n] if doc > least[n] else repeats.get(n, none) for n, doc in zip(numbers, ids.tolist(), strict=True)]
-                each = np.repeat(np.fromiter((len(b) for b, _ in runs), np.int64, len(runs)), places)
-                if each.any():
-                    to = np.repeat(np.arange(len(runs)), places)
-                    begin = np.concatenate([runs[k][0] for k in to])
-                    size = np.concatenate([runs[k][1] for k in to])
-                    out.append((shard, np.repeat(in_rows, each).astype(np.int32).tobytes(), (np.repeat(starts, each) + begin).astype(np.int32).tobytes(), size.astype(np.int32).tobytes()))
+            _, of, number = np.unique(anchors, return_inverse=True, return_counts=True)
+            met = np.flatnonzero(number[of] > 1)
+            context, begin, size = sorted_shards([texts[n] for n in met], least[met], anchors[met], length)
+            first = np.searchsorted(met[context], np.arange(len(texts) + 1))
+            for shard, numbers, ids, _, places, in_rows, starts in own:
+                # A larger id than the context's smallest loses all of its windows, in one run.
+                larger = ids > least[numbers]
+                each = np.where(larger, 1, first[numbers + 1] - first[numbers])
+                to = np.repeat(np.arange(len(numbers)), places)
+                runs = each[to]
+                total = int(runs.sum())
+                if total:
+                    place = np.repeat(np.arange(len(to)), runs)
+                    of_run = to[place]
+                    whole = larger[of_run]
+                    at = np.where(whole, 0, first[numbers[of_run]] + np.arange(total) - np.repeat(np.cumsum(runs) - runs, runs))
+                    from_, long = (np.append(x, 0)[np.minimum(at, len(x))] for x in (begin, size))
+                    out.append((shard, in_rows[place].astype(np.int32).tobytes(), (starts[place] + np.where(whole, 0, from_)).astype(np.int32).tobytes(), np.where(whole, windows[numbers[of_run]], long).astype(np.int32).tobytes()))
         return _frame(out, GONE)
 
     return contexts.groupBy("bucket").applyInPandas(run, GONE)
