@@ -37,16 +37,26 @@ _KNOWN: dict[tuple[str, ...], str] = {}
 
 
 def stored_once(spark: SparkSession, name: str, source: DataFrame, make: Callable[[], DataFrame]) -> DataFrame:
-    """What `make` gives, written once in an application for each state of the files that `source` reads, and reread after."""
-    files = spark._jvm.org.apache.hadoop.fs.Path
+    """What `make` gives, written once in an application for each state of the files that `source` reads, and reread after.
+
+    Where the folder has gone meanwhile, it is written again.
+    """
+
+    def on(path: str) -> tuple:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
     state = []
     for file in sorted(source.inputFiles()):
-        at = files(file)
-        found = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+        at, files = on(file)
+        found = files.getFileStatus(at)
         state.append(f"{file} {found.getLen()} {found.getModificationTime()}")
     key = (spark.sparkContext.applicationId, name, *state)
-    if key not in _KNOWN:
-        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        make().write.parquet(path)
-        _KNOWN[key] = path
-    return spark.read.parquet(_KNOWN[key])
+    if key in _KNOWN:
+        mark, files = on(f"{_KNOWN[key]}/_SUCCESS")
+        if files.exists(mark):
+            return spark.read.parquet(_KNOWN[key])
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    make().write.parquet(path)
+    _KNOWN[key] = path
+    return spark.read.parquet(path)
