@@ -102,3 +102,18 @@ def test_odd_rows(spark):
 def test_frequencies_count_every_document(spark):
     docs = spark.createDataFrame([(i, "mit license mit" if i % 4 else "other") for i in range(40)], "doc_id long, text string")
     assert {r.word: r.n for r in licenses.frequencies(docs, ["mit", "license", "absent"]).collect()} == {"mit": 30, "license": 30, "": 40}
+
+
+def test_templates_without_a_chance_are_left_out(monkeypatch):
+    """The rarest words come first, and what can't beat them is not looked at: with the same results."""
+    words = sorted({w for t, keys in licenses.NOTICES.values() for x in (t, *keys) for w in x.split()} | {w for p in licenses.PHRASES for w in p.split()})
+    index = licenses.Index(licenses.PHRASES, licenses.NOTICES, {w: 1.0 + k % 7 for k, w in enumerate(words)})
+    texts = [t for t, _ in licenses.NOTICES.values()]
+    texts += [" ".join(a.split()[: len(a.split()) * 2 // 3] + b.split()[::2]) for a, b in zip(texts, texts[1:] + texts[:1], strict=True)]
+    share, looked = licenses._share, []
+    monkeypatch.setattr(licenses, "_share", lambda *args: looked.append(1) or share(*args))
+    got = [licenses.scan_text(t, index) for t in texts]
+    fewer = len(looked)
+    monkeypatch.setattr(licenses.Template, "most", lambda self, by: 2.0)
+    looked.clear()
+    assert [licenses.scan_text(t, index) for t in texts] == got and fewer < len(looked) / 2

@@ -103,6 +103,10 @@ class Template:
     anchors: list[int] = field(default_factory=list)
     keys: list[list[int]] = field(default_factory=list)
 
+    def most(self, by: dict[int, np.ndarray]) -> float:
+        """A bound of the share that a file with these words can have: all of them, wherever they stand."""
+        return sum((w for x, w in zip(self.ids, self.idf, strict=True) if x in by), 0.0) / sum(self.idf)
+
 
 def _anchors(idf: list[float], base: bool) -> list[int]:
     """Positions of the words of highest IDF: as many as the module's text says."""
@@ -140,7 +144,8 @@ class Index:
         return np.fromiter((get(w, -1) for w in held), np.int32, len(held))
 
     def proposed(self, by: dict[int, np.ndarray]) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
-        """For each template (starts, position of the anchor) that the file's indexed words propose, from the rarest word down."""
+        """For each template (starts, position of the anchor) that the file's indexed words propose, from the rarest word down:
+        the templates come in the order of their rarest words, so those that the file is likely to hold come first."""
         out: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
         for w in sorted(self.postings.keys() & by.keys(), key=self.rank.__getitem__):
             for t, q in self.postings[w].tolist():
@@ -205,6 +210,8 @@ def scan_text(text: str | None, index: Index) -> tuple:
                 last = int(starts.max()) if last is None else max(last, int(starts.max()))
                 base.add(t.label)
                 score = 1.0
+        elif (bound := t.most(by)) <= score and bound < LEAST_SHARE:
+            continue  # neither the score nor a label can come of it
         elif len(proposed) > 1 and (share := _share(by, t, _agreed(proposed))) > 0:
             score = max(score, share)
             if share >= LEAST_SHARE and any(len(_places(ids, by.get(k[0], np.zeros(0, np.int64)), k)) for k in t.keys):
