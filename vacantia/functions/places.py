@@ -253,7 +253,8 @@ _MARKS = "\u0300-\u036f"
 
 def composed(text: Column) -> Column:
     """A text whose letters are one with their marks; only texts with marks of their own are taken apart."""
-    table = F.expr("map(" + ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in COMPOSED.items()) + ")")
+    # One literal for each side, which Spark folds into one map: hundreds of literals take long to parse.
+    table = F.map_from_arrays(*(F.split(F.lit(",".join(side)), ",") for side in (COMPOSED.keys(), COMPOSED.values())))
     letters = F.regexp_extract_all(text, F.lit(f"(?s)[^{_MARKS}][{_MARKS}]*|[{_MARKS}]+"), F.lit(0))
     whole = F.array_join(F.transform(letters, lambda c: F.coalesce(F.when(F.char_length(c) > 1, F.element_at(table, c)), c)), "")
     return F.when(text.rlike(f"[{_MARKS}]"), whole).otherwise(text)
