@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from vacantia.operators.ingest import new_only
+from vacantia.operators.tables import stored
 
 AT, PROVIDER, BUCKET = "_at", "_provider", "_bucket"
 PUT, GONE = "put", "gone"
@@ -154,24 +155,23 @@ class Relation:
     def poll(self, version: int, answered: DataFrame, fetched: DataFrame) -> bool:
         """Take in complete snapshots: of `answered` (provider, company) what is new in `fetched` comes, what is missing goes.
 
-        Only the parts of the answering companies are read whole; of the others ids and hashes, which are met by a semi-join,
-        so that no more of them goes on than has been fetched.
+        Snapshots are written as they have landed, since they are met three times. Of the relation, ids and hashes meet them;
+        companies only in the parts of those that answer.
         """
         if self.has(version):
             return False
+        fetched = stored(fetched, f"{self.path}/landed/{version}-{uuid.uuid4().hex}")
         scope = answered.select("provider", self.company).distinct()
         held = self.read(self.parts_of(scope)).select("id", "provider", self.company)
         gone = held.join(scope, ["provider", self.company], "left_semi").join(fetched.select("id"), "id", "left_anti")
-        return self.commit(version, new_only(fetched, self._met(fetched), self.order), gone)
-
-    def _met(self, rows: DataFrame) -> DataFrame:
-        """Ids and hashes of live rows that have the id or the hash of one of `rows`: two columns are read of the relation."""
-        keys = self.read().select("id", "hash")
-        return keys.join(rows.select("id"), "id", "left_semi").union(keys.join(rows.select("hash"), "hash", "left_semi").select("id", "hash"))
+        done = self.commit(version, new_only(fetched, self.read(), self.order), gone)
+        at, files = self._files(f"{self.path}/landed")
+        files.delete(at, True)
+        return done
 
     def add(self, version: int, rows: DataFrame) -> bool:
         """Take in what is new of `rows`; nothing goes."""
-        return False if self.has(version) else self.commit(version, new_only(rows, self._met(rows), self.order), None)
+        return False if self.has(version) else self.commit(version, new_only(rows, self.read(), self.order), None)
 
     def update(self, version: int, changes: DataFrame, columns: list[str]) -> bool:
         """Give rows new values: `changes` has the key and new_<column> for each of `columns`. What isn't changed isn't written."""
