@@ -144,3 +144,12 @@ def test_any_whole_number_is_an_id(spark):
     got = neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 2).collect()
     want = [(low, 2, low, True), (5, 2, low, False), (0, 2, 0, True), (None, 2, 0, False), (None, 2, None, True), (None, 2, None, True), (-1, 0, -1, True), (low + 1, 1, low + 1, True)]
     same(got, want)
+
+
+def test_ends_of_pairs_come_once(spark):
+    pairs = spark.createDataFrame([(b"a", b"b", 0), (b"a", b"c", 0), (b"b", b"c", 6)], "a binary, b binary, tree int")
+    assert sorted(bytes(r.node) for r in neardup.ends_of(pairs).collect()) == [b"a", b"b", b"c"]
+    by_tree = neardup.ends_of(pairs, "tree")
+    assert sorted((bytes(r.node), r.tree) for r in by_tree.collect()) == [(b"a", 0), (b"b", 0), (b"b", 6), (b"c", 0), (b"c", 6)]
+    # Neither side's pairs are doubled: what is made of them are ends that differ.
+    assert "Generate" not in by_tree._jdf.queryExecution().optimizedPlan().toString()

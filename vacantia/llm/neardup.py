@@ -353,6 +353,12 @@ def _closest(pairs: DataFrame) -> DataFrame:
     return best.select(F.least("a", "o.b").alias("a"), F.greatest("a", "o.b").alias("b")).distinct()
 
 
+def ends_of(pairs: DataFrame, *by: str) -> DataFrame:
+    """Each node that is an end of some pair once (for each value of `by`): either side is made distinct before the two meet."""
+    of = lambda end: pairs.select(F.col(end).alias("node"), *by).distinct()
+    return of("a").union(of("b")).distinct()
+
+
 def _apart(pairs: DataFrame, roots: DataFrame, full: DataFrame) -> DataFrame:
     """The pairs whose ends are not yet in one component, and whether both ends are among `full`."""
     known = roots.join(full.withColumn("full", F.lit(True)), "node", "full")
@@ -380,11 +386,11 @@ def forest_roots(rows: DataFrame, classes: DataFrame, words: int, percent: int)
     part = SIGNATURE // TREES
     met = orders(classes, [t * part for t in range(TREES)], NEIGHBOURS)
     likely = checkpointed(plausible(met, classes, percent))
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = ends_of(likely)
     texts = _texts(rows, classes.join(wanted, "node", "left_semi"))
 
     # Pairs of which both ends had a full window somewhere wait for the second search; the others are confirmed at once.
-    full = checkpointed(met.where(F.col("step") == NEIGHBOURS).select(F.explode(F.array("a", "b")).alias("node"), "tree").distinct())
+    full = checkpointed(ends_of(met.where(F.col("step") == NEIGHBOURS), "tree"))
     full_nodes = full.select("node").distinct()
     roots = texts.select("node", F.col("node").alias("root"))
     apart = likely
@@ -395,7 +401,7 @@ def forest_roots(rows: DataFrame, classes: DataFrame, words: int, percent: int)
         apart = checkpointed(_apart(untried, roots, full_nodes))
     roots = joined(roots, confirmed(apart.where("NOT both_full"), texts, words, percent))
     # Searched again is what had full windows, whether they showed a likely partner or not.
-    waiting = apart.where("both_full").select(F.explode(F.array("a", "b")).alias("node"))
+    waiting = ends_of(apart.where("both_full"))
     dense = checkpointed(crowded(full, classes, roots, percent, BLOCK).union(waiting).distinct())
     if dense.take(1):
         late = classes.join(dense, "node", "left_semi").join(wanted, "node", "left_anti")
